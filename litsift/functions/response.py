@@ -40,8 +40,8 @@ def parsed_score(resp) -> Column:
     return F.when(F.regexp_like(st, F.lit(NUMBER_RE)), st.try_cast("double") / F.lit(10.0))
 
 
-def parse_response(resp, prefix: str = "") -> list[Column]:
-    """Columns ``relevance_score``, ``explanation``, ``parse_error`` (aliases take ``prefix``).
+def parse_response(resp) -> dict[str, Column]:
+    """``relevance_score``, ``explanation`` and ``parse_error`` Columns (unaliased).
 
     A failed parse scores 0.0 and its explanation carries the reason and the first
     characters of the answer.
@@ -51,8 +51,8 @@ def parse_response(resp, prefix: str = "") -> list[Column]:
     expl = strip(F.regexp_extract(r, EXPLANATION_RE, 1))
     fallback = F.concat(F.lit("Unparsed answer ("), err, F.lit("): "),
                         F.coalesce(F.substring(r, 1, SNIPPET_CHARS), F.lit("")), F.lit("..."))
-    return [
-        F.when(err.isNull(), parsed_score(r)).otherwise(F.lit(0.0)).alias(prefix + "relevance_score"),
-        F.when(err.isNull(), expl).otherwise(fallback).alias(prefix + "explanation"),
-        err.alias(prefix + "parse_error"),
-    ]
+    return {
+        "relevance_score": F.when(err.isNull(), parsed_score(r)).otherwise(F.lit(0.0)),
+        "explanation": F.when(err.isNull(), expl).otherwise(fallback),
+        "parse_error": err,
+    }
