@@ -15,7 +15,10 @@ from litsift.operators.common import top_k
 
 
 def _order(df: DataFrame, order: list[str] | None) -> list:
-    cols = order if order is not None else [c for c in ("email_ts", "email_id", "article_pos") if c in df.columns]
+    cols = order if order is not None else [c for c in ("email_ts", "email_id", "article_pos", "paper_key")
+                                            if c in df.columns]
+    if not cols:
+        raise ValueError("dedup needs an order (no email_ts/email_id/article_pos/paper_key column)")
     return [F.col(c).asc_nulls_last() for c in cols]
 
 

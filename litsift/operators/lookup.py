@@ -50,14 +50,13 @@ def phrase_words(col) -> Column:
     return F.filter(cleaned, lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
-def phrase_grams(col) -> Column:
-    """Distinct 1- and 2-word phrases of a title's word sequence."""
-    ws = phrase_words(col)
-    n = F.size(ws)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1),
-                                       lambda i: F.concat(F.element_at(ws, i), F.lit(" "),
-                                                          F.element_at(ws, i + 1)))
-                   ).otherwise(F.array().cast("array<string>"))
+def phrase_grams(words) -> Column:
+    """Distinct 1- and 2-word phrases of a word sequence (an array column computed once
+    upstream; a lambda over the raw expression would re-split the title per word)."""
+    ws = F.col(words) if isinstance(words, str) else words
+    m = F.greatest(F.size(ws) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(ws, F.lit(1), m), F.slice(ws, F.lit(2), m),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.concat(ws, pairs))
 
 
@@ -140,8 +139,8 @@ def tier_author_phrase(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT
         .where(F.col("a_last") != "")
     entries = top_k(c, ["a_last", "c_title"], [F.col("entry_id")], k + 1, "r").drop("r")
     c_keys = entries.select("a_last", "c_title").distinct() \
-        .select("a_last", "c_title", tokens("c_title").alias("c_tok"),
-                F.explode(phrase_grams("c_title")).alias("phrase"))
+        .select("a_last", "c_title", tokens("c_title").alias("c_tok"), phrase_words("c_title").alias("ws")) \
+        .select("a_last", "c_title", "c_tok", F.explode(phrase_grams("ws")).alias("phrase"))
     q_keys = p.groupBy("q3_key").agg(F.any_value("a_last").alias("a_last"),
                                       F.any_value("phrase").alias("phrase"),
                                       F.any_value("q_tok").alias("q_tok"))

@@ -26,8 +26,23 @@ ENTRY_PREFIX = "catalogue/"
 PDF_PREFIX = "catalogue/pdf/"
 
 
+# Config-sized tables: never worth spreading.
+SMALL_TABLES = {"benchmark", "labels", "nation", "region", "supplier"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy text work all the cores when the scan yields fewer splits than the
+    cluster's parallelism (one small file = one task). On real data, with many more splits
+    than cores, this is a no-op and adds no shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if name in SMALL_TABLES else spread(df)
 
 
 def papers_from_documents(docs: DataFrame) -> DataFrame:

@@ -722,3 +722,128 @@ def q_show_papers(spark, sf):
 
 def registry() -> dict:
     return QUERIES
+
+
+# ---- U5, F2, S1: recent papers from mail ------------------------------------------------------------------
+NOW = "2024-01-31"
+DAYS = 30
+
+
+@query("recent_papers", f"""
+WITH m AS (
+  SELECT 'page-' || CAST(p.page_id AS VARCHAR) AS email_id, p.html AS h, e.ts,
+         {RFC_SQL.replace('ts', 'e.ts')} AS email_date
+  FROM pages p LEFT JOIN events e ON e.event_id = p.page_id
+  WHERE contains(lower({SUBJECT_SQL.replace('event_type', 'e.event_type')}), 'scholar alert')
+    AND e.ts >= DATE '{NOW}' - INTERVAL {DAYS} DAY AND contains(p.html, '<article')),
+{_extract_sql('m')}
+SELECT art.email_id, article_pos, {O.clean_title('coalesce(title, {0})'.format("''"))} AS title,
+       {O.clean_authors('coalesce(authors, {0})'.format("''"))} AS authors, coalesce(relevance, 0) AS relevance,
+       {O.strip("coalesce(venue, '')")} AS venue, coalesce(url, '') AS url, m.email_date,
+       CAST(NULL AS VARCHAR) AS arxiv_id, CAST(epoch(date_trunc('second', m.ts)) AS BIGINT) AS date_epoch
+FROM art JOIN m USING (email_id)
+""")
+def q_recent_papers(spark, sf):
+    from litsift.plans.triage import recent_papers
+    msgs = B.messages_from_pages(B.table(spark, sf, "pages"), B.table(spark, sf, "events"))
+    p = recent_papers(msgs, now=NOW, days=DAYS, marker="<article", heading="h1", title_in_link=False)
+    return p.select("email_id", "article_pos", "title", "authors", "relevance", "venue", "url", "email_date",
+                    "arxiv_id", F.unix_timestamp("date").alias("date_epoch"))
+
+
+# ---- U1: model function per partition ---------------------------------------------------------------------
+class LengthScorer:
+    """Deterministic stand-in for a remote model: the answer's score is the prompt length
+    mod 11, so the mapInPandas path (prompt in, parsed answer out) is checked end to end."""
+
+    def analyze_batch(self, prompts, model_id, max_tokens):
+        import pandas as pd
+        n = prompts.str.len()
+        return pd.DataFrame({
+            "response": "<explanation>prompt of " + n.astype(str) + " characters</explanation>\n<score>"
+                        + (n % 11).astype(str) + "</score>",
+            "prompt_tokens": n // 4, "completion_tokens": 16, "total_tokens": n // 4 + 16,
+        })
+
+
+@query("score_udf", f"""
+WITH p AS ({O.PAPERS}), q AS ({O.QUESTIONS})
+SELECT p.arxiv_id, round(avg(CAST(length({PROMPT_SQL}) % 11 AS DOUBLE) / 10.0), {ROUND}) AS score
+FROM p CROSS JOIN q GROUP BY p.arxiv_id
+""")
+def q_score_udf(spark, sf):
+    req = score.pair_requests(_papers(spark, sf), _questions(spark, sf))
+    s = score.score_with(req, LengthScorer, MODEL)
+    return score.mean_score(s).select("arxiv_id", _r(F.col("score")).alias("score"))
+
+
+# ---- S2-S4: store and reload ----------------------------------------------------------------------------------
+@query("papers_roundtrip", f"""
+SELECT arxiv_id, title, authors, venue, array_to_string(categories, ',') AS categories FROM ({O.PAPERS})
+""")
+def q_papers_roundtrip(spark, sf):
+    from litsift.session import scratch_path
+    from litsift.sources.papers import read_papers, to_papers, write_papers
+    path = scratch_path(spark, "papers")
+    write_papers(to_papers(_papers(spark, sf)), path)
+    back = read_papers(spark, path)
+    return back.select("arxiv_id", "title", "authors", "venue",
+                       F.array_join("categories", ",").alias("categories"))
+
+
+# ---- U3, U4: the whole triage run ------------------------------------------------------------------------------
+TRIAGE_SQL = f"""
+WITH p AS ({BENCH_PAPERS_SQL}), c AS ({O.CATALOGUE}),{_cascade_sql('p', 'c', False)},
+  enr AS (SELECT p.paper_key, p.title, replace(c.summary, chr(10), ' ') AS abstract,
+                 string_split(c.entry_id, '/')[-1] AS arxiv_id
+          FROM p JOIN cascade k ON k.paper_key = p.paper_key AND k.rank = 1 JOIN c ON c.entry_id = k.entry_id),
+  pap AS (SELECT * FROM enr QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY paper_key) = 1),
+  pt AS (SELECT arxiv_id, {O.tokens("concat_ws(' ', title, abstract)")} AS toks FROM pap),
+  qt AS (SELECT question_id, {O.tokens('question')} AS qt FROM ({O.QUESTIONS})),
+  pair AS (SELECT pt.arxiv_id, CASE WHEN len(qt.qt) = 0 THEN 0
+                   ELSE (10 * len(list_intersect(pt.toks, qt.qt))) // len(qt.qt) END AS s
+           FROM pt CROSS JOIN qt),
+  ms AS (SELECT arxiv_id, CAST(sum(s) AS DOUBLE) / (10.0 * (SELECT count(*) FROM benchmark)) AS score
+         FROM pair GROUP BY arxiv_id)
+SELECT CAST(row_number() OVER (ORDER BY ms.score DESC NULLS LAST, pap.arxiv_id) AS INTEGER) AS rank,
+       pap.arxiv_id, pap.paper_key, round(ms.score, {ROUND}) AS score, printf('%.2f', ms.score) AS score_str
+FROM pap LEFT JOIN ms USING (arxiv_id)
+ORDER BY ms.score DESC NULLS LAST, pap.arxiv_id LIMIT {TOP_N}
+"""
+
+
+@query("triage", TRIAGE_SQL)
+def q_triage(spark, sf):
+    from litsift.plans.triage import triage
+    r = triage(_bench_papers(spark, sf), _catalogue(spark, sf), _questions(spark, sf), n=TOP_N,
+               dedup_order=["paper_key"])
+    return r.top.select("rank", "arxiv_id", "paper_key", _r(F.col("score")).alias("score"), "score_str")
+
+
+# ---- X1, D4: incremental ingest ---------------------------------------------------------------------------------
+@query("incremental", f"""
+WITH m AS (SELECT 'page-' || CAST(page_id AS VARCHAR) AS email_id, html AS h FROM pages
+           WHERE contains(html, '<article')),
+{_extract_sql('m')}
+SELECT email_id, article_pos, {O.clean_title('coalesce(title, {0})'.format("''"))} AS title,
+       {O.clean_authors('coalesce(authors, {0})'.format("''"))} AS authors, coalesce(url, '') AS url
+FROM art
+""")
+def q_incremental(spark, sf):
+    from litsift.plans.triage import recent_papers
+    from litsift.session import scratch_path
+    from litsift.streaming.incremental import ingest_incremental, read_ingested
+    base = scratch_path(spark, "incremental")
+    msgs = B.messages_from_pages(B.table(spark, sf, "pages"), B.table(spark, sf, "events"))
+    # Every message arrives once, then the odd pages arrive a second time in later files.
+    msgs.write.json(f"{base}/source/first")
+    msgs.where(F.col("payload.parts").isNotNull()).write.json(f"{base}/source/again")
+
+    def to_papers(batch):
+        return recent_papers(batch, since="1970-01-01", needle="", marker="<article",
+                             heading="h1", title_in_link=False)
+
+    ingest_incremental(spark, f"{base}/source/*", f"{base}/sink", f"{base}/checkpoint", to_papers,
+                       files_per_batch=4)
+    out = read_ingested(spark, f"{base}/sink")
+    return out.select("email_id", "article_pos", "title", "authors", "url")
