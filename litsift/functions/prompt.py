@@ -49,8 +49,28 @@ def prompt_inputs(title, authors, categories, abstract, question) -> dict[str, C
     }
 
 
+def _render(pieces, vals) -> Column:
+    return F.concat(*[vals[p] if p in SLOTS else F.lit(p) for p in pieces])
+
+
+QUESTION_AT = TEMPLATE.index("question")
+
+
 def build_prompt(title="title", authors="authors", categories="categories",
                  abstract="abstract", question="question") -> Column:
     vals = prompt_inputs(title, authors, categories, abstract, question)
-    parts = [vals[p] if p in SLOTS else F.lit(p) for p in TEMPLATE]
-    return F.concat(*parts)
+    return _render(TEMPLATE, vals)
+
+
+def prompt_head(title="title", authors="authors", categories="categories", abstract="abstract") -> Column:
+    """The paper's part of the prompt (everything before the question). Compute it once per
+    paper, before pairing with questions, so each pair only appends its question."""
+    vals = prompt_inputs(title, authors, categories, abstract, F.lit(None).cast("string"))
+    return _render(TEMPLATE[:QUESTION_AT - 1], vals)
+
+
+def prompt_from_head(head="prompt_head", question="question") -> Column:
+    """Head + question tail: equal to ``build_prompt`` on the same inputs."""
+    h = _c(head)
+    tail = TEMPLATE[QUESTION_AT - 1:]
+    return F.concat(h, *[_c(question) if p == "question" else F.lit(p) for p in tail])

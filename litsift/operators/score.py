@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.functions.prompt import build_prompt
+from litsift.functions.prompt import build_prompt, prompt_from_head
 from litsift.functions.response import parse_response
 from litsift.functions.text import tokens
 from litsift.operators.common import MAX_BROADCAST_ROWS, bounded_broadcast, row_count_upto
+from litsift.session import ship_package
 from litsift.sources.models import CALL_MAX_TOKENS, MODEL_KEYS, model_info
 
 MAX_QUESTIONS_BROADCAST = 50_000
@@ -105,8 +106,8 @@ def score_with(requests: DataFrame, scorer_factory: Callable, model_key: str,
                max_tokens: int = CALL_MAX_TOKENS, partitions: int | None = None) -> DataFrame:
     """Call a model for every request.
 
-    ``requests`` has ``arxiv_id, question_id, title, authors, categories, abstract,
-    question``. The prompt is built JVM-side; only ``(arxiv_id, question_id, prompt)``
+    ``requests`` has ``arxiv_id, question_id, question`` and either the paper fields
+    (``title, authors, categories, abstract``) or a precomputed ``prompt_head``. The prompt is built JVM-side; only ``(arxiv_id, question_id, prompt)``
     crosses to Python. ``scorer_factory()`` returns an object with
     ``analyze(prompt, model_id, max_tokens) -> (text, metadata)`` or a vectorised
     ``analyze_batch(prompts, model_id, max_tokens) -> pandas.DataFrame``.
@@ -114,8 +115,10 @@ def score_with(requests: DataFrame, scorer_factory: Callable, model_key: str,
     one consumer reads it, or the calls are paid twice.
     """
     info = model_info(model_key)
+    ship_package(requests.sparkSession)
+    prompt = prompt_from_head() if "prompt_head" in requests.columns else build_prompt()
     req = requests.select("arxiv_id", F.col("question_id").cast("long").alias("question_id"),
-                          build_prompt().alias("prompt"))
+                          prompt.alias("prompt"))
     if partitions:
         req = req.repartition(partitions)
     schema = ("arxiv_id string, question_id long, model_key string, response string, "
@@ -211,12 +214,14 @@ def mean_score(scores: DataFrame, errors: str = "zero") -> DataFrame:
     ``errors='zero'`` (reference behaviour) keeps the 0.0 of failed calls and failed
     parses in the mean; ``'skip'`` leaves them out (a paper with only failures -> NULL).
     """
-    s = scores
     if errors == "skip":
-        s = s.where(~F.col("error") & F.col("parse_error").isNull())
-    elif errors != "zero":
+        ok = ~F.col("error") & F.col("parse_error").isNull()
+        value = F.when(ok, F.col("relevance_score"))
+    elif errors == "zero":
+        value = F.col("relevance_score")
+    else:
         raise ValueError("errors must be 'zero' or 'skip'")
-    return s.groupBy("arxiv_id").agg(F.avg("relevance_score").alias("score"))
+    return scores.groupBy("arxiv_id").agg(F.avg(value).alias("score"))
 
 
 def token_usage(scores: DataFrame, models: DataFrame, by_model: bool = False) -> DataFrame:

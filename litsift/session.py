@@ -28,6 +28,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LITSIFT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     )
@@ -58,3 +59,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder (never a machine-local temp dir)."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/litsift/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``litsift`` importable in Python workers (needed by the mapInPandas scorer):
+    zip the package once per application and register it with ``addPyFile``, which
+    distributes it to every executor."""
+    import shutil
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    d = shared_dir(spark)
+    local = d[len("file:"):] if d.startswith("file:") else (d if d.startswith("/") else tempfile.mkdtemp())
+    target = os.path.join(local, "litsift-pkg", uuid.uuid4().hex[:12])
+    os.makedirs(target, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(target, "litsift"), "zip", root_dir=root, base_dir="litsift")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
