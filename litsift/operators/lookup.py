@@ -6,16 +6,23 @@ The reference asks a remote index three questions per paper, first hit wins:
 2. all title words        -> containment join on token sets (via the query's rarest token)
 3. first author + phrase  -> equi-join on (author last name, key phrase)
 
+Both sides are first reduced to keys in one pass (``prepare_papers``, ``catalogue_index``):
+normalised title, token-set key (sorted distinct tokens, space-joined, so the token array
+is ``split(key, ' ')`` and never needs to be carried through an aggregate), author last
+names and phrase words.
+
 Scale rules followed here (a title, author or token may hold a third of all rows):
 
-* Duplicates are collapsed before any pairing: papers are matched as *distinct keys*
-  (normalised title, token set, author+phrase) and the catalogue is reduced to the first
-  ``k + 1`` entries per key with a ``row_number() <= k+1`` filter, which Spark plans as a
-  partial ``WindowGroupLimit`` before the shuffle. No hot group is ever paired with itself.
-* Each join then has at most ``k + 1`` rows per key on one side; the other (hot) side is
-  split by AQE's skew-join handling.
+* Duplicates are collapsed before any pairing: papers are matched as *distinct keys* and the
+  catalogue is reduced to the first ``k + 1`` entries per key with a ``row_number() <= k+1``
+  filter, planned as a partial ``WindowGroupLimit`` before the shuffle. No hot group is ever
+  paired with itself; every join has at most ``k + 1`` rows per key on one side, and AQE's
+  skew-join handling splits the other (hot) side.
 * Candidates per paper are cut to the top ``k`` by ``(sim desc, entry_id)``: a
   deterministic order (the remote "relevance" order is not defined by the reference).
+* ``lookup_cascade`` checkpoints the prepared inputs and each tier's result (to the shared
+  checkpoint folder), so the catalogue is read and tokenised once for all three tiers and
+  the anti-joins between tiers do not recompute earlier tiers.
 """
 
 from __future__ import annotations
@@ -24,14 +31,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.functions import mail
-from litsift.operators.common import top_k
 from litsift.functions.text import (STOP_WORDS, first_author_last_name, key_phrase, last_name,
                                     norm_title, normalize_abstract, split_authors, token_set_key,
                                     tokens)
+from litsift.operators.common import top_k
 
 DEFAULT_K = 5          # results per query (max_results of the reference)
 MIN_TIER2_TOKENS = 2   # an empty/one-word token set would match far too much
-CAND_COLS = ["paper_key", "entry_id", "sim", "rank", "tier"]
+
+
+def key_tokens(key) -> Column:
+    """Token array of a token-set key ('' -> empty array)."""
+    k = F.col(key) if isinstance(key, str) else key
+    return F.when(k == "", F.array().cast("array<string>")).otherwise(F.split(k, " "))
 
 
 def jaccard(a, b) -> Column:
@@ -60,107 +72,137 @@ def phrase_grams(words) -> Column:
     return F.array_distinct(F.concat(ws, pairs))
 
 
-def _finish(cand: DataFrame, papers_side: DataFrame, key: str, k: int, tier: int,
-            self_cols: tuple[str, str] | None) -> DataFrame:
+# ---- one-pass preparation ---------------------------------------------------------------
+
+def prepare_papers(papers: DataFrame, self_col: str | None = None) -> DataFrame:
+    """Papers (``paper_key, title, authors``) -> lookup keys."""
+    tok = tokens("title")
+    p_self = F.col(self_col).cast("string") if self_col else F.lit(None).cast("string")
+    first = F.lower(first_author_last_name(split_authors("authors")))
+    return papers.select(
+        "paper_key", p_self.alias("p_self"),
+        norm_title("title").alias("nkey"),
+        token_set_key(tok).alias("q_key"), F.size(tok).alias("n_q"),
+        F.coalesce(first, F.lit("")).alias("a_last"),
+        F.coalesce(F.lower(key_phrase("title")), F.lit("")).alias("phrase"),
+    )
+
+
+def catalogue_index(catalogue: DataFrame, self_col: str | None = None) -> DataFrame:
+    """Catalogue (``entry_id, title, authors array``) -> lookup keys, one row per entry."""
+    c_self = F.col(self_col).cast("string") if self_col else F.lit(None).cast("string")
+    lasts = F.filter(F.array_distinct(F.transform("authors", lambda a: F.lower(last_name(a)))),
+                     lambda x: x.isNotNull() & (x != ""))
+    return catalogue.select(
+        "entry_id", c_self.alias("c_self"),
+        norm_title("title").alias("nkey"),
+        token_set_key(tokens("title")).alias("c_key"),
+        F.array_join(phrase_words("title"), " ").alias("pw_key"),
+        F.coalesce(lasts, F.array().cast("array<string>")).alias("c_lasts"),
+    )
+
+
+def _finish(cand: DataFrame, papers_side: DataFrame, keys: list[str], k: int, tier: int,
+            exclude_self: bool) -> DataFrame:
     """Per-key candidates (<= k+1 per key) -> per-paper top k, self-matches removed."""
-    joined = papers_side.join(cand, key)
-    if self_cols is not None:
+    joined = papers_side.join(cand, keys)
+    if exclude_self:
         joined = joined.where(~F.col("p_self").eqNullSafe(F.col("c_self")))
     ranked = top_k(joined, ["paper_key"], [F.col("sim").desc(), F.col("entry_id")], k)
     return ranked.select("paper_key", "entry_id", "sim", "rank", F.lit(tier).alias("tier"))
 
 
-def _prep(papers: DataFrame, catalogue: DataFrame, self_cols):
-    p_self = F.col(self_cols[0]) if self_cols else F.lit(None).cast("string")
-    c_self = F.col(self_cols[1]) if self_cols else F.lit(None).cast("string")
-    p = papers.select("paper_key", "title", "authors", p_self.cast("string").alias("p_self"))
-    c = catalogue.select("entry_id", F.col("title").alias("c_title"), F.col("authors").alias("c_authors"),
-                         c_self.cast("string").alias("c_self"))
-    return p, c
+def _tier1(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    p = pp.where(F.col("nkey") != "").select("paper_key", "p_self", "nkey")
+    c = idx.where(F.col("nkey") != "").select("entry_id", "c_self", "nkey")
+    per_key = top_k(c, ["nkey"], [F.col("entry_id")], k + 1, "r").drop("r").withColumn("sim", F.lit(1.0))
+    return _finish(per_key, p, ["nkey"], k, 1, exclude_self)
+
+
+def _tier2(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    p = pp.where(F.col("n_q") >= MIN_TIER2_TOKENS).select("paper_key", "p_self", "q_key")
+    c = idx.where(F.col("c_key") != "").select("entry_id", "c_self", "c_key")
+    q_sets = p.select("q_key").distinct()
+    postings = c.select("c_key").distinct().select("c_key", F.explode(key_tokens("c_key")).alias("tok"))
+    dfreq = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    # Any rarest token gives a complete candidate set (every match holds every query token);
+    # a token missing from the catalogue has df 0 and matches nothing.
+    q_toks = q_sets.select("q_key", F.explode(key_tokens("q_key")).alias("tok")).join(dfreq, "tok", "left")
+    rarest = q_toks.groupBy("q_key").agg(F.min_by("tok", F.coalesce(F.col("df"), F.lit(0))).alias("tok"))
+    pairs = (rarest.join(postings, "tok")
+             .where(F.size(F.array_except(key_tokens("q_key"), key_tokens("c_key"))) == 0)
+             .select("q_key", "c_key",
+                     (F.size(key_tokens("q_key")) / F.size(key_tokens("c_key"))).alias("sim")))
+    entries = top_k(c, ["c_key"], [F.col("entry_id")], k + 1, "r").drop("r")
+    per_key = top_k(pairs.join(entries, "c_key"), ["q_key"],
+                    [F.col("sim").desc(), F.col("entry_id")], k + 1, "r").drop("r", "c_key")
+    return _finish(per_key, p, ["q_key"], k, 2, exclude_self)
+
+
+def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    keys = ["a_last", "phrase", "q_key"]
+    p = pp.where((F.col("a_last") != "") & (F.col("phrase") != "")).select("paper_key", "p_self", *keys)
+    c = idx.select("entry_id", "c_self", "pw_key", "c_key", F.explode("c_lasts").alias("a_last"))
+    ckey = ["a_last", "pw_key", "c_key"]
+    entries = top_k(c, ckey, [F.col("entry_id")], k + 1, "r").drop("r")
+    c_keys = entries.select(*ckey).distinct() \
+        .select(*ckey, F.explode(phrase_grams(key_tokens("pw_key"))).alias("phrase"))
+    pairs = p.select(*keys).distinct().join(c_keys, ["a_last", "phrase"]) \
+        .select(*keys, "pw_key", "c_key", jaccard(key_tokens("q_key"), key_tokens("c_key")).alias("sim"))
+    per_key = top_k(pairs.join(entries, ckey), keys, [F.col("sim").desc(), F.col("entry_id")], k + 1, "r") \
+        .select(*keys, "entry_id", "c_self", "sim")
+    return _finish(per_key, p, keys, k, 3, exclude_self)
+
+
+def _prep(papers, catalogue, self_cols):
+    return (prepare_papers(papers, self_cols[0] if self_cols else None),
+            catalogue_index(catalogue, self_cols[1] if self_cols else None))
 
 
 def tier_exact(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
                self_cols: tuple[str, str] | None = None) -> DataFrame:
     """Catalogue entries whose normalised title equals the paper's."""
-    p, c = _prep(papers, catalogue, self_cols)
-    p = p.select("paper_key", "p_self", norm_title("title").alias("nkey")).where(F.col("nkey") != "")
-    c = c.select("entry_id", "c_self", norm_title("c_title").alias("nkey")).where(F.col("nkey") != "")
-    per_key = top_k(c, ["nkey"], [F.col("entry_id")], k + 1, "r").drop("r") \
-        .withColumn("sim", F.lit(1.0))
-    return _finish(per_key, p, "nkey", k, 1, self_cols)
+    return _tier1(*_prep(papers, catalogue, self_cols), k, self_cols is not None)
 
 
 def tier_tokens(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
                 self_cols: tuple[str, str] | None = None) -> DataFrame:
-    """Entries whose title contains every (non stop word) token of the paper's title.
-
-    Containment is found as an equi-join on the query's rarest token (document frequency
-    over distinct catalogue token sets) and then verified with ``array_except``.
-    """
-    p, c = _prep(papers, catalogue, self_cols)
-    p = p.select("paper_key", "p_self", tokens("title").alias("q_tok")) \
-        .where(F.size("q_tok") >= MIN_TIER2_TOKENS) \
-        .withColumn("q_key", token_set_key("q_tok"))
-    c = c.select("entry_id", "c_self", tokens("c_title").alias("c_tok")).where(F.size("c_tok") > 0) \
-        .withColumn("c_key", token_set_key("c_tok"))
-
-    q_sets = p.groupBy("q_key").agg(F.any_value("q_tok").alias("q_tok"))
-    c_sets = c.groupBy("c_key").agg(F.any_value("c_tok").alias("c_tok"))
-    postings = c_sets.select("c_key", "c_tok", F.explode("c_tok").alias("tok"))
-    dfreq = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    # A token missing from the catalogue has df 0: it becomes the rarest and matches nothing.
-    q_toks = q_sets.select("q_key", F.explode("q_tok").alias("tok")).join(dfreq, "tok", "left")
-    rarest = q_toks.groupBy("q_key").agg(
-        F.min(F.struct(F.coalesce(F.col("df"), F.lit(0)).alias("df"), F.col("tok"))).getField("tok").alias("tok"))
-    pairs = (rarest.join(q_sets, "q_key").join(postings, "tok")
-             .where(F.size(F.array_except("q_tok", "c_tok")) == 0)
-             .select("q_key", "c_key", (F.size("q_tok") / F.size("c_tok")).alias("sim")))
-    entries = top_k(c.select("c_key", "entry_id", "c_self"), ["c_key"], [F.col("entry_id")], k + 1, "r")
-    per_key = top_k(pairs.join(entries.drop("r"), "c_key"), ["q_key"],
-                    [F.col("sim").desc(), F.col("entry_id")], k + 1, "r").drop("r", "c_key")
-    return _finish(per_key, p.select("paper_key", "p_self", "q_key"), "q_key", k, 2, self_cols)
+    """Entries whose title contains every (non stop word) token of the paper's title,
+    found as an equi-join on the query's rarest token and verified with ``array_except``."""
+    return _tier2(*_prep(papers, catalogue, self_cols), k, self_cols is not None)
 
 
 def tier_author_phrase(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
                        self_cols: tuple[str, str] | None = None) -> DataFrame:
     """An entry by the paper's first author (last name, case-insensitive) whose title
     holds the paper's key phrase (first two non stop words, consecutive once stop words
-    are skipped)."""
-    p, c = _prep(papers, catalogue, self_cols)
-    p = p.select("paper_key", "p_self",
-                 F.lower(first_author_last_name(split_authors("authors"))).alias("a_last"),
-                 F.lower(key_phrase("title")).alias("phrase"),
-                 tokens("title").alias("q_tok")) \
-        .where((F.coalesce(F.col("a_last"), F.lit("")) != "") & (F.col("phrase") != ""))
-    p = p.withColumn("q3_key", F.concat_ws("\u0001", "a_last", "phrase", token_set_key("q_tok")))
-
-    c = c.select("entry_id", "c_self", "c_title",
-                 F.explode(F.array_distinct(F.transform("c_authors", lambda a: F.lower(last_name(a))))).alias("a_last")) \
-        .where(F.col("a_last") != "")
-    entries = top_k(c, ["a_last", "c_title"], [F.col("entry_id")], k + 1, "r").drop("r")
-    c_keys = entries.select("a_last", "c_title").distinct() \
-        .select("a_last", "c_title", tokens("c_title").alias("c_tok"), phrase_words("c_title").alias("ws")) \
-        .select("a_last", "c_title", "c_tok", F.explode(phrase_grams("ws")).alias("phrase"))
-    q_keys = p.groupBy("q3_key").agg(F.any_value("a_last").alias("a_last"),
-                                      F.any_value("phrase").alias("phrase"),
-                                      F.any_value("q_tok").alias("q_tok"))
-    pairs = q_keys.join(c_keys, ["a_last", "phrase"]) \
-        .select("q3_key", "a_last", "c_title", jaccard("q_tok", "c_tok").alias("sim"))
-    per_key = top_k(pairs.join(entries, ["a_last", "c_title"]), ["q3_key"],
-                    [F.col("sim").desc(), F.col("entry_id")], k + 1, "r") \
-        .select("q3_key", "entry_id", "c_self", "sim")
-    return _finish(per_key, p.select("paper_key", "p_self", "q3_key"), "q3_key", k, 3, self_cols)
+    are skipped), as an equi-join on (last name, phrase) against the entries' word n-grams."""
+    return _tier3(*_prep(papers, catalogue, self_cols), k, self_cols is not None)
+
+
+def _materialize(df: DataFrame, on: bool) -> DataFrame:
+    if not on:
+        return df
+    from litsift.session import shared_dir
+    shared_dir(df.sparkSession)          # checkpoint() needs the shared folder registered
+    return df.checkpoint(eager=True)
 
 
 def lookup_cascade(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
-                   self_cols: tuple[str, str] | None = None) -> DataFrame:
+                   self_cols: tuple[str, str] | None = None, materialize: bool = True) -> DataFrame:
     """Tier 1, then tier 2 for papers tier 1 missed, then tier 3 (first tier with any
-    result wins). Output ``paper_key, entry_id, sim, rank, tier`` with ``rank`` 1..k."""
-    t1 = tier_exact(papers, catalogue, k, self_cols)
-    rest = papers.join(t1.where(F.col("rank") == 1).select("paper_key"), "paper_key", "left_anti")
-    t2 = tier_tokens(rest, catalogue, k, self_cols)
+    result wins). Output ``paper_key, entry_id, sim, rank, tier`` with ``rank`` 1..k.
+
+    With ``materialize`` the prepared keys and each tier's result are checkpointed (eager),
+    which also cuts the lineage of this long plan."""
+    ex = self_cols is not None
+    pp, idx = _prep(papers, catalogue, self_cols)
+    pp, idx = _materialize(pp, materialize), _materialize(idx, materialize)
+    t1 = _materialize(_tier1(pp, idx, k, ex), materialize)
+    rest = pp.join(t1.where(F.col("rank") == 1).select("paper_key"), "paper_key", "left_anti")
+    t2 = _materialize(_tier2(rest, idx, k, ex), materialize)
     rest = rest.join(t2.where(F.col("rank") == 1).select("paper_key"), "paper_key", "left_anti")
-    t3 = tier_author_phrase(rest, catalogue, k, self_cols)
+    t3 = _tier3(rest, idx, k, ex)
     return t1.unionByName(t2).unionByName(t3)
 
 

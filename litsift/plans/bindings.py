@@ -41,12 +41,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df if name in SMALL_TABLES else spread(df)
+    """A plain scan: filters and projections written after it reach Parquet."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def papers_from_documents(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return spread(docs).select(
         F.col("doc_id").cast("string").alias("arxiv_id"),
         F.col("doc_id").cast("string").alias("paper_key"),
         clean_title(first_line("text")).alias("title"),
@@ -58,7 +58,7 @@ def papers_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def catalogue_from_documents(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return spread(docs).select(
         F.concat(F.lit(ENTRY_PREFIX), F.col("doc_id").cast("string")).alias("entry_id"),
         F.col("doc_id").cast("string").alias("doc_key"),
         first_line("text").alias("title"),
@@ -104,6 +104,7 @@ def messages_from_pages(pages: DataFrame, events: DataFrame | None) -> DataFrame
     """One message per page. Even pages carry the HTML as ``payload.body``; odd pages are
     multipart (a text/plain part, then the text/html part). Headers come from the event with
     the page's id; without ``events`` (no join, no shuffle) only the body is set."""
+    pages = spread(pages)
     if events is not None:
         e = events.select(F.col("event_id").alias("page_id"), "ts", "event_type", "user_id")
         j = pages.join(e, "page_id", "left")
