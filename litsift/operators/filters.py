@@ -62,8 +62,10 @@ def is_digest(subject="email_subject", ts="email_ts", since=None,
     pred = F.contains(F.lower(s), F.lit(needle.lower()))
     if since is not None:
         t = F.col(ts) if isinstance(ts, str) else ts
-        pred = pred & (t >= _since_col(since))
-    return F.coalesce(pred, F.lit(False))
+        # A plain conjunction (NULL counts as false in where/count_if): the date bound stays
+        # a separate conjunct that Catalyst pushes into the Parquet scan.
+        pred = (t >= _since_col(since)) & pred
+    return pred
 
 
 def filter_digests(df: DataFrame, since=None, needle: str = DIGEST_NEEDLE,
