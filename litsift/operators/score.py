@@ -127,6 +127,21 @@ def score_with(requests: DataFrame, scorer_factory: Callable, model_key: str,
     return finish_scores(raw)
 
 
+REQUEST_KEY = ["arxiv_id", "question_id", "model_key"]
+
+
+def pending_requests(requests: DataFrame, answered: DataFrame, model_key: str) -> DataFrame:
+    """Requests without a stored answer for ``model_key`` (anti-join on the request key).
+
+    With a paid, non-deterministic scorer, write each ``score_with`` result to a table and
+    call only the pending requests on a re-run: calls already answered (before a failure)
+    are never paid again, and the stored table stays the single source of answers.
+    """
+    done = answered.where(F.col("model_key") == model_key) \
+        .select("arxiv_id", F.col("question_id").cast("long").alias("question_id")).distinct()
+    return requests.join(done, ["arxiv_id", "question_id"], "left_anti")
+
+
 def finish_scores(raw: DataFrame) -> DataFrame:
     """P23-P26 on answers: parse, or mark the row as a failed call."""
     parsed = parse_response(F.col("response"))

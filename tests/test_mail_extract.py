@@ -124,3 +124,18 @@ def test_recent_papers_end_to_end(spark):
     out = recent_papers(msgs, now="2021-01-20", days=30).collect()
     assert [r.email_id for r in out] == ["msg1"]
     assert out[0].title == "Scholar Alert Digest AA/BB" and out[0].arxiv_id is None
+
+
+def test_parsed_extractor_matches_regex_and_handles_nesting(spark):
+    five = "<div class='scholar-inbox.com'>" + "".join(ARTICLE.format(i=i, rel=10 * i) for i in range(5)) + "</div>"
+    msgs = [message(), message("five", html=five)]
+    f = filters.filter_marker(_fields(spark, msgs))
+    cols = ["email_id", "article_pos", "title", "authors", "relevance", "venue", "url"]
+    a = sorted(tuple(r) for r in extract.extract_articles(f).select(*cols).collect())
+    b = sorted(tuple(r) for r in extract.extract_articles_parsed(f).select(*cols).collect())
+    assert a == b
+    nested = ("<div>scholar-inbox.com<article><h2><a href='o'>Outer</a></h2><!-- <article> -->"
+              "<article><h2><a href='i'>Inner &#233;</a></h2></article></article></div>")
+    g = filters.filter_marker(_fields(spark, [message("n", html=nested)]))
+    rows = extract.extract_articles_parsed(g).orderBy("article_pos").collect()
+    assert [(r.title, r.url) for r in rows] == [("Outer", "o"), ("Inner é", "i")]

@@ -120,3 +120,11 @@ def test_dedup_by_title_and_skip_stored(spark):
     new = spark.createDataFrame([("1",), ("2",)], "arxiv_id string")
     old = spark.createDataFrame([("2",), (None,)], "arxiv_id string")
     assert [r.arxiv_id for r in dedup.skip_stored(new, old).collect()] == ["1"]
+
+
+def test_pending_requests(spark):
+    req = score.pair_requests(papers(spark).select("arxiv_id"), questions_df(spark, ["q1", "q2"]))
+    answered = spark.createDataFrame([("1", 0, "gpt-4o"), ("2", 1, "gpt-4o"), ("3", 0, "other")],
+                                     "arxiv_id string, question_id long, model_key string")
+    left = {(r.arxiv_id, r.question_id) for r in score.pending_requests(req, answered, "gpt-4o").collect()}
+    assert left == {("1", 1), ("2", 0), ("3", 0), ("3", 1)}
