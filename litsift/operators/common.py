@@ -35,3 +35,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
     if n <= max_rows:
         return F.broadcast(df), n
     return df, None
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Eager, reliable checkpoint into the shared checkpoint folder (cuts the lineage).
+
+    Used where one result feeds several consumers, or where codegen would otherwise
+    re-evaluate a per-row expression once per joined pair (a Project's deterministic
+    expressions are evaluated where the consumer first uses them, e.g. inside a nested-loop
+    join's inner loop).
+    """
+    from litsift.session import shared_dir
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

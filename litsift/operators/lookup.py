@@ -34,7 +34,7 @@ from litsift.functions import mail
 from litsift.functions.text import (STOP_WORDS, first_author_last_name, key_phrase, last_name,
                                     norm_title, normalize_abstract, split_authors, token_set_key,
                                     tokens)
-from litsift.operators.common import top_k
+from litsift.operators.common import materialize, top_k
 
 DEFAULT_K = 5          # results per query (max_results of the reference)
 MIN_TIER2_TOKENS = 2   # an empty/one-word token set would match far too much
@@ -181,11 +181,7 @@ def tier_author_phrase(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT
 
 
 def _materialize(df: DataFrame, on: bool) -> DataFrame:
-    if not on:
-        return df
-    from litsift.session import shared_dir
-    shared_dir(df.sparkSession)          # checkpoint() needs the shared folder registered
-    return df.checkpoint(eager=True)
+    return materialize(df) if on else df
 
 
 def lookup_cascade(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,

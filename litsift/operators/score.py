@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.functions.prompt import build_prompt, prompt_from_head
+from litsift.functions.prompt import build_prompt, prompt_from_head, prompt_head
 from litsift.functions.response import parse_response
 from litsift.functions.text import tokens
-from litsift.operators.common import MAX_BROADCAST_ROWS, bounded_broadcast, row_count_upto
+from litsift.operators.common import MAX_BROADCAST_ROWS, bounded_broadcast, materialize, row_count_upto
 from litsift.session import ship_package
 from litsift.sources.models import CALL_MAX_TOKENS, MODEL_KEYS, model_info
 
@@ -47,6 +47,12 @@ def pair_requests(papers: DataFrame, questions: DataFrame,
     return papers.crossJoin(q)
 
 
+def request_heads(papers: DataFrame, id_col: str = "arxiv_id") -> DataFrame:
+    """Per-paper part of every prompt, built once per paper and materialized before the
+    pairing with questions, so each pair only appends its question."""
+    return materialize(papers.select(F.col(id_col).alias("arxiv_id"), prompt_head().alias("prompt_head")))
+
+
 # ---- J7: model lookup --------------------------------------------------------------------
 
 def attach_model(requests: DataFrame, models: DataFrame, model_col: str = "model_key") -> DataFrame:

@@ -486,9 +486,8 @@ SELECT p.arxiv_id, q.question_id, CAST(length({PROMPT_SQL}) AS INTEGER) AS promp
 FROM p CROSS JOIN q
 """)
 def q_prompts(spark, sf):
-    from litsift.functions.prompt import prompt_from_head, prompt_head
-    papers = _papers(spark, sf).select("arxiv_id", prompt_head().alias("prompt_head"))
-    req = score.pair_requests(papers, _questions(spark, sf))
+    from litsift.functions.prompt import prompt_from_head
+    req = score.pair_requests(score.request_heads(_papers(spark, sf)), _questions(spark, sf))
     pr = prompt_from_head()
     return req.select("arxiv_id", "question_id", F.length(pr).alias("prompt_len"), F.md5(pr).alias("prompt_md5"))
 
@@ -774,9 +773,7 @@ SELECT p.arxiv_id, round(avg(CAST(length({PROMPT_SQL}) % 11 AS DOUBLE) / 10.0),
 FROM p CROSS JOIN q GROUP BY p.arxiv_id
 """)
 def q_score_udf(spark, sf):
-    from litsift.functions.prompt import prompt_head
-    papers = _papers(spark, sf).select("arxiv_id", prompt_head().alias("prompt_head"))
-    req = score.pair_requests(papers, _questions(spark, sf))
+    req = score.pair_requests(score.request_heads(_papers(spark, sf)), _questions(spark, sf))
     s = score.score_with(req, LengthScorer, MODEL)
     return score.mean_score(s).select("arxiv_id", _r(F.col("score")).alias("score"))
 
