@@ -48,6 +48,17 @@ def _since_col(since) -> Column:
     return F.to_date(F.lit(str(since)[:10]))
 
 
+def _since_bound(df: DataFrame | None, ts: str, since) -> Column:
+    """Start of the ``since`` day in UTC, typed for the column it is compared with: a
+    wall-clock (``timestamp_ntz``) column compares with the date itself; an instant
+    (``timestamp``) column with UTC midnight, whatever the session time zone is."""
+    day = _since_col(since)
+    if df is not None and ts in df.columns and df.schema[ts].dataType.typeName() == "timestamp":
+        return F.make_timestamp(F.year(day), F.month(day), F.dayofmonth(day),
+                                F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
+    return day
+
+
 def default_since(now=None, days: int = DEFAULT_SINCE_DAYS) -> Column:
     """the day ``days`` before ``now`` (today when not given)."""
     base = F.current_date() if now is None else _since_col(now)
@@ -55,16 +66,16 @@ def default_since(now=None, days: int = DEFAULT_SINCE_DAYS) -> Column:
 
 
 def is_digest(subject="email_subject", ts="email_ts", since=None,
-              needle: str = DIGEST_NEEDLE) -> Column:
+              needle: str = DIGEST_NEEDLE, df: DataFrame | None = None) -> Column:
     """F1 predicate: subject contains ``needle`` (case-insensitive) and received on or after
-    the day ``since`` (inclusive)."""
+    the day ``since`` (inclusive, UTC)."""
     s = F.col(subject) if isinstance(subject, str) else subject
     pred = F.contains(F.lower(s), F.lit(needle.lower()))
     if since is not None:
         t = F.col(ts) if isinstance(ts, str) else ts
         # A plain conjunction (NULL counts as false in where/count_if): the date bound stays
         # a separate conjunct that Catalyst pushes into the Parquet scan.
-        pred = (t >= _since_col(since)) & pred
+        pred = (t >= _since_bound(df, ts if isinstance(ts, str) else "", since)) & pred
     return pred
 
 
@@ -72,7 +83,7 @@ def filter_digests(df: DataFrame, since=None, needle: str = DIGEST_NEEDLE,
                    subject: str = "email_subject", ts: str = "email_ts") -> DataFrame:
     """keep digest messages. On stored messages with top-level ``subject``/``ts``
     columns this filter reaches the Parquet scan (PushedFilters)."""
-    return df.where(is_digest(subject, ts, since, needle))
+    return df.where(is_digest(subject, ts, since, needle, df))
 
 
 def filter_marker(df: DataFrame, marker: str = DIGEST_MARKER, col: str = "body_html") -> DataFrame:
@@ -84,7 +95,7 @@ def digest_counts(df: DataFrame, since=None, needle: str = DIGEST_NEEDLE,
                   subject: str = "email_subject", ts: str = "email_ts") -> DataFrame:
     """A5: messages seen and digests kept, in one pass (partial aggregation per task)."""
     return df.agg(F.count(F.lit(1)).alias("n_messages"),
-                  F.count_if(is_digest(subject, ts, since, needle)).alias("n_digests"))
+                  F.count_if(is_digest(subject, ts, since, needle, df)).alias("n_digests"))
 
 
 def require_columns(df: DataFrame, cols: list[str]) -> None:

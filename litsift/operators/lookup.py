@@ -123,13 +123,17 @@ def _tier2(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
     p = pp.where(F.col("n_q") >= MIN_TIER2_TOKENS).select("paper_key", "p_self", "q_key")
     c = idx.where(F.col("c_key") != "").select("entry_id", "c_self", "c_key")
     q_sets = p.select("q_key").distinct()
-    postings = c.select("c_key").distinct().select("c_key", F.explode(key_tokens("c_key")).alias("tok"))
+    # Distinct catalogue token sets get a 64-bit id: the postings (one row per token) then
+    # carry 8 bytes instead of the whole key. A (rare) id collision only adds candidates;
+    # the containment check below uses the full key, so the result stays exact.
+    c_sets = c.select("c_key").distinct().withColumn("gid", F.xxhash64("c_key"))
+    postings = c_sets.select("gid", F.explode(key_tokens("c_key")).alias("tok"))
     dfreq = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     # Any rarest token gives a complete candidate set (every match holds every query token);
     # a token missing from the catalogue has df 0 and matches nothing.
     q_toks = q_sets.select("q_key", F.explode(key_tokens("q_key")).alias("tok")).join(dfreq, "tok", "left")
     rarest = q_toks.groupBy("q_key").agg(F.min_by("tok", F.coalesce(F.col("df"), F.lit(0))).alias("tok"))
-    pairs = (rarest.join(postings, "tok")
+    pairs = (rarest.join(postings, "tok").select("q_key", "gid").join(c_sets, "gid")
              .where(F.size(F.array_except(key_tokens("q_key"), key_tokens("c_key"))) == 0)
              .select("q_key", "c_key",
                      (F.size(key_tokens("q_key")) / F.size(key_tokens("c_key"))).alias("sim")))
@@ -145,9 +149,14 @@ def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
     c = idx.select("entry_id", "c_self", "pw_key", "c_key", F.explode("c_lasts").alias("a_last"))
     ckey = ["a_last", "pw_key", "c_key"]
     entries = top_k(c, ckey, [F.col("entry_id")], k + 1, "r").drop("r")
-    c_keys = entries.select(*ckey).distinct() \
-        .select(*ckey, F.explode(phrase_grams(key_tokens("pw_key"))).alias("phrase"))
-    pairs = p.select(*keys).distinct().join(c_keys, ["a_last", "phrase"]) \
+    # One row per phrase of each distinct (author, title words, token set) group, carrying a
+    # 64-bit group id rather than the long keys; matches are re-checked on the full key.
+    groups = entries.select(*ckey).distinct().withColumn("gid", F.xxhash64(*ckey))
+    grams = groups.select("gid", "a_last", F.explode(phrase_grams(key_tokens("pw_key"))).alias("phrase"))
+    hits = p.select(*keys).distinct().join(grams, ["a_last", "phrase"]).select(*keys, "gid")
+    pairs = hits.join(groups.withColumnRenamed("a_last", "g_last"), "gid") \
+        .where((F.col("g_last") == F.col("a_last"))
+               & F.array_contains(phrase_grams(key_tokens("pw_key")), F.col("phrase"))) \
         .select(*keys, "pw_key", "c_key", jaccard(key_tokens("q_key"), key_tokens("c_key")).alias("sim"))
     per_key = top_k(pairs.join(entries, ckey), keys, [F.col("sim").desc(), F.col("entry_id")], k + 1, "r") \
         .select(*keys, "entry_id", "c_self", "sim")
