@@ -128,3 +128,15 @@ def test_pending_requests(spark):
                                      "arxiv_id string, question_id long, model_key string")
     left = {(r.arxiv_id, r.question_id) for r in score.pending_requests(req, answered, "gpt-4o").collect()}
     assert left == {("1", 1), ("2", 0), ("3", 0), ("3", 1)}
+
+
+def test_dedup_hot_id_is_limited_before_the_shuffle(spark):
+    n = 3000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+                               .alias("arxiv_id"), F.col("id").alias("ord"))
+    d = dedup.dedup_by_id(df, order=["ord"], fallback=["ord"])
+    assert d.count() == n - n // 3 + 1
+    assert d.where(F.col("arxiv_id") == "hot").first().ord == 0
+    p = d._jdf.queryExecution().executedPlan().toString()
+    # partial limit under the exchange, final limit above it
+    assert p.index("Exchange hashpartitioning") < p.rindex("WindowGroupLimit")
