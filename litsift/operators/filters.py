@@ -80,10 +80,14 @@ def is_digest(subject="email_subject", ts="email_ts", since=None,
 
 
 def filter_digests(df: DataFrame, since=None, needle: str = DIGEST_NEEDLE,
-                   subject: str = "email_subject", ts: str = "email_ts") -> DataFrame:
-    """keep digest messages. On stored messages with top-level ``subject``/``ts``
-    columns this filter reaches the Parquet scan (PushedFilters)."""
-    return df.where(is_digest(subject, ts, since, needle, df))
+                   subject: str = "email_subject", ts: str = "email_ts", day: str = "day") -> DataFrame:
+    """keep digest messages. On stored messages (top-level subject/time columns,
+    partitioned by ``day``) the time bound reaches the Parquet scan (PushedFilters) and the
+    day bound prunes partitions (PartitionFilters)."""
+    pred = is_digest(subject, ts, since, needle, df)
+    if since is not None and day in df.columns:
+        pred = (F.col(day) >= _since_col(since)) & pred
+    return df.where(pred)
 
 
 def filter_marker(df: DataFrame, marker: str = DIGEST_MARKER, col: str = "body_html") -> DataFrame:

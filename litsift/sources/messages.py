@@ -1,16 +1,40 @@
-"""The message table (mail messages as rows)."""
+"""The message table (mail messages as rows) and its stored, prunable form."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from litsift.schemas import MESSAGE
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Scan stored messages with a fixed schema (no inference pass over the data).
+    """Scan raw messages with a fixed schema (no inference pass over the data).
 
     Unlike the mail API (first result page only), a table scan has no page cap.
     """
     reader = spark.read.schema(MESSAGE)
     return reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
+
+
+def utc_day(ts) -> F.Column:
+    """UTC calendar day of an instant, whatever the session time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / F.lit(86400)).cast("int"))
+
+
+def write_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
+    """Store messages for repeated triage runs: the subject and receive time become
+    top-level columns (a predicate inside ``payload.headers`` cannot reach the scan) and
+    files are partitioned by receive day (UTC), so a ``since`` filter prunes whole days."""
+    from litsift.operators.filters import message_fields
+
+    keep = [c for c in messages.columns]
+    f = message_fields(messages, keep=keep)
+    out = f.select(*keep, "email_subject", "email_ts",
+                   utc_day(F.col("email_ts")).alias("day"))
+    out.write.mode(mode).partitionBy("day").parquet(path)
+
+
+def read_stored_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Scan stored messages (``write_messages``); ``day`` is a partition column."""
+    return spark.read.parquet(path)

@@ -139,3 +139,21 @@ def test_parsed_extractor_matches_regex_and_handles_nesting(spark):
     g = filters.filter_marker(_fields(spark, [message("n", html=nested)]))
     rows = extract.extract_articles_parsed(g).orderBy("article_pos").collect()
     assert [(r.title, r.url) for r in rows] == [("Outer", "o"), ("Inner é", "i")]
+
+
+def test_stored_messages_prune_by_day(spark):
+    from litsift.session import scratch_path
+    from litsift.sources.messages import read_stored_messages, write_messages
+    msgs = [message("a", headers=[("Subject", "Scholar Alert Digest"), ("Date", "Fri, 01 Jan 2021 10:00:00 +0000")]),
+            message("b", headers=[("Subject", "Scholar Alert Digest"), ("Date", "Sun, 10 Jan 2021 23:30:00 -0100")]),
+            message("c", headers=[("Subject", "Invoice"), ("Date", "Sun, 10 Jan 2021 10:00:00 +0000")])]
+    path = scratch_path(spark, "t-messages")
+    write_messages(spark.createDataFrame(msgs, MESSAGE), path)
+    stored = read_stored_messages(spark, path)
+    kept = filters.filter_digests(stored, since="2021-01-05")
+    assert [r.id for r in kept.collect()] == ["b"]              # 23:30 -0100 is 11 Jan UTC
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(email_ts" in plan
+    papers = recent_papers(stored.select(*[c for c in stored.columns if c in MESSAGE.fieldNames()]),
+                           since="2021-01-01")
+    assert papers.count() == 2
