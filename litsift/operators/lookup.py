@@ -104,18 +104,23 @@ def catalogue_index(catalogue: DataFrame, self_col: str | None = None) -> DataFr
 
 def _finish(cand: DataFrame, papers_side: DataFrame, keys: list[str], k: int, tier: int,
             exclude_self: bool) -> DataFrame:
-    """Per-key candidates (<= k+1 per key) -> per-paper top k, self-matches removed."""
+    """Per-key candidates (<= k+1 per key, ranked ``r`` by (sim desc, entry_id)) -> per-paper
+    top k. Every paper with a key gets that key's list, so without self-exclusion the key's
+    rank is the paper's rank (no second shuffle); with it, the paper's own entry is removed
+    and the rest re-ranked per paper."""
     joined = papers_side.join(cand, keys)
-    if exclude_self:
+    if not exclude_self:
+        ranked = joined.where(F.col("r") <= k).withColumn("rank", F.col("r").cast("int"))
+    else:
         joined = joined.where(~F.col("p_self").eqNullSafe(F.col("c_self")))
-    ranked = top_k(joined, ["paper_key"], [F.col("sim").desc(), F.col("entry_id")], k)
+        ranked = top_k(joined, ["paper_key"], [F.col("sim").desc(), F.col("entry_id")], k)
     return ranked.select("paper_key", "entry_id", "sim", "rank", F.lit(tier).alias("tier"))
 
 
 def _tier1(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     p = pp.where(F.col("nkey") != "").select("paper_key", "p_self", "nkey")
     c = idx.where(F.col("nkey") != "").select("entry_id", "c_self", "nkey")
-    per_key = top_k(c, ["nkey"], [F.col("entry_id")], k + 1, "r").drop("r").withColumn("sim", F.lit(1.0))
+    per_key = top_k(c, ["nkey"], [F.col("entry_id")], k + 1, "r").withColumn("sim", F.lit(1.0))
     return _finish(per_key, p, ["nkey"], k, 1, exclude_self)
 
 
@@ -139,7 +144,7 @@ def _tier2(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
                      (F.size(key_tokens("q_key")) / F.size(key_tokens("c_key"))).alias("sim")))
     entries = top_k(c, ["c_key"], [F.col("entry_id")], k + 1, "r").drop("r")
     per_key = top_k(pairs.join(entries, "c_key"), ["q_key"],
-                    [F.col("sim").desc(), F.col("entry_id")], k + 1, "r").drop("r", "c_key")
+                    [F.col("sim").desc(), F.col("entry_id")], k + 1, "r").drop("c_key")
     return _finish(per_key, p, ["q_key"], k, 2, exclude_self)
 
 
@@ -159,7 +164,7 @@ def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
                & F.array_contains(phrase_grams(key_tokens("pw_key")), F.col("phrase"))) \
         .select(*keys, "pw_key", "c_key", jaccard(key_tokens("q_key"), key_tokens("c_key")).alias("sim"))
     per_key = top_k(pairs.join(entries, ckey), keys, [F.col("sim").desc(), F.col("entry_id")], k + 1, "r") \
-        .select(*keys, "entry_id", "c_self", "sim")
+        .select(*keys, "entry_id", "c_self", "sim", "r")
     return _finish(per_key, p, keys, k, 3, exclude_self)
 
 
