@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsift.functions import mail
-from litsift.functions.prompt import build_prompt
-from litsift.functions.text import clean_title, first_line, key_phrase, last_name, split_authors
+from litsift.functions.text import key_phrase, last_name, split_authors
 from litsift.operators import dedup, extract, filters, lookup, rank, score
 from litsift.plans import bindings as B
 from litsift.plans import oracle as O
