@@ -120,6 +120,12 @@ def score_with(requests: DataFrame, scorer_factory: Callable, model_key: str,
     ``partitions`` sets the call parallelism. Persist or write the result before more than
     one consumer reads it, or the calls are paid twice.
     """
+    return finish_scores(call_model(requests, scorer_factory, model_key, max_tokens, partitions))
+
+
+def call_model(requests: DataFrame, scorer_factory: Callable, model_key: str,
+               max_tokens: int = CALL_MAX_TOKENS, partitions: int | None = None) -> DataFrame:
+    """U1 raw answers (``RESPONSE`` columns + ``answered_at``), before parsing."""
     info = model_info(model_key)
     ship_package(requests.sparkSession)
     prompt = prompt_from_head() if "prompt_head" in requests.columns else build_prompt()
@@ -130,7 +136,30 @@ def score_with(requests: DataFrame, scorer_factory: Callable, model_key: str,
     schema = ("arxiv_id string, question_id long, model_key string, response string, "
               "prompt_tokens long, completion_tokens long, total_tokens long, call_error string")
     raw = req.mapInPandas(_adapter(scorer_factory, model_key, info["api_model_id"], max_tokens), schema)
-    return finish_scores(raw)
+    return raw.withColumn("answered_at", F.current_timestamp())
+
+
+def score_and_store(requests: DataFrame, scorer_factory: Callable, model_key: str, answers_path: str,
+                    max_tokens: int = CALL_MAX_TOKENS, partitions: int | None = None) -> DataFrame:
+    """U1 with exactly-once answers for a paid, non-deterministic model.
+
+    Only requests without a stored answer are sent (``pending_requests``); their raw
+    answers are appended to the answer table at ``answers_path`` in one committed write
+    (a retried or speculative task's output is discarded by the commit protocol), and the
+    scores are then read back from that table. A re-run after a failure pays only for the
+    calls that were not yet stored; failed calls are stored too and are not retried.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = requests.sparkSession
+    try:
+        stored = spark.read.parquet(answers_path)
+        pending = pending_requests(requests, stored, model_key)
+    except AnalysisException:
+        pending = requests
+    call_model(pending, scorer_factory, model_key, max_tokens, partitions) \
+        .write.mode("append").parquet(answers_path)
+    return join_responses(requests, spark.read.parquet(answers_path), model_key)
 
 
 REQUEST_KEY = ["arxiv_id", "question_id", "model_key"]
@@ -174,6 +203,13 @@ def join_responses(requests: DataFrame, responses: DataFrame, model_key: str) ->
                             "response", "prompt_tokens", "completion_tokens", "total_tokens",
                             F.col("call_error") if "call_error" in responses.columns
                             else F.lit(None).cast("string").alias("call_error"))
+    # One answer per request key: the last one stored wins (a key answered twice, e.g. by
+    # two overlapping runs, must not duplicate the request row).
+    if "answered_at" in responses.columns:
+        last = last_write(responses.withColumn("question_id", F.col("question_id").cast("long")),
+                          REQUEST_KEY, ["answered_at", "response"],
+                          ["response", "prompt_tokens", "completion_tokens", "total_tokens", "call_error"])
+        resp = last.drop("n_writes")
     j = req.join(resp, ["arxiv_id", "question_id", "model_key"], "left")
     scored = finish_scores(j.withColumn("call_error", F.coalesce(
         F.col("call_error"),

@@ -39,15 +39,19 @@ class TriageResult:
 
 
 def analyze(papers: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
-            scorer_factory=None, responses: DataFrame | None = None) -> DataFrame:
+            scorer_factory=None, responses: DataFrame | None = None,
+            answers_path: str | None = None) -> DataFrame:
     """Score every (paper, question) pair -> one score row per pair.
 
-    With ``scorer_factory`` the model is called (U1); with ``responses`` stored answers are
-    joined (J9); with neither the lexical scorer (U2) is used.
+    With ``scorer_factory`` the model is called (U1) -- with ``answers_path`` only for
+    requests not answered before, answers stored there once; with ``responses`` stored
+    answers are joined (J9); with neither the lexical scorer (U2) is used.
     """
     valid, _rejected = filters.split_valid(papers)
     if scorer_factory is not None or responses is not None:
         req = score.pair_requests(valid, questions)
+        if scorer_factory is not None and answers_path:
+            return score.score_and_store(req, scorer_factory, model, answers_path)
         if scorer_factory is not None:
             return score.score_with(req, scorer_factory, model)
         return score.join_responses(req, responses, model)
@@ -62,7 +66,8 @@ def analyze(papers: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
 
 def triage(raw_papers: DataFrame, catalogue: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
            n: int = rank.DEFAULT_TOP_N, k: int = lookup.DEFAULT_K, scorer_factory=None,
-           responses: DataFrame | None = None, dedup_order: list[str] | None = None) -> TriageResult:
+           responses: DataFrame | None = None, dedup_order: list[str] | None = None,
+           answers_path: str | None = None) -> TriageResult:
     """U4: raw papers -> catalogue lookup -> typed, deduplicated papers -> scores -> mean ->
     ranked list and top ``n``. ``raw_papers`` needs ``title, authors`` and a unique
     ``paper_key`` (derived as ``email_id:article_pos`` for papers from ``recent_papers``)."""
@@ -76,7 +81,7 @@ def triage(raw_papers: DataFrame, catalogue: DataFrame, questions: DataFrame, mo
         means = score.lexical_mean_scores(papers, questions)
         scores = analyze(papers, questions, model)
     else:
-        scores = analyze(papers, questions, model, scorer_factory, responses)
+        scores = analyze(papers, questions, model, scorer_factory, responses, answers_path)
         means = score.mean_score(scores)
     scored = rank.attach_scores(papers, means)
     return TriageResult(

@@ -140,3 +140,36 @@ def test_dedup_hot_id_is_limited_before_the_shuffle(spark):
     p = d._jdf.queryExecution().executedPlan().toString()
     # partial limit under the exchange, final limit above it
     assert p.index("Exchange hashpartitioning") < p.rindex("WindowGroupLimit")
+
+
+class Counting:
+    """Records every call in a file so the test can count paid calls across runs."""
+    log = None
+
+    def analyze(self, prompt, model_id, max_tokens):
+        with open(Counting.log, "a") as f:
+            f.write("x\n")
+        return "<explanation>e</explanation><score>4</score>", {"prompt_tokens": 1, "completion_tokens": 1,
+                                                               "total_tokens": 2}
+
+
+def test_score_and_store_pays_each_call_once(spark, tmp_path):
+    import os
+    from litsift.session import scratch_path
+    log = str(tmp_path / "calls.log")
+    os.environ["LITSIFT_TEST_CALL_LOG"] = log
+
+    class Factory:
+        def __call__(self):
+            Counting.log = os.environ.get("LITSIFT_TEST_CALL_LOG", log)
+            return Counting()
+
+    path = scratch_path(spark, "t-answers")
+    q = questions_df(spark, ["q1", "q2"])
+    first = score.pair_requests(papers(spark).where(F.col("arxiv_id") != "3"), q)
+    s1 = score.score_and_store(first, Factory(), "gpt-4o", path)
+    assert s1.count() == 4 and all(r.relevance_score == 0.4 for r in s1.collect())
+    everything = score.pair_requests(papers(spark), q)
+    s2 = score.score_and_store(everything, Factory(), "gpt-4o", path)
+    assert s2.count() == 6 and not s2.where(F.col("error")).count()
+    assert sum(1 for _ in open(log)) == 6          # 4 calls, then only the 2 new ones
