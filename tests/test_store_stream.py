@@ -92,3 +92,20 @@ def test_incremental_equals_batch_and_replay_is_idempotent(spark, tmp_path):
     assert out.where("batch_id = 2").count() == 0
     ingest_incremental(spark, f"{base}/source", f"{base}/sink", f"{base}/ckpt", to_papers, files_per_batch=1)
     assert key(read_ingested(spark, f"{base}/sink")) == key(out)           # replay adds nothing
+
+
+def test_read_catalogue_json_and_union(spark):
+    import os
+    from litsift.operators.dedup import union_all
+    from litsift.sources.catalogue import read_catalogue
+    base = scratch_path(spark, "t-cat").replace("file:", "")
+    os.makedirs(base, exist_ok=True)
+    with open(f"{base}/c.json", "w") as f:
+        f.write(json.dumps({"entry_id": "http://arxiv.org/abs/2201.12345v1", "title": "T", "authors": ["A, B"],
+                            "summary": "S", "published": "2022-01-15T00:00:00Z", "pdf_url": "p",
+                            "categories": ["cs.LG"]}) + "\n")
+    c = read_catalogue(spark, base, fmt="json")
+    r = c.first()
+    assert r.authors == ["A, B"] and r.published == dt.datetime(2022, 1, 15) and r.categories == ["cs.LG"]
+    u = union_all(c.select("entry_id", "title"), c.select("entry_id"))
+    assert u.count() == 2 and u.columns == ["entry_id", "title"]
