@@ -30,8 +30,10 @@ def dedup_by_id(papers: DataFrame, id_col: str = "arxiv_id", order: list[str] |
     (default email id + article position), so NULLs do not collapse into one group.
     """
     fb = fallback if fallback is not None else [c for c in ("email_id", "article_pos") if c in papers.columns]
-    own = F.concat(F.lit("#"), F.concat_ws(":", *[F.col(c).cast("string") for c in fb])) if fb \
-        else F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    unique = F.concat(F.lit("#~"), F.monotonically_increasing_id().cast("string"))
+    own = F.when(F.coalesce(*[F.col(c).cast("string") for c in fb]).isNull(), unique) \
+        .otherwise(F.concat(F.lit("#"), F.concat_ws(":", *[F.col(c).cast("string") for c in fb]))) if fb \
+        else unique
     key = F.coalesce(arxiv_id_base(F.col(id_col)), own)
     ranked = top_k(papers.withColumn("_dkey", key), ["_dkey"], _order(papers, order), 1, "_drank")
     return ranked.drop("_dkey", "_drank")

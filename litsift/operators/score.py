@@ -255,7 +255,10 @@ def lexical_pair_scores(papers: DataFrame, questions: DataFrame, id_col: str = "
 
 
 def lexical_mean_scores(papers: DataFrame, questions: DataFrame, id_col: str = "arxiv_id") -> DataFrame:
-    """U2 + A1: mean lexical score of every paper over all questions (zeros included)."""
+    """U2 + A1: mean lexical score of every paper over all questions (zeros included).
+
+    ``papers`` must hold one row per id (``triage`` deduplicates first), since a paper's
+    tokens are counted per row."""
     n_q = questions.count()  # config-sized table; the divisor restores zero pairs
     pairs = lexical_pair_scores(papers, questions, id_col).select("arxiv_id", "score_int")
     zeros = papers.select(F.col(id_col).alias("arxiv_id"), F.lit(0).cast("long").alias("score_int"))

@@ -173,3 +173,9 @@ def test_score_and_store_pays_each_call_once(spark, tmp_path):
     s2 = score.score_and_store(everything, Factory(), "gpt-4o", path)
     assert s2.count() == 6 and not s2.where(F.col("error")).count()
     assert sum(1 for _ in open(log)) == 6          # 4 calls, then only the 2 new ones
+
+
+def test_dedup_keeps_rows_without_any_key(spark):
+    df = spark.createDataFrame([(None, None, None, 1), (None, None, None, 2)],
+                               "arxiv_id string, email_id string, article_pos int, o int")
+    assert dedup.dedup_by_id(df, order=["o"]).count() == 2
