@@ -62,6 +62,24 @@ def phrase_words(col) -> Column:
     return F.filter(cleaned, lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
+def key_grams(key) -> Column:
+    """Distinct 1- and 2-word phrases of a space-joined word string, with plain expressions
+    (no lambdas): bigrams are the non-overlapping pairs of the string and of the string
+    without its first word."""
+    k = F.col(key) if isinstance(key, str) else key
+    pairs = r"(\S+ \S+)"
+    shifted = F.regexp_replace(k, r"^\S+ ?", "")
+    return F.array_distinct(F.concat(key_tokens(k), F.regexp_extract_all(k, F.lit(pairs), F.lit(1)),
+                                     F.regexp_extract_all(shifted, F.lit(pairs), F.lit(1))))
+
+
+def has_phrase(key, phrase) -> Column:
+    """``phrase`` (1-2 words) occurs as consecutive words of the space-joined ``key``."""
+    k = F.col(key) if isinstance(key, str) else key
+    p = F.col(phrase) if isinstance(phrase, str) else phrase
+    return F.contains(F.concat(F.lit(" "), k, F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" ")))
+
+
 def phrase_grams(words) -> Column:
     """Distinct 1- and 2-word phrases of a word sequence (an array column computed once
     upstream; a lambda over the raw expression would re-split the title per word)."""
@@ -157,11 +175,11 @@ def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
     # One row per phrase of each distinct (author, title words, token set) group, carrying a
     # 64-bit group id rather than the long keys; matches are re-checked on the full key.
     groups = entries.select(*ckey).distinct().withColumn("gid", F.xxhash64(*ckey))
-    grams = groups.select("gid", "a_last", F.explode(phrase_grams(key_tokens("pw_key"))).alias("phrase"))
+    grams = groups.select("gid", "a_last", F.explode(key_grams("pw_key")).alias("phrase"))
     hits = p.select(*keys).distinct().join(grams, ["a_last", "phrase"]).select(*keys, "gid")
     pairs = hits.join(groups.withColumnRenamed("a_last", "g_last"), "gid") \
         .where((F.col("g_last") == F.col("a_last"))
-               & F.array_contains(phrase_grams(key_tokens("pw_key")), F.col("phrase"))) \
+               & has_phrase("pw_key", "phrase")) \
         .select(*keys, "pw_key", "c_key", jaccard(key_tokens("q_key"), key_tokens("c_key")).alias("sim"))
     per_key = top_k(pairs.join(entries, ckey), keys, [F.col("sim").desc(), F.col("entry_id")], k + 1, "r") \
         .select(*keys, "entry_id", "c_self", "sim", "r")
