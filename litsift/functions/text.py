@@ -79,14 +79,13 @@ def norm_title(col) -> Column:
 
 
 def tokens(col, drop_stop_words: bool = True) -> Column:
-    """Distinct lower-case tokens (letters/digits), optionally without the stop words."""
+    """Distinct lower-case tokens (letters/digits), optionally without the stop words.
+
+    ``array_except`` removes the empty string and the stop words and deduplicates in one
+    hashed pass, with no lambda (lambdas run outside whole-stage codegen)."""
     parts = F.split(F.lower(_c(col)), TOKEN_SPLIT)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    if drop_stop_words:
-        kept = F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w))
-    else:
-        kept = F.filter(parts, lambda w: w != "")
-    return F.array_distinct(kept)
+    drop = [""] + (STOP_WORDS if drop_stop_words else [])
+    return F.array_except(parts, F.array(*[F.lit(w) for w in drop]))
 
 
 def token_set_key(tok) -> Column:

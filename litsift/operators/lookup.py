@@ -80,6 +80,19 @@ def has_phrase(key, phrase) -> Column:
     return F.contains(F.concat(F.lit(" "), k, F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" ")))
 
 
+STOP_RE = r"(?<!\S)(?:" + "|".join(STOP_WORDS) + r")(?!\S)"
+
+
+def phrase_key(col) -> Column:
+    """``phrase_words`` as one space-joined string, with plain regex expressions: punctuation
+    removed inside words (before lower-casing, like ``phrase_words``), stop words and empty
+    words dropped."""
+    c = col if isinstance(col, Column) else F.col(col)
+    s = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", ""))
+    s = F.regexp_replace(s, STOP_RE, "")
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
 def phrase_grams(words) -> Column:
     """Distinct 1- and 2-word phrases of a word sequence (an array column computed once
     upstream; a lambda over the raw expression would re-split the title per word)."""
@@ -102,7 +115,7 @@ def prepare_papers(papers: DataFrame, self_col: str | None = None) -> DataFrame:
         norm_title("title").alias("nkey"),
         token_set_key(tok).alias("q_key"), F.size(tok).alias("n_q"),
         F.coalesce(first, F.lit("")).alias("a_last"),
-        F.coalesce(F.lower(key_phrase("title")), F.lit("")).alias("phrase"),
+        F.coalesce(F.regexp_extract(phrase_key("title"), r"^(\S+(?: \S+)?)", 1), F.lit("")).alias("phrase"),
     )
 
 
@@ -115,7 +128,7 @@ def catalogue_index(catalogue: DataFrame, self_col: str | None = None) -> DataFr
         "entry_id", c_self.alias("c_self"),
         norm_title("title").alias("nkey"),
         token_set_key(tokens("title")).alias("c_key"),
-        F.array_join(phrase_words("title"), " ").alias("pw_key"),
+        phrase_key("title").alias("pw_key"),
         F.coalesce(lasts, F.array().cast("array<string>")).alias("c_lasts"),
     )
 
