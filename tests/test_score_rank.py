@@ -179,3 +179,17 @@ def test_dedup_keeps_rows_without_any_key(spark):
     df = spark.createDataFrame([(None, None, None, 1), (None, None, None, 2)],
                                "arxiv_id string, email_id string, article_pos int, o int")
     assert dedup.dedup_by_id(df, order=["o"]).count() == 2
+
+
+def test_fallbacks_beyond_the_broadcast_bound(spark, monkeypatch):
+    q = questions_df(spark, ["graph attention networks", "birds and the weather", "vision"])
+    want = sorted((r.arxiv_id, r.score) for r in score.lexical_mean_scores(papers(spark), q).collect())
+    monkeypatch.setattr(score, "MAX_BROADCAST_ROWS", 1)
+    got = score.lexical_mean_scores(papers(spark), q)
+    assert sorted((r.arxiv_id, r.score) for r in got.collect()) == want
+    p = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in p or "BroadcastHashJoin" not in p.split("HashAggregate")[-1]
+    pairs = score.pair_requests(papers(spark), q, max_broadcast=1)
+    assert pairs.count() == 9
+    assert "CartesianProduct" in pairs._jdf.queryExecution().executedPlan().toString() or \
+        "BroadcastNestedLoopJoin" in pairs._jdf.queryExecution().executedPlan().toString()
