@@ -229,16 +229,25 @@ def _materialize(df: DataFrame, on: bool) -> DataFrame:
     return materialize(df) if on else df
 
 
-def lookup_cascade(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
-                   self_cols: tuple[str, str] | None = None, materialize: bool = True) -> DataFrame:
+def write_catalogue_index(catalogue: DataFrame, path: str, self_col: str | None = None) -> None:
+    """Build the catalogue's lookup keys once and store them (Parquet) for many runs."""
+    catalogue_index(catalogue, self_col).write.mode("overwrite").parquet(path)
+
+
+def lookup_cascade(papers: DataFrame, catalogue: DataFrame | None, k: int = DEFAULT_K,
+                   self_cols: tuple[str, str] | None = None, materialize: bool = True,
+                   index: DataFrame | None = None) -> DataFrame:
     """Tier 1, then tier 2 for papers tier 1 missed, then tier 3 (first tier with any
     result wins). Output ``paper_key, entry_id, sim, rank, tier`` with ``rank`` 1..k.
 
-    With ``materialize`` the prepared keys and each tier's result are checkpointed (eager),
-    which also cuts the lineage of this long plan."""
+    ``index`` is a stored ``catalogue_index`` (``write_catalogue_index``); without it the
+    keys are built from ``catalogue``. With ``materialize`` the prepared keys and each
+    tier's result are checkpointed (eager), which also cuts the lineage of this long plan."""
     ex = self_cols is not None
-    pp, idx = _prep(papers, catalogue, self_cols)
-    pp, idx = _materialize(pp, materialize), _materialize(idx, materialize)
+    pp = prepare_papers(papers, self_cols[0] if self_cols else None)
+    idx = index if index is not None else catalogue_index(catalogue, self_cols[1] if self_cols else None)
+    pp = _materialize(pp, materialize)
+    idx = idx if index is not None else _materialize(idx, materialize)
     t1 = _materialize(_tier1(pp, idx, k, ex), materialize)
     rest = pp.join(t1.where(F.col("rank") == 1).select("paper_key"), "paper_key", "left_anti")
     t2 = _materialize(_tier2(rest, idx, k, ex), materialize)
@@ -248,10 +257,11 @@ def lookup_cascade(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
 
 
 def enrich(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
-           self_cols: tuple[str, str] | None = None, matches: DataFrame | None = None) -> DataFrame:
+           self_cols: tuple[str, str] | None = None, matches: DataFrame | None = None,
+           index: DataFrame | None = None) -> DataFrame:
     """Papers with their first lookup result's abstract, id, categories, pdf url and
     publication time. Papers without a result are dropped (see ``lookup_misses``)."""
-    m = matches if matches is not None else lookup_cascade(papers, catalogue, k, self_cols)
+    m = matches if matches is not None else lookup_cascade(papers, catalogue, k, self_cols, index=index)
     best = m.where(F.col("rank") == 1).select("paper_key", "entry_id", "tier")
     cat = catalogue.select("entry_id",
                            normalize_abstract("summary").alias("abstract"),

@@ -67,14 +67,14 @@ def analyze(papers: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
 def triage(raw_papers: DataFrame, catalogue: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
            n: int = rank.DEFAULT_TOP_N, k: int = lookup.DEFAULT_K, scorer_factory=None,
            responses: DataFrame | None = None, dedup_order: list[str] | None = None,
-           answers_path: str | None = None) -> TriageResult:
+           answers_path: str | None = None, index: DataFrame | None = None) -> TriageResult:
     """U4: raw papers -> catalogue lookup -> typed, deduplicated papers -> scores -> mean ->
     ranked list and top ``n``. ``raw_papers`` needs ``title, authors`` and a unique
     ``paper_key`` (derived as ``email_id:article_pos`` for papers from ``recent_papers``)."""
     if "paper_key" not in raw_papers.columns:
         raw_papers = raw_papers.withColumn(
             "paper_key", F.concat_ws(":", F.col("email_id"), F.col("article_pos").cast("string")))
-    matches = lookup.lookup_cascade(raw_papers, catalogue, k)
+    matches = lookup.lookup_cascade(raw_papers, catalogue, k, index=index)
     enriched = to_papers(lookup.enrich(raw_papers, catalogue, k, matches=matches))
     papers = dedup.dedup_by_id(enriched, order=dedup_order, fallback=["paper_key"])
     if scorer_factory is None and responses is None:
