@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsift.functions import mail
-from litsift.functions.text import (STOP_WORDS, first_author_last_name, key_phrase, last_name,
+from litsift.functions.text import (STOP_WORDS, first_author_last_name, last_name,
                                     norm_title, normalize_abstract, split_authors, token_set_key,
                                     tokens)
 from litsift.operators.common import materialize, top_k
