@@ -41,7 +41,8 @@ def parsed_score(resp) -> Column:
 
 
 def parse_response(resp) -> dict[str, Column]:
-    """``relevance_score``, ``explanation`` and ``parse_error`` Columns (unaliased).
+    """``relevance_score``, ``explanation``, ``parse_error`` and ``out_of_range`` Columns
+    (unaliased).
 
     A failed parse scores 0.0 and its explanation carries the reason and the first
     characters of the answer.
@@ -51,8 +52,11 @@ def parse_response(resp) -> dict[str, Column]:
     expl = strip(F.regexp_extract(r, EXPLANATION_RE, 1))
     fallback = F.concat(F.lit("Unparsed answer ("), err, F.lit("): "),
                         F.coalesce(F.substring(r, 1, SNIPPET_CHARS), F.lit("")), F.lit("..."))
+    score = parsed_score(r)
     return {
-        "relevance_score": F.when(err.isNull(), parsed_score(r)).otherwise(F.lit(0.0)),
+        "relevance_score": F.when(err.isNull(), score).otherwise(F.lit(0.0)),
         "explanation": F.when(err.isNull(), expl).otherwise(fallback),
         "parse_error": err,
+        # Scores are kept unclamped (15 -> 1.5); this flags answers outside 0..10.
+        "out_of_range": err.isNull() & ((score < 0) | (score > 1)),
     }

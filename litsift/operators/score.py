@@ -187,6 +187,7 @@ def finish_scores(raw: DataFrame) -> DataFrame:
         F.when(failed, F.concat(F.lit(ERR_CALL), F.col("call_error"))).otherwise(parsed["explanation"]).alias("explanation"),
         failed.alias("error"),
         F.when(failed, F.lit(None).cast("string")).otherwise(parsed["parse_error"]).alias("parse_error"),
+        (~failed & parsed["out_of_range"]).alias("out_of_range"),
         "prompt_tokens", "completion_tokens", "total_tokens",
     )
 

@@ -537,6 +537,8 @@ def _parse_sql(r: str) -> dict[str, str]:
         "relevance_score": f"(CASE WHEN {err} IS NULL THEN TRY_CAST({st} AS DOUBLE) / 10.0 ELSE 0.0 END)",
         "explanation": f"(CASE WHEN {err} IS NULL THEN {expl} ELSE {fallback} END)",
         "parse_error": err,
+        "out_of_range": (f"({err} IS NULL AND (TRY_CAST({st} AS DOUBLE) / 10.0 < 0 "
+                         f"OR TRY_CAST({st} AS DOUBLE) / 10.0 > 1))"),
     }
 
 
@@ -547,7 +549,7 @@ _PS = _parse_sql("response")
 WITH a AS ({ANSWERS_SQL})
 SELECT conv_id, turn, round({_PS['relevance_score']}, {ROUND}) AS relevance_score,
        md5({_PS['explanation']}) AS explanation_md5, CAST(length({_PS['explanation']}) AS INTEGER) AS explanation_len,
-       {_PS['parse_error']} AS parse_error
+       {_PS['parse_error']} AS parse_error, {_PS['out_of_range']} AS out_of_range
 FROM a
 """)
 def q_parse_responses(spark, sf):
@@ -556,7 +558,8 @@ def q_parse_responses(spark, sf):
     p = parse_response(F.col("response"))
     return a.select("conv_id", "turn", _r(p["relevance_score"]).alias("relevance_score"),
                     F.md5(p["explanation"]).alias("explanation_md5"),
-                    F.length(p["explanation"]).alias("explanation_len"), p["parse_error"].alias("parse_error"))
+                    F.length(p["explanation"]).alias("explanation_len"), p["parse_error"].alias("parse_error"),
+                    p["out_of_range"].alias("out_of_range"))
 
 
 # ---- F5, J9, P26: stored answers with gaps ---------------------------------------------------------------

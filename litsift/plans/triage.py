@@ -59,6 +59,7 @@ def analyze(papers: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
     return pairs.select("arxiv_id", "question_id", F.lit(model).alias("model_key"), "relevance_score",
                         F.lit(None).cast("string").alias("explanation"), F.lit(False).alias("error"),
                         F.lit(None).cast("string").alias("parse_error"),
+                        (F.col("relevance_score") > 1).alias("out_of_range"),
                         F.lit(None).cast("long").alias("prompt_tokens"),
                         F.lit(None).cast("long").alias("completion_tokens"),
                         F.lit(None).cast("long").alias("total_tokens"))

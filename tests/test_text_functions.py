@@ -89,7 +89,8 @@ def test_parse_response(spark):
     df = spark.createDataFrame([(a, b) for a, b, *_ in ANSWERS], "k string, r string")
     p = response.parse_response(F.col("r"))
     got = {r.k: r for r in df.select("k", p["relevance_score"].alias("s"), p["explanation"].alias("e"),
-                                    p["parse_error"].alias("err")).collect()}
+                                    p["parse_error"].alias("err"), p["out_of_range"].alias("oor")).collect()}
+    assert got["big"].oor and got["neg"].oor and not got["plain"].oor and not got["nan"].oor
     for k, _, s, e, err in ANSWERS:
         assert abs(got[k].s - s) < 1e-12, k
         assert got[k].err == err, k
