@@ -220,7 +220,8 @@ def join_responses(requests: DataFrame, responses: DataFrame, model_key: str) ->
     if not known:
         scored = scored.withColumn("relevance_score", F.lit(0.0)) \
             .withColumn("explanation", F.lit(ERR_NO_MODEL.format(model_key))) \
-            .withColumn("error", F.lit(True)).withColumn("parse_error", F.lit(None).cast("string"))
+            .withColumn("error", F.lit(True)).withColumn("parse_error", F.lit(None).cast("string")) \
+            .withColumn("out_of_range", F.lit(False))
     return scored
 
 
