@@ -850,3 +850,24 @@ def q_incremental(spark, sf):
                        files_per_batch=4)
     out = read_ingested(spark, f"{base}/sink")
     return out.select("email_id", "article_pos", "title", "authors", "url")
+
+
+@query("incremental_stateful", QUERIES["incremental"][1])
+def q_incremental_stateful(spark, sf):
+    from litsift.plans.triage import recent_papers
+    from litsift.session import scratch_path
+    from litsift.streaming.incremental import ingest_incremental_stateful
+    base = scratch_path(spark, "incremental-state")
+    msgs = B.messages_from_pages(B.table(spark, sf, "pages"), B.table(spark, sf, "events"))
+    # Every message arrives once, then the odd pages arrive a second time in later files.
+    msgs.write.json(f"{base}/source/first")
+    msgs.where(F.col("payload.parts").isNotNull()).write.json(f"{base}/source/again")
+
+    def to_papers(batch):
+        return recent_papers(batch, since="1970-01-01", needle="", marker="<article",
+                             heading="h1", title_in_link=False)
+
+    ingest_incremental_stateful(spark, f"{base}/source/*", f"{base}/sink", f"{base}/checkpoint", to_papers,
+                                files_per_batch=4)
+    out = spark.read.parquet(f"{base}/sink")
+    return out.select("email_id", "article_pos", "title", "authors", "url")
