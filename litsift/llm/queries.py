@@ -74,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = rf"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {SPACE_SQL}), x -> x <> '') AS ws FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {SPACE_SQL}), lambda x: x <> '') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS n FROM d),
 s AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) < doc_id AS dup
       FROM (SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win FROM w)
@@ -89,7 +89,7 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 
 OP4_SQL = """
 WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS xs FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 e AS (SELECT vec_id, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM v),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
       FROM e q JOIN e c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),

@@ -37,13 +37,17 @@ SAMPLE = 5000
 #: Features that are kept, at most.
 FEATURES = 5000
 #: Chains that the field is fitted to, at most.
-SEGMENTS = 12_000
+SEGMENTS = 6_000
 CHAIN = 64
 LEVELS = 12
 #: A feature goes with toxic documents if its log-likelihood ratio is at least so much.
-SIGNIFICANT = 30.0
+SIGNIFICANT = 12.0
+#: ... and if it is at least exp(ODDS) times as frequent there.
+ODDS = 3.5
+#: A feature is kept for so large a share of the toxic documents that no feature kept before it marks.
+GAIN = 0.002
 PREFIXES = (4, 5, 6)
-STEPS = 80
+STEPS = 60
 _TRIM = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 
 
@@ -163,6 +167,27 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30))) if self.curve.any() else np.full(len(x), self.prior)
 
 
+def cover(has: list[list[int]], best: list) -> list[int]:
+    """Features that together mark the toxic documents, chosen greedily by how many unmarked ones they mark.
+
+    A word that merely stands beside others, as in copies of one document, marks nothing new.
+    Ties go to the higher ratio, then to whole words, then to the first.
+    """
+    members: dict[int, set[int]] = {}
+    for d, own in enumerate(has):
+        for f in own:
+            members.setdefault(f, set()).add(d)
+    chosen, least = [], max(2, GAIN * len(has))
+    while members:
+        f = max(members, key=lambda f: (len(members[f]), best[f].ratio, not best[f].feature.endswith("*"), -f))
+        new = members.pop(f)
+        if len(new) < least:
+            break
+        chosen.append(f)
+        members = {g: rest for g, m in members.items() if (rest := m - new)}
+    return chosen
+
+
 def _column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
@@ -196,10 +221,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
         return field
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(features)
         for batch in groups(batches):
             name, mark = [], []
             for y, text in zip(_column(batch, "toxic").to_pylist(), _column(batch, "text").to_pylist()):
-                own = {f for w in set(text.split()) for f in features(w)}
+                own = {f for w in set(text.split()) for f in memo[w]}
                 name += own
                 mark += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(mark, pa.int64())], names=["feature", "toxic"])
@@ -211,9 +237,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
     counted = (map_arrow(sample, count, "feature string, toxic long").groupBy("feature")
                .agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
                .withColumn("odds", F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1)))
-               .withColumn("ratio", ratio).where((F.col("odds") > 0.7) & (F.col("ratio") >= SIGNIFICANT)))
-    best = counted.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature", "odds").collect()
-    field.levels = {r.feature: int(min(LEVELS, 1 + np.floor(1.5 * (r.odds - 0.7)))) for r in best}
+               .withColumn("ratio", ratio).where((F.col("odds") > ODDS) & (F.col("ratio") >= SIGNIFICANT)))
+    best = counted.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature", "odds", "ratio").collect()
+    place = {r.feature: i for i, r in enumerate(best)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(lambda w: [place[f] for f in features(w) if f in place])
+        for batch in groups(batches):
+            own = [sorted({f for w in set(t.split()) for f in memo[w]}) for t in _column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], names=["has"])
+
+    has = [r.has for r in map_arrow(sample.where("toxic = 1"), held, "has array<int>").limit(SAMPLE).collect()]
+    field.levels = {best[i].feature: int(min(LEVELS, 1 + np.floor(1.5 * (best[i].odds - ODDS)))) for i in cover(has, best)}
     if not field.levels:
         return field
 
