@@ -221,9 +221,14 @@ def _marked(keys: np.ndarray, batch: pa.RecordBatch, owner: np.ndarray) -> tuple
     return hit, ref
 
 
-def duplicate_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, found: for each document with duplicate windows the list of packed (window hash, smallest id that holds it)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+def duplicate_windows(own: DataFrame) -> DataFrame:
+    """doc_id, found: for each document of ``own`` (doc_id, text, ...) with duplicate windows the list of packed (window hash,
+    smallest id that holds it).
+
+    The documents are joined with their shared anchors in the same way as later with their duplicate windows (all rows and
+    columns, by id), so that one exchange of the texts serves both joins.
+    """
+    named = own.where("doc_id is not null").select("doc_id", "text")
 
     def ask_anchors(batches):
         parser = Parser()
@@ -234,14 +239,14 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
 
     def ask_windows(batches):
         parser = Parser()
-        for batch in groups(batches, GROUP):
+        for batch in groups((b.filter(_column(b, "found").is_valid()) for b in batches), GROUP):
             _, words, at, owner = parser.group(batch)
             hit, _ = _marked(parser.anchors(words, at), batch, owner)
             at, owner = at[hit], owner[hit]
             yield from _settle(parser.windows(words, at), parser.checks(words, at), _column(batch, "doc_id").to_numpy()[owner], False)
 
-    shared = _by_document(_index(map_arrow(own, ask_anchors, _MAP), True))
-    return _by_document(_index(map_arrow(own.join(shared, "doc_id"), ask_windows, _MAP), False))
+    shared = _by_document(_index(map_arrow(named, ask_anchors, _MAP), True))
+    return _by_document(_index(map_arrow(own.join(shared, "doc_id", "left"), ask_windows, _MAP), False))
 
 
 def _by_document(answers: DataFrame) -> DataFrame:
@@ -270,7 +275,7 @@ def dedup_substrings(docs: DataFrame, carry: bool = False) -> DataFrame:
     carry: the text and a struct ``row`` of all other columns follow.
     """
     own = carried(docs) if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = own.join(duplicate_windows(docs), "doc_id", "left")
+    joined = own.join(duplicate_windows(own), "doc_id", "left")
     more = ["text", "row"] if carry else []
 
     def run(batches):
