@@ -133,7 +133,8 @@ def _settle(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, all_ids: bool
     if not len(k):
         return
     first = np.concatenate([[True], k[1:] != k[:-1]])
-    yield _rows(k[first], checks[place[first]], i[first], pa.nulls(int(first.sum()), pa.binary()))
+    asked = np.sort(place[first])  # in the texts' order: rows of one document side by side take less room
+    yield _rows(keys[asked], checks[asked], ids[asked], pa.nulls(len(asked), pa.binary()))
     least = i[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
     answer = ~first
     if all_ids:
