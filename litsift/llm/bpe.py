@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.llm.common import MEMO_ENTRIES, Memo, groups, lists, map_arrow
+from litsift.llm.common import MEMO_ENTRIES, Memo, groups, lists, map_arrow, once
 
 #: A run of ASCII white space and what follows up to the next one: pieces never cross from one to the next ...
 _UNIT = regex.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: ... unless the text has other white space or separators; such a text is matched as a whole.
 _OTHER_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\p{Z}--[ ]]", flags=regex.V1)
 
+PUNCTUATION = ".,!?;:"
+
 
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file, by rank."""
@@ -113,6 +115,9 @@ class BPE:
         return taken
 
     def _unit(self, text: str) -> tuple[int, ...]:
+        core = text.rstrip(PUNCTUATION)
+        if core and core != text and core[-1].isalnum():  # a piece ends between a letter or digit and such a mark
+            return self.memo[core] + self.memo[text[len(core):]]
         return tuple(chain.from_iterable(self.piece(m.encode()) for m in self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
@@ -128,10 +133,14 @@ def _column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _encoder(path: str, pattern: str) -> BPE:
+    return BPE(read_ranks(path), pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids: the token ids of every row of ``docs(doc_id, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BPE(read_ranks(path), pattern)
+        bpe = once(_encoder, path, pattern)
         for batch in groups(batches):
             found = [np.array(bpe.encode(t or ""), np.int32) for t in _column(batch, "text").to_pylist()]
             ids = lists(np.concatenate(found), np.array([len(x) for x in found]), pa.int32())
