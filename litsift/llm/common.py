@@ -15,8 +15,8 @@ from litsift.session import scratch_path, ship_package
 
 #: Texts are worked on in groups of about so many characters, which bounds a worker's memory.
 GROUP_CHARS = 2_000_000
-#: Entries that a worker's memo of words may hold before it starts anew.
-MEMO_ENTRIES = 500_000
+#: Entries of each of the two generations of a worker's memo of words.
+MEMO_ENTRIES = 300_000
 #: Longer words are not kept in a memo.
 MEMO_WORD = 64
 
@@ -66,21 +66,39 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 class Memo(dict):
-    """``memo[key]`` computes a missing value with ``make``; holds a bounded number of entries."""
+    """``memo[key]`` computes a missing value with ``make``.
+
+    It holds a bounded number of entries: when it is full, its entries become the old
+    generation, from which those that are asked for again come back.
+    """
 
     def __init__(self, make: Callable, limit: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= MEMO_WORD:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if isinstance(key, int) or len(key) <= MEMO_WORD:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+_OWN: dict = {}
+
+
+def once(make: Callable, *args):
+    """``make(*args)``, made once in each worker process: its memo serves all tasks that the process runs."""
+    key = (make, *args)
+    if key not in _OWN:
+        _OWN[key] = make(*args)
+    return _OWN[key]
+
+
 def groups(batches: Iterator[pa.RecordBatch], size: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``size`` bytes of text each (one row at least)."""
     for batch in batches:

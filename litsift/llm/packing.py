@@ -19,6 +19,7 @@ ids are packed like any others. Other columns are not read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsift.llm.common import Memo, groups, map_arrow, numbered
+from litsift.llm.common import Memo, groups, map_arrow, numbered, once
 
 CAPACITY = 4096
 END = 2
+#: Marks that end a word, none of them part of a special token.
+PUNCTUATION = ".,!?;:"
+#: Letters before this one are each one composed character, in lower case too.
+SIMPLE = "\u0250"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, size int"
 OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -44,7 +49,7 @@ def cut(tokens: int, sizes: list[int]) -> list[int]:
     out = [sizes[-1]] * (tokens // sizes[-1])
     rest = tokens % sizes[-1]
     while rest:
-        size = sizes[int(np.searchsorted(sizes, rest, "right")) - 1]
+        size = sizes[bisect_right(sizes, rest) - 1]
         out.append(size)
         rest -= size
     return out
@@ -53,21 +58,36 @@ def cut(tokens: int, sizes: list[int]) -> list[int]:
 class Tokens:
     """Token ids of a text as little-endian unsigned 32-bit integers.
 
-    The vocabulary is of a kind that splits at every space and drops it, so the words between
-    spaces are encoded one by one and remembered.
+    The vocabulary is of a kind that splits at all white space and drops it, splits letters
+    from punctuation and ignores case. So words are encoded one by one and remembered: without
+    the punctuation that ends them, and words of Latin letters in lower case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # Byte-level vocabularies write bytes that aren't printable as letters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.memo = Memo(self._word)
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
+        core = word.rstrip(PUNCTUATION)
+        if core and core != word and core[-1].isalnum():  # else the mark belongs to a run of marks
+            return self.memo[core] + self.memo[word[len(core):]]
+        low = "".join(map(str.lower, word))
+        if low != word and word.isalpha() and low.isalpha() and max(low) < SIMPLE:
+            return self.memo[low]
+        if low == word and word.isalpha() and max(word) < SIMPLE:  # letters alone: the model's one piece, its bytes written as letters
+            found = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
+        return np.array(found, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.split(" ")))
+        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -75,13 +95,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     sizes = class_sizes(capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, last, cuts = Tokens(path), np.array([end], "<u4").tobytes(), {}
+        tokens, last, cuts = once(Tokens, path), np.array([end], "<u4").tobytes(), Memo(lambda n: cut(n, sizes))
         for batch in groups(batches):
             out = []
             for doc_id, text in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), batch.column(batch.schema.get_field_index("text")).to_pylist()):
                 ids = memoryview(tokens.ids(text or "") + last)
                 n, start = len(ids) // 4, 0
-                for size in cuts.setdefault(n, cut(n, sizes)) if n <= capacity else cut(n, sizes):
+                for size in cuts[n]:
                     out.append((doc_id, start, size, zlib.crc32(ids[4 * start:4 * (start + size)]), n, size))
                     start += size
             kinds = [pa.int64()] * 5 + [pa.int32()]

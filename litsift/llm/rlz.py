@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.llm.common import Memo, carried, groups, map_arrow, texts
+from litsift.llm.common import Memo, carried, groups, map_arrow, once, texts
 
 WINDOW = 13
 ANCHOR = 5
@@ -232,14 +232,14 @@ def duplicate_windows(own: DataFrame) -> DataFrame:
     named = own.where("doc_id is not null").select("doc_id", "text")
 
     def ask_anchors(batches):
-        parser = Parser()
+        parser = once(Parser)
         for batch in groups(batches, GROUP):
             _, words, at, owner = parser.group(batch)
             keys = parser.anchors(words, at)
             yield from _settle(keys, np.zeros(len(keys), np.int32), _column(batch, "doc_id").to_numpy()[owner], True)
 
     def ask_windows(batches):
-        parser = Parser()
+        parser = once(Parser)
         for batch in groups((b.filter(_column(b, "found").is_valid()) for b in batches), GROUP):
             _, words, at, owner = parser.group(batch)
             hit, _ = _marked(parser.anchors(words, at), batch, owner)
@@ -280,7 +280,7 @@ def dedup_substrings(docs: DataFrame, carry: bool = False) -> DataFrame:
     more = ["text", "row"] if carry else []
 
     def run(batches):
-        parser = Parser()
+        parser = once(Parser)
         for batch in groups(batches, GROUP):
             split, words, at, owner = parser.group(batch)
             hit, ref = _marked(parser.windows(words, at), batch, owner)
