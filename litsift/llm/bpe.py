@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 A piece of text is encoded without running its merges. Its bytes, read as Latin-1
-characters, go through an Aho-Corasick automaton of the vocabulary, which yields the tokens
-that start at each place. From the left, the longest token is taken that is compatible with
+characters, go through an Aho-Corasick automaton of the vocabulary, which yields the longest
+token that starts at a place. From the left, the longest token is taken that is compatible with
 the token before it; where no token fits, the last one is given up for the next shorter one,
 and the place is marked as dead. Two tokens are compatible if merging their joined bytes
 gives just these two; this is remembered for each pair. A sequence whose neighbours are all
@@ -16,6 +16,7 @@ columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from litsift.llm.common import MEMO_ENTRIES, Memo, groups, lists, map_arrow, once
 
 #: A run of ASCII white space and what follows up to the next one: pieces never cross from one to the next ...
-_UNIT = regex.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+_UNIT = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: ... unless the text has other white space or separators; such a text is matched as a whole.
-_OTHER_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\p{Z}--[ ]]", flags=regex.V1)
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 PUNCTUATION = ".,!?;:"
 
@@ -55,8 +56,9 @@ class BPE:
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
-            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.shorter = Memo(self._shorter)
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo = Memo(self._unit)
 
@@ -72,6 +74,15 @@ class BPE:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return [self.rank[p] for p in parts]
 
+    def longest(self, text: str, at: int) -> int:
+        """The longest token that starts at a place (each byte is a token, so one does)."""
+        return next(self.automaton.iter_long(text, at))[1]
+
+    def _shorter(self, token: int) -> int | None:
+        """The longest token that a token begins with, but for itself."""
+        data = self.tokens[token]
+        return next((self.rank[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.rank), None)
+
     def compatible(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
@@ -86,32 +97,27 @@ class BPE:
         whole = self.rank.get(data)
         if whole is not None:
             return [whole]
-        n = len(data)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (token, size) in self.automaton.iter(data.decode("latin-1")):
-            starts[end + 1 - size].append((token, end + 1))  # ends ascend: the longest comes last
+        text, n = data.decode("latin-1"), len(data)
         dead = bytearray(n + 1)
         taken: list[int] = []
-        trail: list[tuple[int, int]] = []  # where each token starts, and which of the tokens there it is
-        at, option = 0, len(starts[0]) - 1
+        at, token = 0, self.longest(text, 0)
         while at < n:
-            while option >= 0:
-                token, end = starts[at][option]
+            while token is not None:
+                end = at + len(self.tokens[token])
                 if not dead[end] and (not taken or self.compatible(taken[-1], token)):
                     break
-                option -= 1
-            if option >= 0:
+                token = self.shorter[token]
+            if token is not None:
                 taken.append(token)
-                trail.append((at, option))
                 at = end
-                option = len(starts[at]) - 1 if at < n else 0
+                token = self.longest(text, at) if at < n else None
             else:
-                if not trail:
+                if not taken:
                     raise ValueError("a byte is missing in the vocabulary")
                 dead[at] = 1
-                taken.pop()
-                at, option = trail.pop()
-                option -= 1
+                token = taken.pop()
+                at -= len(self.tokens[token])
+                token = self.shorter[token]
         return taken
 
     def _unit(self, text: str) -> tuple[int, ...]:
