@@ -118,8 +118,8 @@ def categories_str(col) -> Column:
 
 
 def format_score(col) -> Column:
-    """Two decimals (half-even on the binary value)."""
-    return F.format_number(_c(col), 2)
+    """Two decimals (half-even on the binary value), without a thousands separator."""
+    return F.replace(F.format_number(_c(col), 2), F.lit(","), F.lit(""))
 
 
 # ---- HTML text -------------------------------------------------------------------------

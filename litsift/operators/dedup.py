@@ -30,21 +30,22 @@ def dedup_by_id(papers: DataFrame, id_col: str = "arxiv_id", order: list[str] |
     (default email id + article position), so NULLs do not collapse into one group.
     """
     fb = fallback if fallback is not None else [c for c in ("email_id", "article_pos") if c in papers.columns]
-    unique = F.concat(F.lit("#~"), F.monotonically_increasing_id().cast("string"))
-    own = F.when(F.coalesce(*[F.col(c).cast("string") for c in fb]).isNull(), unique) \
-        .otherwise(F.concat(F.lit("#"), F.concat_ws(":", *[F.col(c).cast("string") for c in fb]))) if fb \
-        else unique
-    key = F.coalesce(arxiv_id_base(F.col(id_col)), own)
-    ranked = top_k(papers.withColumn("_dkey", key), ["_dkey"], _order(papers, order), 1, "_drank")
-    return ranked.drop("_dkey", "_drank")
+    own = F.when(F.coalesce(*[F.col(c).cast("string") for c in fb]).isNotNull(),
+                 F.concat(F.lit("#"), F.concat_ws(":", *[F.col(c).cast("string") for c in fb]))) if fb \
+        else F.lit(None).cast("string")
+    return _first_per_key(papers, F.coalesce(arxiv_id_base(F.col(id_col)), own), order)
 
 
 def dedup_by_title(papers: DataFrame, title_col: str = "title", order: list[str] | None = None) -> DataFrame:
     """One paper per exact title (rows with a NULL title are kept)."""
-    key = F.coalesce(F.concat(F.lit("="), F.col(title_col)),
-                     F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
-    ranked = top_k(papers.withColumn("_dkey", key), ["_dkey"], _order(papers, order), 1, "_drank")
-    return ranked.drop("_dkey", "_drank")
+    return _first_per_key(papers, F.col(title_col), order)
+
+
+def _first_per_key(papers: DataFrame, key, order: list[str] | None) -> DataFrame:
+    """The first row of each key; rows without a key all pass, and are never shuffled."""
+    keyed = papers.withColumn("_dkey", key)
+    ranked = top_k(keyed.where(F.col("_dkey").isNotNull()), ["_dkey"], _order(papers, order), 1, "_drank")
+    return ranked.drop("_dkey", "_drank").unionByName(keyed.where(F.col("_dkey").isNull()).drop("_dkey"))
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

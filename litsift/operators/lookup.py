@@ -37,7 +37,6 @@ from litsift.functions.text import (STOP_WORDS, first_author_last_name, last_nam
 from litsift.operators.common import materialize, top_k
 
 DEFAULT_K = 5          # results per query (max_results of the reference)
-MIN_TIER2_TOKENS = 2   # an empty/one-word token set would match far too much
 
 
 def key_tokens(key) -> Column:
@@ -156,7 +155,7 @@ def _tier1(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
 
 
 def _tier2(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    p = pp.where(F.col("n_q") >= MIN_TIER2_TOKENS).select("paper_key", "p_self", "q_key")
+    p = pp.where(F.col("n_q") > 0).select("paper_key", "p_self", "q_key")
     c = idx.where(F.col("c_key") != "").select("entry_id", "c_self", "c_key")
     q_sets = p.select("q_key").distinct()
     # Distinct catalogue token sets get a 64-bit id: the postings (one row per token) then

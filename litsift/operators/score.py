@@ -21,7 +21,7 @@ from litsift.functions.prompt import build_prompt, prompt_from_head, prompt_head
 from litsift.functions.response import parse_response
 from litsift.functions.text import tokens
 from litsift.operators.common import MAX_BROADCAST_ROWS, bounded_broadcast, materialize, row_count_upto
-from litsift.session import ship_package
+from litsift.session import scratch_path, ship_package
 from litsift.sources.models import CALL_MAX_TOKENS, MODEL_KEYS, model_info
 
 MAX_QUESTIONS_BROADCAST = 50_000
@@ -147,7 +147,8 @@ def score_and_store(requests: DataFrame, scorer_factory: Callable, model_key: st
     answers are appended to the answer table at ``answers_path`` in one committed write
     (a retried or speculative task's output is discarded by the commit protocol), and the
     scores are then read back from that table. A re-run after a failure pays only for the
-    calls that were not yet stored; failed calls are stored too and are not retried.
+    calls that were not yet stored and for failed calls, which are stored as such. Exactly once
+    holds for the stored answers, not for the calls: a task that is run again calls again.
     """
     from pyspark.errors import AnalysisException
 
@@ -155,7 +156,9 @@ def score_and_store(requests: DataFrame, scorer_factory: Callable, model_key: st
     try:
         stored = spark.read.parquet(answers_path)
         pending = pending_requests(requests, stored, model_key)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # anything else doesn't mean that nothing is stored
         pending = requests
     call_model(pending, scorer_factory, model_key, max_tokens, partitions) \
         .write.mode("append").parquet(answers_path)
@@ -165,13 +168,23 @@ def score_and_store(requests: DataFrame, scorer_factory: Callable, model_key: st
 REQUEST_KEY = ["arxiv_id", "question_id", "model_key"]
 
 
+def stored_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed (and, where a model is
+    called, paid) once, however many results are derived from it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pending_requests(requests: DataFrame, answered: DataFrame, model_key: str) -> DataFrame:
-    """Requests without a stored answer for ``model_key`` (anti-join on the request key).
+    """Requests without a stored answer for ``model_key`` (anti-join on the request key). A
+    failed call (``call_error``) is no answer: its request is pending again.
 
     With a paid, non-deterministic scorer, write each ``score_with`` result to a table and
     call only the pending requests on a re-run: calls already answered (before a failure)
     are never paid again, and the stored table stays the single source of answers.
     """
+    answered = answered.where(F.col("call_error").isNull()) if "call_error" in answered.columns else answered
     done = answered.where(F.col("model_key") == model_key) \
         .select("arxiv_id", F.col("question_id").cast("long").alias("question_id")).distinct()
     return requests.join(done, ["arxiv_id", "question_id"], "left_anti")
@@ -203,14 +216,14 @@ def join_responses(requests: DataFrame, responses: DataFrame, model_key: str) ->
     resp = responses.select("arxiv_id", F.col("question_id").cast("long").alias("question_id"), "model_key",
                             "response", "prompt_tokens", "completion_tokens", "total_tokens",
                             F.col("call_error") if "call_error" in responses.columns
-                            else F.lit(None).cast("string").alias("call_error"))
+                            else F.lit(None).cast("string").alias("call_error"),
+                            *(["answered_at"] if "answered_at" in responses.columns else []))
     # One answer per request key: the last one stored wins (a key answered twice, e.g. by
     # two overlapping runs, must not duplicate the request row).
-    if "answered_at" in responses.columns:
-        last = last_write(responses.withColumn("question_id", F.col("question_id").cast("long")),
-                          REQUEST_KEY, ["answered_at", "response"],
-                          ["response", "prompt_tokens", "completion_tokens", "total_tokens", "call_error"])
-        resp = last.drop("n_writes")
+    # Without ``answered_at`` the largest answer wins, so the result never depends on timing.
+    values = ["response", "prompt_tokens", "completion_tokens", "total_tokens", "call_error"]
+    order = [c for c in ("answered_at", *values) if c in resp.columns]
+    resp = last_write(resp, REQUEST_KEY, order, values).drop("n_writes")
     j = req.join(resp, ["arxiv_id", "question_id", "model_key"], "left")
     scored = finish_scores(j.withColumn("call_error", F.coalesce(
         F.col("call_error"),

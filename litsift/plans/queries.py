@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsift.functions import mail
-from litsift.functions.text import key_phrase, last_name, split_authors
+from litsift.functions.text import format_score, key_phrase, last_name, split_authors
 from litsift.operators import dedup, extract, filters, lookup, rank, score
 from litsift.plans import bindings as B
 from litsift.plans import oracle as O
@@ -347,7 +347,7 @@ def _tier_sql(tier: int, papers: str, catalogue: str, self_excl: bool) -> str:
         return (f"SELECT p.paper_key, c.entry_id, CAST(len(p.qt) AS DOUBLE) / len(c.ct) AS sim "
                 f"FROM (SELECT *, {O.tokens('title')} AS qt FROM {papers}) p "
                 f"JOIN (SELECT *, {O.tokens('title')} AS ct FROM {catalogue}) c "
-                f"ON len(p.qt) >= {lookup.MIN_TIER2_TOKENS} AND len(c.ct) > 0 AND list_has_all(c.ct, p.qt){ne}")
+                f"ON len(p.qt) > 0 AND len(c.ct) > 0 AND list_has_all(c.ct, p.qt){ne}")
     first = "string_split(p.authors, ', ')[1]"
     return (f"SELECT p.paper_key, c.entry_id, "
             f"CASE WHEN len(list_distinct(list_concat(p.qt, c.ct))) = 0 THEN 0.0::DOUBLE ELSE "
@@ -795,7 +795,7 @@ def q_papers_roundtrip(spark, sf):
 
 
 # ---- U3, U4: the whole triage run ------------------------------------------------------------------------------
-TRIAGE_SQL = f"""
+TRIAGE_PAIRS_SQL = f"""
 WITH p AS ({BENCH_PAPERS_SQL}), c AS ({O.CATALOGUE}),{_cascade_sql('p', 'c', False)},
   enr AS (SELECT p.paper_key, p.title, replace(c.summary, chr(10), ' ') AS abstract,
                  string_split(c.entry_id, '/')[-1] AS arxiv_id
@@ -803,24 +803,49 @@ WITH p AS ({BENCH_PAPERS_SQL}), c AS ({O.CATALOGUE}),{_cascade_sql('p', 'c', Fal
   pap AS (SELECT * FROM enr QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY paper_key) = 1),
   pt AS (SELECT arxiv_id, {O.tokens("concat_ws(' ', title, abstract)")} AS toks FROM pap),
   qt AS (SELECT question_id, {O.tokens('question')} AS qt FROM ({O.QUESTIONS})),
-  pair AS (SELECT pt.arxiv_id, CASE WHEN len(qt.qt) = 0 THEN 0
+  pair AS (SELECT pt.arxiv_id, qt.question_id, CASE WHEN len(qt.qt) = 0 THEN 0
                    ELSE (10 * len(list_intersect(pt.toks, qt.qt))) // len(qt.qt) END AS s
-           FROM pt CROSS JOIN qt),
+           FROM pt CROSS JOIN qt)
+"""
+TRIAGE_SQL = TRIAGE_PAIRS_SQL + f""",
   ms AS (SELECT arxiv_id, CAST(sum(s) AS DOUBLE) / (10.0 * (SELECT count(*) FROM benchmark)) AS score
          FROM pair GROUP BY arxiv_id)
 SELECT CAST(row_number() OVER (ORDER BY ms.score DESC NULLS LAST, pap.arxiv_id) AS INTEGER) AS rank,
        pap.arxiv_id, pap.paper_key, round(ms.score, {ROUND}) AS score, printf('%.2f', ms.score) AS score_str
 FROM pap LEFT JOIN ms USING (arxiv_id)
-ORDER BY ms.score DESC NULLS LAST, pap.arxiv_id LIMIT {TOP_N}
+ORDER BY ms.score DESC NULLS LAST, pap.arxiv_id
 """
 
 
-@query("triage", TRIAGE_SQL)
-def q_triage(spark, sf):
+def _triage(spark, sf):
     from litsift.plans.triage import triage
-    r = triage(_bench_papers(spark, sf), _catalogue(spark, sf), _questions(spark, sf), n=TOP_N,
-               dedup_order=["paper_key"])
-    return r.top.select("rank", "arxiv_id", "paper_key", _r(F.col("score")).alias("score"), "score_str")
+    return triage(_bench_papers(spark, sf), _catalogue(spark, sf), _questions(spark, sf), n=TOP_N, dedup_order=["paper_key"])
+
+
+@query("triage", TRIAGE_SQL + f" LIMIT {TOP_N}")
+def q_triage(spark, sf):
+    return _triage(spark, sf).top.select("rank", "arxiv_id", "paper_key", _r(F.col("score")).alias("score"), "score_str")
+
+
+@query("triage_ranked", TRIAGE_SQL)
+def q_triage_ranked(spark, sf):
+    r = _triage(spark, sf).ranked
+    # The order of the ranked rows, as row numbers: they are sorted by score and id.
+    from pyspark.sql import Window
+    place = F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "arxiv_id")).cast("int")
+    return r.select(place.alias("rank"), "arxiv_id", "paper_key", _r(F.col("score")).alias("score"),
+                    format_score("score").alias("score_str"))
+
+
+@query("triage_scores", TRIAGE_PAIRS_SQL + f"SELECT arxiv_id, question_id, round(s / 10.0, {ROUND}) AS relevance_score FROM pair")
+def q_triage_scores(spark, sf):
+    return _triage(spark, sf).scores.select("arxiv_id", "question_id", _r(F.col("relevance_score")).alias("relevance_score"))
+
+
+@query("triage_usage", TRIAGE_PAIRS_SQL + """SELECT count(*)::BIGINT AS n_calls, 0::BIGINT AS total_prompt_tokens,
+  0::BIGINT AS total_completion_tokens, 0::BIGINT AS total_tokens, 0.0::DOUBLE AS estimated_cost FROM pair""")
+def q_triage_usage(spark, sf):
+    return _triage(spark, sf).usage.select("n_calls", "total_prompt_tokens", "total_completion_tokens", "total_tokens", "estimated_cost")
 
 
 # ---- X1, D4: incremental ingest ---------------------------------------------------------------------------------

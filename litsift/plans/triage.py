@@ -1,7 +1,8 @@
 """Whole-run plans: recent papers from mail (U5) and the ranked reading list.
 
-Each returns lazy DataFrames; nothing runs until the caller acts (write, collect, show),
-so Catalyst plans the run end to end.
+``recent_papers`` is lazy. ``triage`` runs the lookup tiers and the scoring while it is
+built and writes their results to the shared folder: every pair is scored once, whichever
+of its outputs are read.
 """
 
 from __future__ import annotations
@@ -55,7 +56,10 @@ def analyze(papers: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
         if scorer_factory is not None:
             return score.score_with(req, scorer_factory, model)
         return score.join_responses(req, responses, model)
-    pairs = score.lexical_pair_scores(valid, questions)
+    shared = score.lexical_pair_scores(valid, questions).select("arxiv_id", F.col("question_id").alias("_qid"), "relevance_score")
+    every = score.pair_requests(valid.select("arxiv_id"), questions.select("question_id"))
+    pairs = every.join(shared.withColumnRenamed("_qid", "question_id"), ["arxiv_id", "question_id"], "left") \
+        .withColumn("relevance_score", F.coalesce("relevance_score", F.lit(0.0)))
     return pairs.select("arxiv_id", "question_id", F.lit(model).alias("model_key"), "relevance_score",
                         F.lit(None).cast("string").alias("explanation"), F.lit(False).alias("error"),
                         F.lit(None).cast("string").alias("parse_error"),
@@ -77,12 +81,11 @@ def triage(raw_papers: DataFrame, catalogue: DataFrame, questions: DataFrame, mo
             "paper_key", F.concat_ws(":", F.col("email_id"), F.col("article_pos").cast("string")))
     matches = lookup.lookup_cascade(raw_papers, catalogue, k, index=index)
     enriched = to_papers(lookup.enrich(raw_papers, catalogue, k, matches=matches))
-    papers = dedup.dedup_by_id(enriched, order=dedup_order, fallback=["paper_key"])
+    papers = score.stored_once(dedup.dedup_by_id(enriched, order=dedup_order, fallback=["paper_key"]), "papers")
     if scorer_factory is None and responses is None:
         means = score.lexical_mean_scores(papers, questions)
-        scores = analyze(papers, questions, model)
-    else:
-        scores = analyze(papers, questions, model, scorer_factory, responses, answers_path)
+    scores = score.stored_once(analyze(papers, questions, model, scorer_factory, responses, answers_path), "scores")
+    if scorer_factory is not None or responses is not None:
         means = score.mean_score(scores)
     scored = rank.attach_scores(papers, means)
     return TriageResult(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,21 +18,20 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "litsift") -> SparkSession:
-    """Build (or reuse) a session with the engine's settings."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("LITSIFT_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-    )
+    """Build (or reuse) a session with the engine's settings. Neither the master nor the number
+    of shuffle partitions is set unless asked for."""
+    builder = SparkSession.builder.appName(app_name).config("spark.ui.showConsoleProgress", "false")
+    if master:  # else whatever the submit command says
+        builder = (builder.master(master).config("spark.ui.enabled", "false")
+                   .config("spark.driver.memory", os.environ.get("LITSIFT_DRIVER_MEMORY", "16g")))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -50,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
         d = tempfile.mkdtemp(prefix="litsift-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d

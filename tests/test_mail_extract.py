@@ -18,13 +18,13 @@ def test_reference_fixture_message(spark):
     rows = extract.extract_articles(filters.filter_marker(_fields(spark, [message()]))).collect()
     assert len(rows) == 1
     r = rows[0]
-    assert r.title == "Scholar Alert Digest AA/BB"
+    assert r.title == "Scholar Alert Digest: tides"
     assert r.email_id == "msg1"
     assert r.email_date == "Fri, 01 Jan 2021 00:00:00 +0000"
-    assert r.authors == "Author One, Author Two"
+    assert r.authors == "Mara Lindqvist, Teo Okafor"
     assert r.relevance == 80
-    assert r.venue == "Journal of Example"
-    assert r.url == "https://example.com/paper"
+    assert r.venue == "Annals of Tide Studies"
+    assert r.url == "https://papers.example.org/tide"
 
 
 def test_headers_last_duplicate_wins_and_defaults(spark):
@@ -123,7 +123,7 @@ def test_recent_papers_end_to_end(spark):
     msgs = spark.createDataFrame([message(), old, other], MESSAGE)
     out = recent_papers(msgs, now="2021-01-20", days=30).collect()
     assert [r.email_id for r in out] == ["msg1"]
-    assert out[0].title == "Scholar Alert Digest AA/BB" and out[0].arxiv_id is None
+    assert out[0].title == "Scholar Alert Digest: tides" and out[0].arxiv_id is None
 
 
 def test_parsed_extractor_matches_regex_and_handles_nesting(spark):

@@ -14,10 +14,10 @@ from litsift.sources import models, papers, questions
 from litsift.sources.messages import read_messages
 from litsift.streaming.incremental import ingest_incremental, read_ingested
 
-SAMPLE = [("Scholar Alert Digest AA/BB", "msg1", "Fri, 01 Jan 2021 00:00:00 +0000", "Author One, Author Two", 80,
-           "Journal of Example", "https://example.com/paper"),
-          ("Another Research Paper", "msg2", "Sat, 02 Jan 2021 12:00:00 +0000", "Author Three, Author Four", 65,
-           "Conference Proceedings", "https://example.com/paper2")]
+SAMPLE = [("Scholar Alert Digest: tides", "msg1", "Fri, 01 Jan 2021 00:00:00 +0000", "Mara Lindqvist, Teo Okafor", 80,
+           "Annals of Tide Studies", "https://papers.example.org/tide"),
+          ("Sediment Budgets of Small Estuaries", "msg2", "Sat, 02 Jan 2021 12:00:00 +0000", "Ines Roche, Paul Adeyemi", 65,
+           "Harbour Symposium", "https://papers.example.org/sediment")]
 COLS = "title string, email_id string, email_date string, authors string, relevance int, venue string, url string"
 
 
@@ -25,7 +25,7 @@ def test_to_papers_types(spark):
     df = papers.to_papers(spark.createDataFrame(SAMPLE, COLS))
     assert dict(df.dtypes)["email_date"] == "timestamp" and dict(df.dtypes)["relevance"] == "double"
     rows = df.orderBy("email_id").collect()
-    assert rows[0].email_date == dt.datetime(2021, 1, 1) and rows[1].venue == "Conference Proceedings"
+    assert rows[0].email_date == dt.datetime(2021, 1, 1) and rows[1].venue == "Harbour Symposium"
 
 
 def test_to_papers_errors(spark):

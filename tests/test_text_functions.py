@@ -19,12 +19,12 @@ def test_key_phrase_reference_case(spark):
 
 def test_last_name(spark):
     assert one(spark, text.last_name, "Smith, John") == "Smith"
-    assert one(spark, text.last_name, "Author One") == "One"
+    assert one(spark, text.last_name, "Mara Lindqvist") == "Lindqvist"
     assert one(spark, text.last_name, "") == ""
 
 
 def test_split_authors(spark):
-    assert one(spark, text.split_authors, "Author One, Author Two") == ["Author One", "Author Two"]
+    assert one(spark, text.split_authors, "Mara Lindqvist, Teo Okafor") == ["Mara Lindqvist", "Teo Okafor"]
     assert one(spark, text.split_authors, "") == [""]
 
 
