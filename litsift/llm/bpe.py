@@ -51,7 +51,8 @@ class BPE:
     def __init__(self, tokens: list[bytes], pattern: str):
         import ahocorasick
 
-        self.tokens = np.array(tokens, object)
+        self.tokens = tokens
+        self.size = [len(t) for t in tokens]
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
@@ -74,10 +75,6 @@ class BPE:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return [self.rank[p] for p in parts]
 
-    def longest(self, text: str, at: int) -> int:
-        """The longest token that starts at a place (each byte is a token, so one does)."""
-        return next(self.automaton.iter_long(text, at))[1]
-
     def _shorter(self, token: int) -> int | None:
         """The longest token that a token begins with, but for itself."""
         data = self.tokens[token]
@@ -98,26 +95,33 @@ class BPE:
         if whole is not None:
             return [whole]
         text, n = data.decode("latin-1"), len(data)
+        size, shorter, fits, search = self.size, self.shorter, self.fits, self.automaton.iter_long
         dead = bytearray(n + 1)
         taken: list[int] = []
-        at, token = 0, self.longest(text, 0)
+        # Each byte is a token, so a longest one starts at every place.
+        at, token, last = 0, next(search(text, 0))[1], None
         while at < n:
             while token is not None:
-                end = at + len(self.tokens[token])
-                if not dead[end] and (not taken or self.compatible(taken[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + size[token]
+                if not dead[end]:
+                    fit = True if last is None else fits.get((last, token))
+                    if fit is None:
+                        fit = self.compatible(last, token)
+                    if fit:
+                        break
+                token = shorter[token]
             if token is not None:
                 taken.append(token)
-                at = end
-                token = self.longest(text, at) if at < n else None
+                at, last = end, token
+                token = next(search(text, at))[1] if at < n else None
             else:
                 if not taken:
                     raise ValueError("a byte is missing in the vocabulary")
                 dead[at] = 1
                 token = taken.pop()
-                at -= len(self.tokens[token])
-                token = self.shorter[token]
+                at -= size[token]
+                last = taken[-1] if taken else None
+                token = shorter[token]
         return taken
 
     def _unit(self, text: str) -> tuple[int, ...]:
@@ -131,9 +135,6 @@ class BPE:
             return list(chain.from_iterable(self.piece(m.encode()) for m in self.pattern.findall(text)))
         return list(chain.from_iterable(map(self.memo.__getitem__, _UNIT.findall(text))))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.tokens[ids])
-
 
 def _column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
