@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from litsift.session import scratch_path, ship_package
 #: Texts are worked on in groups of about so many characters, which bounds a worker's memory.
 GROUP_CHARS = 2_000_000
 #: Entries of each of the two generations of a worker's memo of words.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 #: Longer words are not kept in a memo.
 MEMO_WORD = 64
 
@@ -60,9 +61,16 @@ def restored(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the Python workers."""
+    """``mapInArrow`` with the package shipped to the Python workers. A worker that comes to
+    it from another operator's tasks first lets go of what those remembered."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 class Memo(dict):
@@ -91,6 +99,16 @@ class Memo(dict):
 _OWN: dict = {}
 
 
+def forget(owner: str) -> None:
+    """Drops what ``once`` keeps for operators in other modules than ``owner``."""
+    others = [key for key in _OWN if key[0].__module__ != owner]
+    for key in others:
+        del _OWN[key]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def once(make: Callable, *args):
     """``make(*args)``, made once in each worker process: its memo serves all tasks that the process runs."""
     key = (make, *args)

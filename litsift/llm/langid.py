@@ -33,7 +33,7 @@ MAX_LANGUAGES = 1000
 #: Texts are read in blocks of so many characters; a word across a block's edge counts as two.
 BLOCK = 1 << 20
 #: Merge a worker's counts when so many n-grams wait.
-PENDING = 4_000_000
+PENDING = 2_000_000
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double"
 _EDGE = 1
