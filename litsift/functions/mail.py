@@ -17,7 +17,7 @@ HTML_MIME = "text/html"
 ARXIV_HOST = "arxiv.org"
 ARXIV_ABS_ID = r"arxiv\.org/abs/(\d+\.\d+)"
 # RFC 2822 date without the weekday; zone as offset (+0130) or name (GMT, EST).
-RFC2822_PATTERN = "d MMM yyyy HH:mm:ss[ Z][ z]"
+RFC2822_PATTERN = "d MMM yyyy HH:mm[:ss][ Z][ z]"
 # ---------------------------------------------------------------------------------------
 
 
@@ -54,13 +54,17 @@ def encode_b64url(col) -> Column:
 def parse_rfc2822(col) -> Column:
     """RFC 2822 date string -> timestamp; unparseable -> NULL.
 
-    The weekday is dropped first (a pattern with ``EEE`` cannot parse) and so is a trailing
-    comment such as ``(UTC)``.
+    The weekday (short or long, with or without a comma) is dropped first (a pattern with
+    ``EEE`` cannot parse) and so is a trailing comment such as ``(UTC)``. Seconds are
+    optional, a year of two digits lies in 1969 to 2068, and a date without a zone is UTC.
     """
-    s = F.regexp_replace(_c(col), r"^\s*[A-Za-z]{3},\s*", "")
+    s = F.regexp_replace(_c(col), r"^\s*[A-Za-z]+,?\s*(?=\d)", "")
     s = F.regexp_replace(s, r"\s*\([^)]*\)\s*$", "")
-    s = F.regexp_replace(s, r"\s+", " ")
-    return F.try_to_timestamp(F.trim(s), F.lit(RFC2822_PATTERN))
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    s = F.regexp_replace(s, r"^(\d{1,2} [A-Za-z]{3}) ([0-5]\d|6[0-8]) ", "$1 20$2 ")
+    s = F.regexp_replace(s, r"^(\d{1,2} [A-Za-z]{3}) (69|[7-9]\d) ", "$1 19$2 ")
+    s = F.regexp_replace(s, r"(:\d{2})$", "$1 +0000")
+    return F.try_to_timestamp(s, F.lit(RFC2822_PATTERN))
 
 
 def arxiv_id_from_url(col) -> Column:

@@ -1,8 +1,7 @@
 """Parsing of scorer answers (P23-P25) as Spark Columns.
 
 The answer format is ``<explanation>..</explanation><score>N</score>``, possibly inside a
-fenced block (``` or ```xml). Tags are searched in the whole answer, so a fence needs no
-special handling and an answer like ```xml<explanation>... also parses.
+fenced block (``` or ```xml), outside of which tags are not searched.
 """
 
 from __future__ import annotations
@@ -22,16 +21,25 @@ ERR_MISSING = "missing <explanation> or <score>"
 ERR_NUMBER = "score is not a number"
 
 
+def fenced(resp) -> Column:
+    """What is between the first fence (an ``xml`` one, if there is any) and the last; the
+    whole answer without fences; nothing if the fence is not closed."""
+    r = _c(resp)
+    return (F.when(F.contains(r, F.lit("```xml")), F.regexp_extract(r, r"(?s)```xml(.*)```", 1))
+            .when(F.contains(r, F.lit("```")), F.regexp_extract(r, r"(?s)```(.*)```", 1))
+            .otherwise(r))
+
+
 def score_text(resp) -> Column:
-    return strip(F.regexp_extract(_c(resp), SCORE_RE, 1))
+    return strip(F.regexp_extract(fenced(resp), SCORE_RE, 1))
 
 
 def parse_error(resp) -> Column:
     """NULL when the answer parses, else the reason."""
-    r = _c(resp)
+    r = fenced(resp)
     has_both = F.regexp_like(r, F.lit(EXPLANATION_RE)) & F.regexp_like(r, F.lit(SCORE_RE))
     return (F.when(r.isNull() | ~has_both, F.lit(ERR_MISSING))
-            .when(~F.regexp_like(score_text(r), F.lit(NUMBER_RE)), F.lit(ERR_NUMBER)))
+            .when(~F.regexp_like(score_text(resp), F.lit(NUMBER_RE)), F.lit(ERR_NUMBER)))
 
 
 def parsed_score(resp) -> Column:
@@ -49,7 +57,7 @@ def parse_response(resp) -> dict[str, Column]:
     """
     r = _c(resp)
     err = parse_error(r)
-    expl = strip(F.regexp_extract(r, EXPLANATION_RE, 1))
+    expl = strip(F.regexp_extract(fenced(r), EXPLANATION_RE, 1))
     fallback = F.concat(F.lit("Unparsed answer ("), err, F.lit("): "),
                         F.coalesce(F.substring(r, 1, SNIPPET_CHARS), F.lit("")), F.lit("..."))
     score = parsed_score(r)

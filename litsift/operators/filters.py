@@ -21,8 +21,9 @@ DEFAULT_SINCE_DAYS = 30
 def message_fields(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Project a message table (schema ``MESSAGE``) to flat columns.
 
-    ``email_id, email_subject, email_sender, email_date`` (header text), ``email_ts`` (parsed
-    date) and ``body_html`` (decoded body). Malformed base64 gives a NULL body and
+    ``email_id, email_subject, email_sender, email_date`` (header text), ``email_ts`` (the
+    time the mailbox received the message; where it is not known, the parsed Date header)
+    and ``body_html`` (decoded body). Malformed base64 gives an empty body and
     ``decode_error = true`` instead of failing the whole job.
     """
     h = F.col("payload.headers")
@@ -36,8 +37,11 @@ def message_fields(messages: DataFrame, keep: list[str] | None = None) -> DataFr
         F.coalesce(html, F.lit("")).alias("body_html"),
         (data.isNotNull() & html.isNull()).alias("decode_error"),
     ]
-    out = messages.select(*cols)
-    return out.withColumn("email_ts", mail.parse_rfc2822(F.nullif(F.col("email_date"), F.lit(""))))
+    received = (F.timestamp_millis(F.col("internalDate").try_cast("long")) if "internalDate" in messages.columns
+                else F.lit(None).cast("timestamp"))
+    out = messages.select(*cols, received.alias("email_ts"))
+    return out.withColumn("email_ts", F.coalesce(
+        F.col("email_ts"), mail.parse_rfc2822(F.nullif(F.col("email_date"), F.lit("")))))
 
 
 def _since_col(since) -> Column:

@@ -191,13 +191,16 @@ def pending_requests(requests: DataFrame, answered: DataFrame, model_key: str) -
 
 
 def finish_scores(raw: DataFrame) -> DataFrame:
-    """P23-P26 on answers: parse, or mark the row as a failed call."""
+    """P23-P26 on answers: parse, or mark the row as a failed call (or, where the boolean
+    ``unanswered`` is there and true, as a request without an answer)."""
     parsed = parse_response(F.col("response"))
-    failed = F.col("call_error").isNotNull()
+    gap = F.col("unanswered") if "unanswered" in raw.columns else F.lit(False)
+    failed = F.col("call_error").isNotNull() | gap
     return raw.select(
         "arxiv_id", "question_id", "model_key",
         F.when(failed, F.lit(0.0)).otherwise(parsed["relevance_score"]).alias("relevance_score"),
-        F.when(failed, F.concat(F.lit(ERR_CALL), F.col("call_error"))).otherwise(parsed["explanation"]).alias("explanation"),
+        F.when(gap, F.lit(ERR_NO_ANSWER)).when(failed, F.concat(F.lit(ERR_CALL), F.col("call_error")))
+        .otherwise(parsed["explanation"]).alias("explanation"),
         failed.alias("error"),
         F.when(failed, F.lit(None).cast("string")).otherwise(parsed["parse_error"]).alias("parse_error"),
         (~failed & parsed["out_of_range"]).alias("out_of_range"),
@@ -225,11 +228,7 @@ def join_responses(requests: DataFrame, responses: DataFrame, model_key: str) ->
     order = [c for c in ("answered_at", *values) if c in resp.columns]
     resp = last_write(resp, REQUEST_KEY, order, values).drop("n_writes")
     j = req.join(resp, ["arxiv_id", "question_id", "model_key"], "left")
-    scored = finish_scores(j.withColumn("call_error", F.coalesce(
-        F.col("call_error"),
-        F.when(F.col("response").isNull(), F.lit("__missing__")))))
-    missing = F.col("explanation") == F.lit(ERR_CALL + "__missing__")
-    scored = scored.withColumn("explanation", F.when(missing, F.lit(ERR_NO_ANSWER)).otherwise(F.col("explanation")))
+    scored = finish_scores(j.withColumn("unanswered", F.col("response").isNull() & F.col("call_error").isNull()))
     if not known:
         scored = scored.withColumn("relevance_score", F.lit(0.0)) \
             .withColumn("explanation", F.lit(ERR_NO_MODEL.format(model_key))) \

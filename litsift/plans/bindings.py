@@ -26,10 +26,6 @@ ENTRY_PREFIX = "catalogue/"
 PDF_PREFIX = "catalogue/pdf/"
 
 
-# Config-sized tables: never worth spreading.
-SMALL_TABLES = {"benchmark", "labels", "nation", "region", "supplier"}
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy text work all the cores when the scan yields fewer splits than the
     cluster's parallelism (one small file = one task). On real data, with many more splits

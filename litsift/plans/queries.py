@@ -84,6 +84,32 @@ def q_digest_counts(spark, sf):
     return filters.digest_counts(_event_messages(spark, sf), since=SINCE)
 
 
+# ---- F1: the mailbox's own time of receipt wins over the Date header --------------------------
+@query("digest_received", f"""
+SELECT 'event-' || CAST(event_id AS VARCHAR) AS email_id, {SUBJECT_SQL} AS email_subject,
+       CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS epoch_s
+FROM events
+WHERE contains(lower({SUBJECT_SQL}), 'scholar alert') AND ts >= DATE '{SINCE}'
+""")
+def q_digest_received(spark, sf):
+    # Every third message has only a Date header, every third only a time of receipt, and the
+    # rest a time of receipt and a header that says something else.
+    ev = B.table(spark, sf, "events").select("event_id", "event_type", B.rfc2822(F.col("ts")).alias("sent"))
+    v = F.col("event_id") % 3
+    millis = F.unix_millis(mail.parse_rfc2822("sent")).cast("string")
+    date = F.when(v == 0, F.col("sent")).when(v == 1, F.lit("Fri, 01 Jan 1999 00:00:00 +0000"))
+    none = F.lit(None).cast("string")
+    msgs = ev.select(
+        F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("id"),
+        F.when(v != 0, millis).alias("internalDate"),
+        F.struct(F.filter(F.array(_hdr(F.lit("Subject"), B.message_subject("event_type")), _hdr(F.lit("Date"), date)),
+                          lambda h: h["value"].isNotNull()).alias("headers"),
+                 F.struct(none.alias("data")).alias("body"),
+                 F.array(F.struct(none.alias("mimeType"), F.struct(none.alias("data")).alias("body"))).alias("parts")).alias("payload"))
+    kept = filters.filter_digests(filters.message_fields(msgs), since=SINCE)
+    return kept.select("email_id", "email_subject", F.unix_timestamp("email_ts").alias("epoch_s"))
+
+
 # ---- P1, F4: header pick --------------------------------------------------------------------
 def _hdr(name, value):
     return F.struct(name.alias("name"), value.alias("value"))
@@ -245,15 +271,21 @@ def q_clean_titles(spark, sf):
 # ---- P13: RFC 2822 dates --------------------------------------------------------------------------
 @query("rfc2822_dates", """
 SELECT event_id,
-       CASE WHEN event_id % 5 = 4 THEN NULL
+       CASE event_id % 10 WHEN 4 THEN NULL
+            WHEN 8 THEN CAST(epoch(date_trunc('minute', ts)) AS BIGINT)
             ELSE CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS epoch_s
 FROM events
 """)
 def q_rfc2822_dates(spark, sf):
     ev = B.table(spark, sf, "events")
     ts = F.col("ts")
-    v = F.col("event_id") % 5
-    s = (F.when(v == 0, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+    v = F.col("event_id") % 10
+    s = (F.when(v == 5, F.concat(F.date_format(ts, "EEEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+         .when(v == 6, F.concat(F.date_format(ts, "EEE dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+         .when(v == 7, F.concat(F.date_format(ts, "EEE, dd MMM yy HH:mm:ss"), F.lit(" +0000")))
+         .when(v == 8, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm"), F.lit(" +0000")))
+         .when(v == 9, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"))
+         .when(v == 0,F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
          .when(v == 1, F.concat(F.date_format(ts - F.expr("INTERVAL 5 HOURS"), "EEE, dd MMM yyyy HH:mm:ss"),
                                 F.lit(" -0500")))
          .when(v == 2, F.concat(F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
@@ -497,8 +529,11 @@ def _answers_spark(conv: DataFrame) -> DataFrame:
     t = F.col("text")
     n = (F.length(t) % 11).cast("string")
     base = F.concat(F.lit("<explanation>"), t, F.lit("</explanation>\n<score>"), n, F.lit("</score>"))
-    v = (F.col("conv_id") + F.col("turn")) % 7
+    v = (F.col("conv_id") + F.col("turn")) % 9
+    shown = "<explanation>your reasons</explanation><score>0 to 10</score>\n"
     resp = (F.when(v == 0, base)
+            .when(v == 7, F.concat(F.lit(shown + "```xml\n"), base, F.lit("\n```\nDone.")))
+            .when(v == 8, F.concat(F.lit("```xml\n"), base))
             .when(v == 1, F.concat(F.lit("```\n"), base, F.lit("\n```")))
             .when(v == 2, F.concat(F.lit("Sure.\n```xml\n"), base, F.lit("\n```")))
             .when(v == 3, F.concat(F.lit("```xml"), base, F.lit("```")))
@@ -510,7 +545,9 @@ def _answers_spark(conv: DataFrame) -> DataFrame:
 
 
 ANSWERS_SQL = """
-SELECT conv_id, turn, CASE (conv_id + turn) % 7
+SELECT conv_id, turn, CASE (conv_id + turn) % 9
+  WHEN 7 THEN '<explanation>your reasons</explanation><score>0 to 10</score>' || chr(10) || '```xml' || chr(10) || b || chr(10) || '```' || chr(10) || 'Done.'
+  WHEN 8 THEN '```xml' || chr(10) || b
   WHEN 0 THEN b WHEN 1 THEN '```' || chr(10) || b || chr(10) || '```'
   WHEN 2 THEN 'Sure.' || chr(10) || '```xml' || chr(10) || b || chr(10) || '```'
   WHEN 3 THEN '```xml' || b || '```'
@@ -526,12 +563,17 @@ FROM (SELECT *, '<explanation>' || text || '</explanation>' || chr(10) || '<scor
 
 def _parse_sql(r: str) -> dict[str, str]:
     from litsift.functions import response as R
-    has = f"(regexp_matches({r}, {O.q(R.EXPLANATION_RE)}) AND regexp_matches({r}, {O.q(R.SCORE_RE)}))"
-    st = O.strip(f"regexp_extract({r}, {O.q(R.SCORE_RE)}, 1)")
+    # Between the fences, by positions: the start of the last fence is found from the end.
+    last = f"(length({r}) - strpos(reverse({r}), '```') - 1)"
+    between = lambda f: (f"substr({r}, strpos({r}, '{f}') + {len(f)}, greatest({last} - strpos({r}, '{f}') - {len(f)}, 0))")
+    t = (f"(CASE WHEN strpos({r}, '```xml') > 0 THEN {between('```xml')} "
+         f"WHEN strpos({r}, '```') > 0 THEN {between('```')} ELSE {r} END)")
+    has = f"(regexp_matches({t}, {O.q(R.EXPLANATION_RE)}) AND regexp_matches({t}, {O.q(R.SCORE_RE)}))"
+    st = O.strip(f"regexp_extract({t}, {O.q(R.SCORE_RE)}, 1)")
     num = f"regexp_matches({st}, {O.q(R.NUMBER_RE)})"
     err = (f"(CASE WHEN {r} IS NULL OR NOT {has} THEN {O.q(R.ERR_MISSING)} "
            f"WHEN NOT {num} THEN {O.q(R.ERR_NUMBER)} END)")
-    expl = O.strip(f"regexp_extract({r}, {O.q(R.EXPLANATION_RE)}, 1)")
+    expl = O.strip(f"regexp_extract({t}, {O.q(R.EXPLANATION_RE)}, 1)")
     fallback = (f"'Unparsed answer (' || {err} || '): ' || coalesce(substring({r}, 1, {R.SNIPPET_CHARS}), '') || '...'")
     return {
         "relevance_score": f"(CASE WHEN {err} IS NULL THEN TRY_CAST({st} AS DOUBLE) / 10.0 ELSE 0.0 END)",
@@ -723,10 +765,6 @@ def q_show_papers(spark, sf):
     return rank.show_paper(_papers(spark, sf)).select("arxiv_id", "title", "authors", "venue")
 
 
-def registry() -> dict:
-    return QUERIES
-
-
 # ---- U5, F2, S1: recent papers from mail ------------------------------------------------------------------
 NOW = "2024-01-31"
 DAYS = 30

@@ -11,9 +11,9 @@ which would forget old ids and drop late re-deliveries wrongly.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from litsift.operators.common import top_k
 from litsift.schemas import MESSAGE
@@ -24,15 +24,18 @@ DEFAULT_KEY = ["email_id", "article_pos"]
 def _stored(spark: SparkSession, sink: str) -> DataFrame | None:
     try:
         return spark.read.parquet(sink)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # anything else doesn't mean that nothing is stored
         return None
 
 
 def process_batch(batch: DataFrame, batch_id: int, sink: str, to_papers, key: list[str]) -> None:
     spark = batch.sparkSession
     papers = to_papers(batch)
-    # Within the batch: one row per key (a message delivered twice in one batch).
-    papers = top_k(papers, key, [F.col(c) for c in key], 1, "_r").drop("_r")
+    # Within the batch: one row per key (a message delivered twice in one batch), the first by
+    # its content, so that a replayed batch keeps the same one.
+    papers = top_k(papers, key, [F.to_json(F.struct(*papers.columns))], 1, "_r").drop("_r")
     stored = _stored(spark, sink)
     if stored is not None and "batch_id" in stored.columns:
         seen = stored.where(F.col("batch_id") != batch_id).select(*key)

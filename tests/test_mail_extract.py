@@ -38,6 +38,38 @@ def test_headers_last_duplicate_wins_and_defaults(spark):
     assert rows["b"].email_ts is None
 
 
+def test_time_of_receipt_wins_over_the_date_header(spark):
+    day = dt.datetime(2021, 3, 4, 5, 6, 7)
+    msgs = [message("both", received="1614834367000"), message("none", headers=[], received="1614834367000"),
+            message("odd", received="soon")]
+    got = {r.email_id: r.email_ts for r in _fields(spark, msgs).collect()}
+    assert got == {"both": day, "none": day, "odd": dt.datetime(2021, 1, 1)}
+
+
+def test_date_forms(spark):
+    from litsift.functions.mail import parse_rfc2822
+    day = dt.datetime(2024, 5, 1, 10, 30, 5)
+    forms = {"Wed, 01 May 2024 10:30:05 +0000": day, "Wednesday, 1 May 2024 10:30:05 GMT": day,
+             "Wed 01 May 2024 10:30:05 +0000": day, "01 May 24 10:30:05 +0000": day, "Wed,1 May 2024 12:30:05 +0200": day,
+             "Wed, 01 May 2024 10:30:05": day, "Wed, 01 May 2024 10:30 +0000": day.replace(second=0),
+             "1 May 2024 10:30": day.replace(second=0), "1 May 99 10:30:05 +0000": day.replace(year=1999),
+             "May": None, "": None}
+    rows = spark.createDataFrame([(k,) for k in forms], "s string").select("s", parse_rfc2822("s").alias("t")).collect()
+    assert {r.s: r.t for r in rows} == forms
+
+
+def test_answers_are_read_between_fences(spark):
+    from litsift.functions.response import parse_response
+    real = "<explanation>because</explanation><score>8</score>"
+    shown = "<explanation>why</explanation><score>N</score>"
+    forms = {real: 0.8, f"{shown}\n```xml\n{real}\n```": 0.8, f"```\n{real}\n``` end": 0.8, f"```xml{real}```": 0.8,
+             f"```xml\n{real}": None, f"```{real}": None, f"``` a\n```xml\n{real}": None, "````": None}
+    p = parse_response(F.col("s"))
+    rows = spark.createDataFrame([(k,) for k in forms], "s string") \
+        .select("s", p["relevance_score"].alias("v"), p["parse_error"].alias("e")).collect()
+    assert {r.s: (r.v if r.e is None else None) for r in rows} == forms
+
+
 def test_multipart_last_html_part_wins(spark):
     parts = [{"mimeType": "text/html", "body": {"data": b64url("<p>one</p>")}},
              {"mimeType": "text/plain", "body": {"data": b64url("plain")}},
