@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -60,15 +61,17 @@ def restored(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: T.StructType | str) -> DataFrame:
+              schema: T.StructType | str, owner: str | None = None) -> DataFrame:
     """``mapInArrow`` with the package shipped to the Python workers. A worker that comes to
-    it from another operator's tasks first lets go of what those remembered."""
+    it from another operator's tasks first lets go of what those remembered (``owner``: the
+    operator's module, that of ``fn`` unless given), and gives back what a task has freed."""
     ship_package(df.sparkSession)
-    owner = fn.__module__
+    owner = owner or fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(owner)
         yield from fn(batches)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -106,7 +109,16 @@ def forget(owner: str) -> None:
         del _OWN[key]
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay alive between tasks and stages, and
+    would keep what the largest of them needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim is not None:
+        trim(0)
 
 
 def once(make: Callable, *args):
@@ -144,20 +156,24 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
-def numbered(df: DataFrame, key: str, name: str, out: str) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str, out: str, make: Callable | None = None, made: str | None = None) -> DataFrame:
     """Adds ``out``: within each value of the int column ``key`` (null-free, few values) the
     rows are numbered from 0 without gaps.
 
+    make: a function for ``map_arrow`` with the result ``made``; what it makes of ``df`` is
+    numbered in the same pass, which takes one Python worker a task instead of two.
+
     Each task numbers its own rows as they stream by; the result is written once, so those
     numbers stay as they are. The sizes per task and key are then turned into offsets (one
     small row for each task and key) and added. No key's rows meet in one task, however
     large its share.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("_task", T.LongType()), T.StructField("_at", T.LongType())])
+    fields = T.StructType.fromDDL(made).fields if make else df.schema.fields
+    schema = T.StructType([*fields, T.StructField("_task", T.LongType()), T.StructField("_at", T.LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in make(batches) if make else batches:
             keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
             order = np.argsort(keys, kind="stable")
             found, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
@@ -168,7 +184,7 @@ def numbered(df: DataFrame, key: str, name: str, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), task)), pa.array(at)],
                                              names=[*batch.schema.names, "_task", "_at"])
 
-    rows = written(map_arrow(df, number, schema), name)
+    rows = written(map_arrow(df, number, schema, make.__module__ if make else None), name)
     sizes = rows.groupBy(key, "_task").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

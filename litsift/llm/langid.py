@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsift.llm.common import groups, map_arrow
+from litsift.llm.common import forget, groups, map_arrow
 from litsift.session import ship_package
 
 #: Places of a profile.
@@ -158,6 +158,7 @@ def predictor(spark, profiles: Profiles):
 
     @F.pandas_udf(RESULT)
     def predict(text: pd.Series) -> pd.DataFrame:
+        forget(__name__)
         return pd.DataFrame([known.value.predict(t) for t in text], columns=["lang_pred", "score"])
 
     return predict

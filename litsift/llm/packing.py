@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsift.llm.common import Memo, groups, map_arrow, numbered, once
+from litsift.llm.common import Memo, groups, numbered, once
 
 CAPACITY = 4096
 END = 2
@@ -90,8 +90,8 @@ class Tokens:
         return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, size (the class): the pieces of every document of ``docs(doc_id, text)``."""
+def _cutter(path: str, capacity: int, end: int):
+    """For ``map_arrow``: documents (doc_id, text) -> their pieces."""
     sizes = class_sizes(capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "size"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _PIECES)
+    return run
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -127,7 +127,8 @@ def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """The pieces of all documents with their sequence_id and offset."""
-    rows = numbered(pieces(docs, path, capacity, end), "size", "pieces", "nth")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered(texts, "size", "pieces", "nth", _cutter(path, capacity, end), _PIECES)
     per_bin = F.lit(capacity).cast("long") / F.col("size")
     counts = rows.groupBy("size").agg((F.max("nth") + 1).alias("n"))
     counts = counts.withColumn("bins", F.floor(F.col("n") / F.floor(per_bin)))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.llm.common import carried, groups, map_arrow, texts, written
+from litsift.llm.common import carried, forget, groups, map_arrow, texts, written
 from litsift.llm.components import components
 from litsift.session import ship_package
 
@@ -183,6 +183,7 @@ def links(members: DataFrame, radius: int = RADIUS) -> DataFrame:
              .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget(__name__)
         return _shard_edges(pdf, radius)
 
     trees = (rows.join(sizes.where("n > 2").select("pair", "bits"), ["pair", "bits"])
