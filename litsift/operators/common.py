@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litsift.session import scratch_path
+
 # Largest small side we broadcast. The bound is checked with a LIMIT-ed count, so the
 # check itself costs at most this many rows.
 MAX_BROADCAST_ROWS = 200_000
@@ -37,14 +39,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
     return df, None
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Eager, reliable checkpoint into the shared checkpoint folder (cuts the lineage).
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """``df`` written once to the shared folder as Parquet and read back (cuts the lineage;
+    each consumer reads only the columns it needs).
 
-    Used where one result feeds several consumers, or where codegen would otherwise
-    re-evaluate a per-row expression once per joined pair (a Project's deterministic
-    expressions are evaluated where the consumer first uses them, e.g. inside a nested-loop
-    join's inner loop).
+    Used where one result feeds several consumers (where a model is called, it is so paid
+    once), or where codegen would otherwise re-evaluate a per-row expression once per joined
+    pair (a Project's deterministic expressions are evaluated where the consumer first uses
+    them, e.g. inside a nested-loop join's inner loop).
     """
-    from litsift.session import shared_dir
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,13 +15,15 @@ Scale rules followed here (a title, author or token may hold a third of all rows
 
 * Duplicates are collapsed before any pairing: papers are matched as *distinct keys* and the
   catalogue is reduced to the first ``k + 1`` entries per key with a ``row_number() <= k+1``
-  filter, planned as a partial ``WindowGroupLimit`` before the shuffle. No hot group is ever
-  paired with itself; every join has at most ``k + 1`` rows per key on one side, and AQE's
-  skew-join handling splits the other (hot) side.
+  filter, planned as a partial ``WindowGroupLimit`` before the shuffle. The joins of tier 1
+  have at most ``k + 1`` rows per key on one side; AQE's skew-join handling splits the other
+  (hot) side. In tier 2 a longer title meets all sets with its rarest token, in tier 3 all of
+  an author's titles with its phrase: what is frequent on both sides makes many candidates
+  there. They are cut to ``k + 1`` per title in the map stage, before entries are joined.
 * Candidates per paper are cut to the top ``k`` by ``(sim desc, entry_id)``: a
   deterministic order (the remote "relevance" order is not defined by the reference).
-* ``lookup_cascade`` checkpoints the prepared inputs and each tier's result (to the shared
-  checkpoint folder), so the catalogue is read and tokenised once for all three tiers and
+* ``lookup_cascade`` writes the prepared inputs and each tier's result (as Parquet, to the
+  shared folder), so the catalogue is read and tokenised once for all three tiers and
   the anti-joins between tiers do not recompute earlier tiers.
 """
 
@@ -52,15 +54,6 @@ def jaccard(a, b) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def phrase_words(col) -> Column:
-    """Lower-case title words with punctuation removed, stop words and empties dropped
-    (the word sequence a key phrase is matched against)."""
-    words = F.split(col if isinstance(col, Column) else F.col(col), r"\s+")
-    cleaned = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(cleaned, lambda w: (w != "") & ~F.array_contains(stop, w))
-
-
 def key_grams(key) -> Column:
     """Distinct 1- and 2-word phrases of a space-joined word string, with plain expressions
     (no lambdas): bigrams are the non-overlapping pairs of the string and of the string
@@ -83,25 +76,14 @@ STOP_RE = r"(?<!\S)(?:" + "|".join(STOP_WORDS) + r")(?!\S)"
 
 
 def phrase_key(col) -> Column:
-    """``phrase_words`` as one space-joined string, with plain regex expressions: punctuation
-    removed inside words (before lower-casing, like ``phrase_words``), stop words and empty
-    words dropped."""
+    """The title's words as one space-joined string: punctuation removed inside words (before
+    lower-casing), stop words and empty words dropped."""
     c = col if isinstance(col, Column) else F.col(col)
     s = F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", ""))
     s = F.regexp_replace(s, STOP_RE, "")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def phrase_grams(words) -> Column:
-    """Distinct 1- and 2-word phrases of a word sequence (an array column computed once
-    upstream; a lambda over the raw expression would re-split the title per word)."""
-    ws = F.col(words) if isinstance(words, str) else words
-    m = F.greatest(F.size(ws) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(ws, F.lit(1), m), F.slice(ws, F.lit(2), m),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(ws, pairs))
-
-
 # ---- one-pass preparation ---------------------------------------------------------------
 
 def prepare_papers(papers: DataFrame, self_col: str | None = None) -> DataFrame:
@@ -161,17 +143,28 @@ def _tier2(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
     # Distinct catalogue token sets get a 64-bit id: the postings (one row per token) then
     # carry 8 bytes instead of the whole key. A (rare) id collision only adds candidates;
     # the containment check below uses the full key, so the result stays exact.
-    c_sets = c.select("c_key").distinct().withColumn("gid", F.xxhash64("c_key"))
+    # ``first_entry``: the best k + 1 entries of a title lie in its best k + 1 token sets by
+    # (sim desc, first entry), so other sets go before the entries are joined.
+    c_sets = c.groupBy("c_key").agg(F.min("entry_id").alias("first_entry")).withColumn("gid", F.xxhash64("c_key"))
     postings = c_sets.select("gid", F.explode(key_tokens("c_key")).alias("tok"))
     dfreq = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     # Any rarest token gives a complete candidate set (every match holds every query token);
     # a token missing from the catalogue has df 0 and matches nothing.
-    q_toks = q_sets.select("q_key", F.explode(key_tokens("q_key")).alias("tok")).join(dfreq, "tok", "left")
+    several = q_sets.where(F.size(key_tokens("q_key")) > 1)
+    q_toks = several.select("q_key", F.explode(key_tokens("q_key")).alias("tok")).join(dfreq, "tok", "left")
     rarest = q_toks.groupBy("q_key").agg(F.min_by("tok", F.coalesce(F.col("df"), F.lit(0))).alias("tok"))
-    pairs = (rarest.join(postings, "tok").select("q_key", "gid").join(c_sets, "gid")
-             .where(F.size(F.array_except(key_tokens("q_key"), key_tokens("c_key"))) == 0)
-             .select("q_key", "c_key",
-                     (F.size(key_tokens("q_key")) / F.size(key_tokens("c_key"))).alias("sim")))
+    held = (rarest.join(postings, "tok").select("q_key", "gid").join(c_sets, "gid")
+            .where(F.size(F.array_except(key_tokens("q_key"), key_tokens("c_key"))) == 0)
+            .select("q_key", "c_key", "first_entry",
+                    (F.size(key_tokens("q_key")) / F.size(key_tokens("c_key"))).alias("sim")))
+    # A title of one token is held by every set with that token: each token keeps its shortest
+    # sets (before the shuffle), however many there are.
+    asked = q_sets.where(F.size(key_tokens("q_key")) == 1).select("q_key")
+    single = (c_sets.select("c_key", "first_entry", F.explode(key_tokens("c_key")).alias("q_key"))
+              .join(asked, "q_key", "left_semi")
+              .select("q_key", "c_key", "first_entry", (F.lit(1) / F.size(key_tokens("c_key"))).alias("sim")))
+    pairs = top_k(held.unionByName(single), ["q_key"], [F.col("sim").desc(), F.col("first_entry")], k + 1, "r") \
+        .select("q_key", "c_key", "sim")
     entries = top_k(c, ["c_key"], [F.col("entry_id")], k + 1, "r").drop("r")
     per_key = top_k(pairs.join(entries, "c_key"), ["q_key"],
                     [F.col("sim").desc(), F.col("entry_id")], k + 1, "r").drop("c_key")
@@ -183,16 +176,19 @@ def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
     p = pp.where((F.col("a_last") != "") & (F.col("phrase") != "")).select("paper_key", "p_self", *keys)
     c = idx.select("entry_id", "c_self", "pw_key", "c_key", F.explode("c_lasts").alias("a_last"))
     ckey = ["a_last", "pw_key", "c_key"]
-    entries = top_k(c, ckey, [F.col("entry_id")], k + 1, "r").drop("r")
+    ranked = top_k(c, ckey, [F.col("entry_id")], k + 1, "r")
+    entries = ranked.drop("r")
     # One row per phrase of each distinct (author, title words, token set) group, carrying a
     # 64-bit group id rather than the long keys; matches are re-checked on the full key.
-    groups = entries.select(*ckey).distinct().withColumn("gid", F.xxhash64(*ckey))
+    groups = ranked.where(F.col("r") == 1).select(*ckey, F.col("entry_id").alias("first_entry"), F.xxhash64(*ckey).alias("gid"))
     grams = groups.select("gid", "a_last", F.explode(key_grams("pw_key")).alias("phrase"))
     hits = p.select(*keys).distinct().join(grams, ["a_last", "phrase"]).select(*keys, "gid")
     pairs = hits.join(groups.withColumnRenamed("a_last", "g_last"), "gid") \
         .where((F.col("g_last") == F.col("a_last"))
                & has_phrase("pw_key", "phrase")) \
-        .select(*keys, "pw_key", "c_key", jaccard(key_tokens("q_key"), key_tokens("c_key")).alias("sim"))
+        .select(*keys, "pw_key", "c_key", "first_entry", jaccard(key_tokens("q_key"), key_tokens("c_key")).alias("sim"))
+    pairs = top_k(pairs, keys, [F.col("sim").desc(), F.col("first_entry")], k + 1, "r") \
+        .select(*keys, "pw_key", "c_key", "sim")
     per_key = top_k(pairs.join(entries, ckey), keys, [F.col("sim").desc(), F.col("entry_id")], k + 1, "r") \
         .select(*keys, "entry_id", "c_self", "sim", "r")
     return _finish(per_key, p, keys, k, 3, exclude_self)
@@ -241,7 +237,7 @@ def lookup_cascade(papers: DataFrame, catalogue: DataFrame | None, k: int = DEFA
 
     ``index`` is a stored ``catalogue_index`` (``write_catalogue_index``); without it the
     keys are built from ``catalogue``. With ``materialize`` the prepared keys and each
-    tier's result are checkpointed (eager), which also cuts the lineage of this long plan."""
+    tier's result are written to the shared folder, which also cuts the lineage of this long plan."""
     ex = self_cols is not None
     pp = prepare_papers(papers, self_cols[0] if self_cols else None)
     idx = index if index is not None else catalogue_index(catalogue, self_cols[1] if self_cols else None)
@@ -251,7 +247,7 @@ def lookup_cascade(papers: DataFrame, catalogue: DataFrame | None, k: int = DEFA
     rest = pp.join(t1.where(F.col("rank") == 1).select("paper_key"), "paper_key", "left_anti")
     t2 = _materialize(_tier2(rest, idx, k, ex), materialize)
     rest = rest.join(t2.where(F.col("rank") == 1).select("paper_key"), "paper_key", "left_anti")
-    t3 = _tier3(rest, idx, k, ex)
+    t3 = _materialize(_tier3(rest, idx, k, ex), materialize)
     return t1.unionByName(t2).unionByName(t3)
 
 

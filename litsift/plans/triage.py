@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litsift.operators import dedup, extract, filters, lookup, rank, score
+from litsift.operators.common import materialize
 from litsift.sources.models import DEFAULT_MODEL, models_df
 from litsift.sources.papers import to_papers
 
@@ -81,10 +82,10 @@ def triage(raw_papers: DataFrame, catalogue: DataFrame, questions: DataFrame, mo
             "paper_key", F.concat_ws(":", F.col("email_id"), F.col("article_pos").cast("string")))
     matches = lookup.lookup_cascade(raw_papers, catalogue, k, index=index)
     enriched = to_papers(lookup.enrich(raw_papers, catalogue, k, matches=matches))
-    papers = score.stored_once(dedup.dedup_by_id(enriched, order=dedup_order, fallback=["paper_key"]), "papers")
+    papers = materialize(dedup.dedup_by_id(enriched, order=dedup_order, fallback=["paper_key"]), "papers")
     if scorer_factory is None and responses is None:
         means = score.lexical_mean_scores(papers, questions)
-    scores = score.stored_once(analyze(papers, questions, model, scorer_factory, responses, answers_path), "scores")
+    scores = materialize(analyze(papers, questions, model, scorer_factory, responses, answers_path), "scores")
     if scorer_factory is not None or responses is not None:
         means = score.mean_score(scores)
     scored = rank.attach_scores(papers, means)

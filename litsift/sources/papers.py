@@ -21,7 +21,7 @@ def to_papers(df: DataFrame, require_rows: bool = False) -> DataFrame:
     """
     require_columns(df, REQUIRED)
     if require_rows and df.isEmpty():
-        raise ValueError("No papers provided to create_dataframe")
+        raise ValueError("the input has no papers")
     out = df
     if "email_date" in df.columns:
         dt = df.schema["email_date"].dataType

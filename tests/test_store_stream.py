@@ -29,7 +29,7 @@ def test_to_papers_types(spark):
 
 
 def test_to_papers_errors(spark):
-    with pytest.raises(ValueError, match="No papers provided"):
+    with pytest.raises(ValueError, match="no papers"):
         papers.to_papers(spark.createDataFrame([], COLS), require_rows=True)
     with pytest.raises(ValueError, match="authors"):
         papers.to_papers(spark.createDataFrame([("t",)], "title string"))
