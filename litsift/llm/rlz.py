@@ -186,7 +186,7 @@ def _index(rows: DataFrame, all_ids: bool) -> DataFrame:
                 leads = np.zeros(len(k), bool)
                 leads[lead[later]] = True
                 answer = later | leads
-            done = bool(later[lead == lead[-1]].any()) or bool(early) or (last is not None and (k[-1], c[-1]) == last[:2] and last[3])
+            done = bool(later[lead == lead[-1]].any()) or (last is not None and (k[-1], c[-1]) == last[:2] and last[3])
             last = (k[-1], c[-1], least[-1], done)
             ids, keys, refs = i[answer], k[answer], least[answer]
             if early:

@@ -99,6 +99,22 @@ def test_substrings_are_settled_across_tasks(spark):
     assert got(rlz.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept") == brute_rlz(rows)
 
 
+def test_substrings_are_settled_across_arrow_batches(spark):
+    rng = np.random.default_rng(8)
+    pool = [" ".join(map(str, rng.integers(0, 40, 30))) for _ in range(40)]
+    rows = [(int(i), " ".join(rng.choice(pool, 3)), None, None, None) for i in rng.permutation(120)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    small = {"spark.sql.execution.arrow.maxRecordsPerBatch": "3", "spark.sql.shuffle.partitions": "2"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        assert got(rlz.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept") == brute_rlz(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_factors_name_a_reference_that_holds_them(docs):
     by_id = {}
     for r in docs.collect():
