@@ -12,7 +12,9 @@ proportion to a group of blocks, and blocks without a marked word share one answ
 
 Learned from a bounded sample: the SAMPLE labelled rows of each class that come first by a
 hash of their id, at most FEATURES features and SEGMENTS chains of them; held-out ids
-(crc32 of the id modulo 5 is 0) are never used. Every document's whole text is scored.
+(crc32 of the id modulo 5 is 0) are never used. A feature's counts are of distinct texts of
+a class, so copies count once; every feature that passes SIGNIFICANT and ODDS is kept, up to
+FEATURES. Every document's whole text is scored.
 
 Defined results: a null or empty text has no tokens and is scored as such. A document with
 several labels is toxic if one says so; null labels are not used. Without labelled rows of
@@ -44,8 +46,6 @@ LEVELS = 12
 SIGNIFICANT = 12.0
 #: ... and if it is at least exp(ODDS) times as frequent there.
 ODDS = 3.5
-#: A feature is kept for so large a share of the toxic documents that no feature kept before it marks.
-GAIN = 0.002
 PREFIXES = (4, 5, 6)
 STEPS = 60
 _TRIM = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
@@ -167,27 +167,6 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -30, 30))) if self.curve.any() else np.full(len(x), self.prior)
 
 
-def cover(has: list[list[int]], best: list) -> list[int]:
-    """Features that together mark the toxic documents, chosen greedily by how many unmarked ones they mark.
-
-    A word that merely stands beside others, as in copies of one document, marks nothing new.
-    Ties go to the higher ratio, then to whole words, then to the first.
-    """
-    members: dict[int, set[int]] = {}
-    for d, own in enumerate(has):
-        for f in own:
-            members.setdefault(f, set()).add(d)
-    chosen, least = [], max(2, GAIN * len(has))
-    while members:
-        f = max(members, key=lambda f: (len(members[f]), best[f].ratio, not best[f].feature.endswith("*"), -f))
-        new = members.pop(f)
-        if len(new) < least:
-            break
-        chosen.append(f)
-        members = {g: rest for g, m in members.items() if (rest := m - new)}
-    return chosen
-
-
 def _column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
@@ -216,7 +195,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
     first = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = F.broadcast(first(1).unionByName(first(0)))  # at most 2 * SAMPLE ids
     sample = written(docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.coalesce("text", F.lit("")).alias("text")), "labelled")
-    size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    different = written(sample.select("toxic", "text").distinct(), "texts")
+    size = {r.toxic: r.n for r in different.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return field
 
@@ -234,21 +214,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
     share = n1 / (n1 + n0)
     t, c = F.col("t"), F.col("c")
     ratio = 2 * (F.when(t > 0, t * F.log(t / ((t + c) * share))).otherwise(0.0) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
-    counted = (map_arrow(sample, count, "feature string, toxic long").groupBy("feature")
+    counted = (map_arrow(different, count, "feature string, toxic long").groupBy("feature")
                .agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
                .withColumn("odds", F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1)))
                .withColumn("ratio", ratio).where((F.col("odds") > ODDS) & (F.col("ratio") >= SIGNIFICANT)))
-    best = counted.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature", "odds", "ratio").collect()
-    place = {r.feature: i for i, r in enumerate(best)}
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: [place[f] for f in features(w) if f in place])
-        for batch in groups(batches):
-            own = [sorted({f for w in set(t.split()) for f in memo[w]}) for t in _column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], names=["has"])
-
-    has = [r.has for r in map_arrow(sample.where("toxic = 1"), held, "has array<int>").limit(SAMPLE).collect()]
-    field.levels = {best[i].feature: int(min(LEVELS, 1 + np.floor(1.5 * (best[i].odds - ODDS)))) for i in cover(has, best)}
+    best = counted.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature", "odds").collect()
+    field.levels = {r.feature: int(min(LEVELS, 1 + np.floor(1.5 * (r.odds - ODDS)))) for r in best}
     if not field.levels:
         return field
 

@@ -388,6 +388,20 @@ def test_toxicity(spark, none):
     assert toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_keeps_words_that_stand_beside_others(spark):
+    rng = np.random.default_rng(9)
+    plain = lambda: list(rng.choice(["sun", "rain", "wind", "snow", "tree", "road"], 30))
+    toxic = [" ".join([*plain(), "vilest", *(["scummy"] if i % 4 else [])]) for i in range(60)]
+    copied = " ".join([*plain(), "vilest", "garden"])
+    texts = [(t, 1) for t in [*toxic, *[copied] * 20]] + [(" ".join(plain()), 0) for _ in range(240)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(1000, "sun scummy rain"), (1001, "sun garden rain")], "doc_id long, text string")
+    field = toxicity.learn(docs, spark.createDataFrame([(i, m) for i, (_, m) in enumerate(texts)], "doc_id long, toxic int"))
+    assert {"vilest", "scummy"} <= set(field.levels) and "garden" not in field.levels
+    found = {r.doc_id: r for r in toxicity.score(docs, field).where("doc_id >= 1000").collect()}
+    assert found[1000].score >= 0.5 and [(s.start, s.end) for s in found[1000].spans] == [(4, 10)]
+    assert found[1001].score < 0.5 and not found[1001].spans
+
+
 def test_pipeline_stages_keep_clean_documents(spark, clashing, none):
     for stage_docs in (clashing, none):
         docs = stage_docs
