@@ -2,8 +2,7 @@
 
 import base64
 import hashlib
-
-
+import re
 import zlib
 from collections import Counter
 
@@ -422,6 +421,44 @@ def test_pipeline_on_the_smallest_table(spark):
     assert rows.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
 
 
+def brute_pipeline(rows):
+    """(doc_id, start, length, ids_crc32, doc_tokens) of each piece; rows: (doc_id, text) with distinct ids."""
+    rows = sorted((i, t) for i, t in rows if any(c.isalpha() for c in t or ""))
+    first = {}
+    for i, t in rows:
+        first.setdefault(re.sub("[ \t\n\r\x0b\x0c]+", " ", t), (i, t))
+    rows = sorted(first.values())
+    prints = [fingerprint(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                old, new = part[a], part[b]
+                part = [new if p == old else p for p in part]
+    rows = [rows[part.index(p)] for p in sorted(set(part), key=part.index)]
+    cut = {i: kept for i, _, gone, kept in brute_rlz(rows) if gone}
+    tokenizer, out = Tokenizer.from_file(WORD), []
+    for i, t in rows:
+        whole, at = np.array(tokenizer.encode(cut.get(i, t), add_special_tokens=False).ids + [2], "<u4").tobytes(), 0
+        for n in packing.cut(len(whole) // 4, packing.class_sizes(packing.CAPACITY)):
+            out.append((i, at, n, zlib.crc32(whole[4 * at:4 * (at + n)]), len(whole) // 4))
+            at += n
+    return sorted(out)
+
+
+def test_pipeline_gives_what_its_stages_give_by_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = [t for t in (r.text for r in docs.collect()) if t and len(t.split()) > 300][:3]
+    planted = [long[0], long[0].replace(" ", "  "), " ".join([*long[1].split()[:-1], "otherwise"]), "before this " + " ".join(long[2].split()[:60]), None, "", "12 34 !", long[1] + "\n"]
+    more = spark.createDataFrame([(1_000_000 + i, t, None, "planted", len(t or "")) for i, t in enumerate(planted)], DOCS)
+    docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    assert len({i for i, _ in rows}) == len(rows)
+    want = brute_pipeline(rows)
+    assert len({w[0] for w in want}) < len(rows) - 5
+    assert got(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "start", "length", "ids_crc32", "doc_tokens") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", ["op2_substring_dedup", "op4_top_k", "op6_url_filter", "op9_exact_dedup"])
 def test_sql(spark, name):
     con = duckdb.connect()
