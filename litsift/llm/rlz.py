@@ -1,11 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by looked-up windows, in place of a relative Lempel-Ziv parse.
 
-Every document is factored, greedily and from left to right, against the blocks of reference
-text that documents with smaller ids provide: a factor is the longest run of words that one
-reference document holds in the same order. Factors of at least WINDOW words are duplicate
-spans; because the greedy parse jumps from a factor's end, the windows that cross a factor's
-boundary are looked up too. Together these are exactly the words covered by a window of
-WINDOW words that also starts in a document with a smaller id.
+Every window of WINDOW words of a document is looked up among the windows of the documents
+with smaller ids; the words that a found window covers are duplicates, exactly those. Found
+windows that start side by side and name the same reference make one factor. No match is
+extended in its reference: each window of a factor is held by a document with a smaller id,
+but the factor need not be one run of words there. The reference is the smallest id that
+holds the window either of all documents or of the group that was settled together, so it
+depends on the grouping; which words go does not.
 
 The reference index has two levels, both spread over the cluster by hash:
 
@@ -271,7 +272,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref
 
 def dedup_substrings(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, kept (the words that stay, joined by one space), n_words, n_removed, spans (the factors: duplicate runs of
-    words and the document that has them); one row for each row of ``docs``.
+    words and a document that has their windows); one row for each row of ``docs``.
 
     carry: the text and a struct ``row`` of all other columns follow.
     """
