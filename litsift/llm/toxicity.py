@@ -7,11 +7,13 @@ start and for each transition. It is fitted to labelled tokens: those with a lev
 documents labelled toxic are toxic, all others aren't. Forward-backward passes give each
 token's marginal; the marginals make the document's score (a logistic curve over the
 expected and the surest toxic token), and the words with a marginal of at least 0.5 are its
-offending spans. A chain is a block of CHAIN words, so a text of any length takes memory in
-proportion to a group of blocks, and blocks without a marked word share one answer.
+offending spans. A chain is a block of CHAIN words with up to BESIDE words before and after it, of
+which only the block's own marginals are taken, so a text of any length takes memory in
+proportion to a group of blocks. Chains of one shape without a marked word share one pass.
 
 Learned from a bounded sample: the SAMPLE labelled rows of each class that come first by a
-hash of their id, at most FEATURES features and SEGMENTS chains of them; held-out ids
+hash of their id, at most FEATURES features and SEGMENTS chains of them (drawn apart with
+and without a marked word, and weighted by what they stand for); held-out ids
 (crc32 of the id modulo 5 is 0) are never used. A feature's counts are of distinct texts of
 a class, so copies count once; every feature that passes SIGNIFICANT and ODDS is kept, up to
 FEATURES. Every document's whole text is scored.
@@ -41,6 +43,8 @@ FEATURES = 5000
 #: Chains that the field is fitted to, at most.
 SEGMENTS = 6_000
 CHAIN = 64
+#: Words on either side that a chain's marginals take into account.
+BESIDE = 8
 LEVELS = 12
 #: A feature goes with toxic documents if its log-likelihood ratio is at least so much.
 SIGNIFICANT = 12.0
@@ -85,8 +89,8 @@ class Field:
         out[:, :-1] += self.near[1] * marked[:, 1:]
         return out
 
-    def passes(self, seen: np.ndarray, size: np.ndarray):
-        """(log normaliser, marginals [n, t, state], expected transitions [2, 2]) of chains padded to one length."""
+    def passes(self, seen: np.ndarray, size: np.ndarray, weight: np.ndarray | None = None):
+        """(log normaliser, marginals [n, t, state], expected transitions [2, 2] by the chains' weight) of chains padded to one length."""
         n, t = seen.shape
         e = np.zeros((n, t, 2))
         e[:, :, 1] = self.potentials(seen)
@@ -103,15 +107,16 @@ class Field:
             back[:, i] = np.where(inside[:, i + 1, None], new, 0)
         z = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
         marginal = np.exp(np.minimum(fore + back - z[:, None, None], 0)) * inside[:, :, None]
+        counted = inside[:, 1:] * (1.0 if weight is None else weight[:, None])
         moves = np.zeros((2, 2))
         for a in range(2):
             for b in range(2):
                 p = fore[:, :-1, a] + self.move[a, b] + e[:, 1:, b] + back[:, 1:, b] - z[:, None]
-                moves[a, b] = np.exp(np.minimum(p, 0))[inside[:, 1:]].sum()
+                moves[a, b] = (np.exp(np.minimum(p, 0)) * counted).sum()
         return z, marginal, moves
 
-    def fit(self, seen: np.ndarray, size: np.ndarray, truth: np.ndarray) -> None:
-        """Gradient ascent (Adam) on the mean log-likelihood of the chains, with a small penalty on the weights."""
+    def fit(self, seen: np.ndarray, size: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> None:
+        """Gradient ascent (Adam) on the weighted mean log-likelihood of the chains, with a small penalty on the weights."""
         inside = np.arange(seen.shape[1]) < size[:, None]
         marked = (seen > 0) & inside
         before = np.zeros_like(marked)
@@ -119,43 +124,53 @@ class Field:
         before[:, 1:], after[:, :-1] = marked[:, :-1], marked[:, 1:]
 
         def counts(p1: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
-            p1 = p1 * inside
+            p1 = p1 * inside * weight[:, None]
             return np.concatenate([np.bincount(seen.ravel(), p1.ravel(), LEVELS + 1), [p1[before].sum(), p1[after].sum()], first, moves.ravel()])
 
         pairs = np.zeros((2, 2))
-        np.add.at(pairs, (truth[:, :-1][inside[:, 1:]], truth[:, 1:][inside[:, 1:]]), 1)
-        wanted = counts(truth, np.array([(truth[:, 0] == 0).sum(), (truth[:, 0] == 1).sum()]), pairs)
+        np.add.at(pairs, (truth[:, :-1][inside[:, 1:]], truth[:, 1:][inside[:, 1:]]), np.broadcast_to(weight[:, None], inside[:, 1:].shape)[inside[:, 1:]])
+        wanted = counts(truth, np.bincount(truth[:, 0], weight, 2), pairs)
         w = np.zeros(len(wanted))
         m, v = np.zeros(len(w)), np.zeros(len(w))
         for step in range(1, STEPS + 1):
             self.emit, self.near = w[:LEVELS + 1], w[LEVELS + 1:LEVELS + 3]
             self.start, self.move = w[LEVELS + 3:LEVELS + 5], w[LEVELS + 5:].reshape(2, 2)
-            _, marginal, moves = self.passes(seen, size)
-            g = (wanted - counts(marginal[:, :, 1], marginal[:, 0].sum(0), moves)) / len(seen) - 1e-4 * w
+            _, marginal, moves = self.passes(seen, size, weight)
+            g = (wanted - counts(marginal[:, :, 1], weight @ marginal[:, 0], moves)) / weight.sum() - 1e-4 * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w + 0.5 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
         self.emit, self.near = w[:LEVELS + 1], w[LEVELS + 1:LEVELS + 3]
         self.start, self.move = w[LEVELS + 3:LEVELS + 5], w[LEVELS + 5:].reshape(2, 2)
 
     def marginals(self, seen: list[np.ndarray]) -> list[np.ndarray]:
-        """For each text the marginals of its marked chains: rows (first word, ...) are left out where nothing is marked."""
-        blocks, owner, first = [], [], []
+        """For each text the marginal of every word."""
+        blocks, takers, plain = [], [], {}  # takers: for each block where its marginals go, as (text, first word, words before, words)
         for i, s in enumerate(seen):
-            for a in (np.unique(np.flatnonzero(s) // CHAIN) * CHAIN).tolist():
-                blocks.append(s[a:a + CHAIN])
-                owner.append(i)
-                first.append(a)
+            for a in range(0, len(s), CHAIN):
+                before, own = min(a, BESIDE), min(CHAIN, len(s) - a)
+                block = s[a - before:a + own + BESIDE]
+                taker = (i, a, before, own)
+                if block.any():
+                    blocks.append(block)
+                    takers.append([taker])
+                    continue
+                shape = (before, own, len(block))
+                if shape not in plain:
+                    plain[shape] = len(blocks)
+                    blocks.append(block)
+                    takers.append([])
+                takers[plain[shape]].append(taker)
         out = [np.zeros(len(s)) for s in seen]
         for at in range(0, len(blocks), 2048):
             part = blocks[at:at + 2048]
             size = np.array([len(b) for b in part])
-            padded = np.zeros((len(part), CHAIN), np.uint8)
+            padded = np.zeros((len(part), CHAIN + 2 * BESIDE), np.uint8)
             for j, b in enumerate(part):
                 padded[j, :len(b)] = b
             p = self.passes(padded, size)[1][:, :, 1]
-            for j, b in enumerate(part):
-                k = at + j
-                out[owner[k]][first[k]:first[k] + len(b)] = p[j, :len(b)]
+            for j in range(len(part)):
+                for i, a, before, own in takers[at + j]:
+                    out[i][a:a + own] = p[j, before:before + own]
         return out
 
     @staticmethod
@@ -228,18 +243,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
             out = []
             for k, y, text in zip(*(_column(batch, c).to_pylist() for c in ("doc_id", "toxic", "text"))):
                 s = field.observed(text)
-                out += [(k, a, y, s[a:a + CHAIN].tobytes()) for a in range(0, len(s), CHAIN)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["doc_id", "at", "toxic", "seen"])
-
-    rows = (map_arrow(sample, chains, "doc_id long, at long, toxic int, seen binary")
-            .orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "seen").limit(SEGMENTS).collect())
+                out += [(k, a, y, bool(s[a:a + CHAIN].any()), s[a:a + CHAIN].tobytes()) for a in range(0, len(s), CHAIN)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["doc_id", "at", "toxic", "marked", "seen"])
+
+    cut = written(map_arrow(sample, chains, "doc_id long, at long, toxic int, marked boolean, seen binary"), "chains")
+    strata = {r.marked: r.n for r in cut.groupBy("marked").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {m: min(n, max(SEGMENTS // 2, SEGMENTS - strata.get(not m, 0))) for m, n in strata.items()}
+    rows = [r for m, n in share.items() for r in
+            cut.where(F.col("marked") == m).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "seen").limit(n).collect()]
+    weight = np.array([strata[r.marked] / share[r.marked] for r in rows])
     seen = np.zeros((len(rows), CHAIN), np.uint8)
     length = np.array([len(r.seen) for r in rows])
     for i, r in enumerate(rows):
         seen[i, :length[i]] = np.frombuffer(bytes(r.seen), np.uint8)
     truth = (seen > 0).astype(int) * np.array([r.toxic for r in rows])[:, None]
-    field.fit(seen, length, truth)
+    field.fit(seen, length, truth, weight)
     field.memo = None
 
     def aggregates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

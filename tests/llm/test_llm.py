@@ -387,6 +387,17 @@ def test_toxicity(spark, none):
     assert toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).agg(F.max("score")).first()[0] == 0
 
 
+def test_marginals_of_a_long_text_are_near_those_of_one_chain():
+    field = toxicity.Field({})
+    field.emit, field.near = np.r_[-1.5, np.linspace(0, 3, toxicity.LEVELS)], np.array([0.7, 0.4])
+    field.move = np.array([[0.5, 0.0], [0.0, 0.5]])
+    for marks in ([63], [64, 200], [], [1, 127, 128]):
+        seen = np.zeros(230, np.uint8)
+        seen[marks] = 5
+        whole = field.passes(seen[None], np.array([230]))[1][0, :, 1]
+        assert np.abs(field.marginals([seen])[0] - whole).max() < 1e-3
+
+
 def test_toxicity_keeps_words_that_stand_beside_others(spark):
     rng = np.random.default_rng(9)
     plain = lambda: list(rng.choice(["sun", "rain", "wind", "snow", "tree", "road"], 30))
