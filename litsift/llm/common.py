@@ -190,3 +190,23 @@ def numbered(df: DataFrame, key: str, name: str, out: str, make: Callable | None
     offsets = sizes.select(key, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (rows.join(offsets, [key, "_task"])
             .withColumn(out, F.col("_offset") + F.col("_at")).drop("_task", "_at", "_offset"))
+
+
+def ordered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds ``pos``, the row's place in its group (from 0, without gaps) by ``order``, nulls
+    first, and ``size``, the number of rows of the group (a null-free column).
+
+    Rows are dealt out by ranges of (group, order), sorted and written with their place in
+    their task; rows that are equal in all of these are told apart by where they were read,
+    so that no run of them is too long for a task. The sizes per task and group (one row for
+    each) then give the offsets.
+    """
+    keys = [group, *order, "_tie"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = written(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_task", F.shiftright("_at", 33))
+    sizes = rows.groupBy(group, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    own = Window.partitionBy(group)
+    before = own.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(group, "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+                          F.sum("_n").over(own).alias("size"))
+    return rows.join(shifts, [group, "_task"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")

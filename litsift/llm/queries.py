@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsift.llm import bpe, exact_dedup, langid, packing, rlz, shard, simhash, topk, toxicity, urls
+from litsift.llm import bpe, exact_dedup, langid, merkle, packing, rlz, shard, simhash, topk, toxicity, urls
 from litsift.llm.common import held_out, table
 
 SPACE_SQL = r"'[\x20\x09-\x0D]+'"
@@ -67,6 +67,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +117,40 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, CAST(count(*) OV
        row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256 FROM t
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE
+c AS (SELECT doc_id, source, lang, n_chars, text,
+             list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                 lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) AS state
+      FROM documents),
+f AS (SELECT doc_id, lang, n_chars, doc_id IS NOT NULL AND xor(state, 4294967295::BIGINT) % 7 = 0 AS hit,
+             coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+             coalesce(strlen(text) || ':' || text, '-') AS tail FROM c),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+             CASE WHEN hit AND n_chars IS NOT NULL THEN sha256(head || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS shown FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (SELECT lang, 0 AS level, CAST(pos AS BIGINT) AS pos, leaf AS h, CAST(n AS BIGINT) AS n FROM o
+      UNION ALL
+      SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, CAST(pos AS BIGINT) AS pos, h, CAST(n AS BIGINT) AS n FROM s
+      UNION ALL
+      SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, pos // 2, n),
+p AS (SELECT row_number() OVER () AS id, doc_id, lang, 0 AS level, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS n, leaf, coalesce(shown, leaf) AS node, '' AS proof FROM o
+      UNION ALL
+      SELECT p.id, p.doc_id, p.lang, p.level + 1, p.pos // 2, (p.n + 1) // 2, p.leaf,
+             sha256(CASE WHEN p.pos % 2 = 0 THEN p.node || coalesce(t.h, '') ELSE t.h || p.node END), p.proof || coalesce(t.h, '')
+      FROM p LEFT JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND t.level = p.level AND t.pos = xor(p.pos, 1) WHERE p.n > 1),
+q AS (SELECT p.id, p.doc_id, p.leaf, s.h AS subroot, 0 AS level, CAST(s.pos AS BIGINT) AS pos, CAST(s.n AS BIGINT) AS n, p.node, p.proof
+      FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1
+      UNION ALL
+      SELECT q.id, q.doc_id, q.leaf, q.subroot, q.level + 1, q.pos // 2, (q.n + 1) // 2,
+             sha256(CASE WHEN q.pos % 2 = 0 THEN q.node || coalesce(u.h, '') ELSE u.h || q.node END), q.proof || coalesce(u.h, '')
+      FROM q LEFT JOIN u ON u.level = q.level AND u.pos = xor(q.pos, 1) WHERE q.n > 1)
+SELECT q.doc_id, q.leaf, q.subroot, u.h AS root, sha256(q.proof) AS proof_sha256, q.node AS folded_root, q.node = u.h AS verified
+FROM q JOIN u ON u.n = 1 WHERE q.n = 1
+"""
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
@@ -124,5 +162,6 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_packing": (op10_packing, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
     "pipeline": (pipeline, None),
 }
