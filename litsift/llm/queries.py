@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsift.llm import bpe, exact_dedup, langid, merkle, packing, rlz, shard, simhash, topk, toxicity, urls
+from litsift.llm import bpe, exact_dedup, langid, merkle, packing, rlz, shard, simhash, topk, toxicity, trie, urls
 from litsift.llm.common import held_out, table
 
 SPACE_SQL = r"'[\x20\x09-\x0D]+'"
@@ -71,6 +71,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -151,6 +155,31 @@ SELECT q.doc_id, q.leaf, q.subroot, u.h AS root, sha256(q.proof) AS proof_sha256
 FROM q JOIN u ON u.n = 1 WHERE q.n = 1
 """
 
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS i
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+g AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS turns,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                 lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)),
+                 4294967295::BIGINT) % 6 AS h
+      FROM t GROUP BY conv_id),
+r AS (SELECT g.conv_id, list_concat(coalesce(list_slice(b.turns, 1, g.h), []), list_slice(g.turns, g.h + 1, len(g.turns))) AS s
+      FROM g LEFT JOIN g b ON b.conv_id = g.conv_id - g.conv_id % 100),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM r),
+v AS (SELECT depth, list_slice(s, 1, depth) AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(length(s[depth].text)) AS n,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends_sha256
+      FROM p GROUP BY depth, list_slice(s, 1, depth)),
+k AS (SELECT p.depth, p.prefix, count(*) AS n_children FROM v JOIN v p ON v.depth = p.depth + 1 AND list_slice(v.prefix, 1, p.depth) = p.prefix GROUP BY p.depth, p.prefix),
+w AS (SELECT v.depth, v.prefix, coalesce((v.n_convs - 1) * v.n, 0) AS own, k.depth IS NULL AS leaf FROM v LEFT JOIN k ON k.depth = v.depth AND k.prefix = v.prefix),
+a AS (SELECT depth, list_slice(prefix, 1, depth) AS prefix, sum(own) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves
+      FROM (SELECT prefix, own, leaf, unnest(range(0, len(prefix) + 1)) AS depth FROM w) GROUP BY depth, list_slice(prefix, 1, depth))
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n_children, 0) AS n_children, a.n_leaves,
+       CAST(a.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN a ON a.depth = v.depth AND a.prefix = v.prefix
+LEFT JOIN k ON k.depth = v.depth AND k.prefix = v.prefix
+LEFT JOIN v u ON u.depth = v.depth - 1 AND u.prefix = list_slice(v.prefix, 1, v.depth - 1)
+"""
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
@@ -163,5 +192,6 @@ QUERIES = {
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_packing": (op10_packing, None),
     "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
     "pipeline": (pipeline, None),
 }
