@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsift.llm import bpe, exact_dedup, langid, merkle, packing, rlz, shard, simhash, topk, toxicity, trie, urls
+from litsift.llm import bpe, exact_dedup, langid, merkle, packing, pii, rlz, shard, simhash, topk, toxicity, trie, urls
 from litsift.llm.common import held_out, table
 
 SPACE_SQL = r"'[\x20\x09-\x0D]+'"
@@ -71,6 +71,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -192,6 +196,7 @@ QUERIES = {
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_packing": (op10_packing, None),
     "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
+    "op12_pii": (op12_pii, None),
     "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
     "pipeline": (pipeline, None),
 }
