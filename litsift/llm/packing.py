@@ -18,6 +18,10 @@ ids are packed like any others. Other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -33,8 +37,10 @@ CAPACITY = 4096
 END = 2
 #: Marks that end a word, none of them part of a special token.
 PUNCTUATION = ".,!?;:"
-#: Letters before this one are each one composed character, in lower case too.
-SIMPLE = "\u0250"
+#: Up to this character, letters are composed and stay so in lower case, but for the dotted capital I.
+LAST = 0x17F
+#: Texts that no normalisation changes but for lower case: such letters, ASCII signs and blanks.
+PLAIN = re.compile("[ \n\t!-~\xa1-\xac\xae-\u012f\u0131-\u017f]*")
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, size int"
 OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -58,9 +64,12 @@ def cut(tokens: int, sizes: list[int]) -> list[int]:
 class Tokens:
     """Token ids of a text as little-endian unsigned 32-bit integers.
 
-    The vocabulary is of a kind that splits at all white space and drops it, splits letters
-    from punctuation and ignores case. So words are encoded one by one and remembered: without
-    the punctuation that ends them, and words of Latin letters in lower case.
+    The vocabulary's file says how a text is split into pieces before its merges: letters,
+    single digits and runs of other signs, in lower case. A text of PLAIN characters alone is
+    split here by that pattern, its pieces are merged by the vocabulary's model and
+    remembered. The words of any other text go to the library as they are; marks that end
+    a word are only cut off where the library itself has shown, for the character before
+    them, that it splits there too.
     """
 
     def __init__(self, path: str):
@@ -68,26 +77,51 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            self.pieces = _pieces(json.load(f))
         # Byte-level vocabularies write bytes that aren't printable as letters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.memo = Memo(self._word)
+        self.merged = Memo(self._merge)
+        self.words = Memo(self._word)
+        self.closes = Memo(self._closes)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def _closes(self, char: str) -> bool:
+        """Whether a mark after the character is split off it: not if the character comes
+        apart and its last part is a mark itself."""
+        return all(self._library(char + mark) == self._library(char) + self._library(mark) for mark in PUNCTUATION)
 
     def _word(self, word: str) -> bytes:
         core = word.rstrip(PUNCTUATION)
-        if core and core != word and core[-1].isalnum():  # else the mark belongs to a run of marks
-            return self.memo[core] + self.memo[word[len(core):]]
-        low = "".join(map(str.lower, word))
-        if low != word and word.isalpha() and low.isalpha() and max(low) < SIMPLE:
-            return self.memo[low]
-        if low == word and word.isalpha() and max(word) < SIMPLE:  # letters alone: the model's one piece, its bytes written as letters
-            found = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
-        else:
-            found = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        return np.array(found, "<u4").tobytes()
+        if core and core != word and core[-1].isalnum() and self.closes[core[-1]]:
+            return self.words[core] + self.words[word[len(core):]]
+        return self._library(word) if word else b""
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+        if self.pieces is not None and PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.merged.__getitem__, self.pieces(text.lower())))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+
+
+def _pieces(vocabulary: dict):
+    """The vocabulary's split of a lower-case text of PLAIN characters; None if it prepares texts in other ways."""
+    first = vocabulary["pre_tokenizer"]["pretokenizers"][0] if (vocabulary.get("pre_tokenizer") or {}).get("type") == "Sequence" else {}
+    steps = [(x["type"], x.get("pattern", {}).get("Regex")) for x in (vocabulary.get("normalizer") or {}).get("normalizers", [])]
+    if (steps != [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)] or first.get("type") != "Split" or not first["invert"]
+            or any(not x["content"].startswith("<|") for x in vocabulary["added_tokens"])):
+        return None
+    kinds = {k: "".join(re.escape(c) for c in map(chr, range(LAST + 1)) if unicodedata.category(c)[0] == k) for k in "LN"}
+    pattern = first["pattern"]["Regex"]
+    for kind, chars in kinds.items():
+        pattern = pattern.replace(f"[\\p{{{kind}}}]", f"[{chars}]").replace(f"\\p{{{kind}}}", chars)
+    return re.compile(pattern).findall
 
 
 def _cutter(path: str, capacity: int, end: int):
