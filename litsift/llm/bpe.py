@@ -6,8 +6,9 @@ token that starts at a place. From the left, the longest token is taken that is
 the token before it; where no token fits, the last one is given up for the next shorter one,
 and the place is marked as dead. Two tokens are compatible if merging their joined bytes
 gives just these two; this is remembered for each pair. A sequence whose neighbours are all
-compatible is the one that the merges produce, and each place is left for dead only once, so
-the work is linear in the piece's length.
+compatible is the one that the merges produce, and each place is left for dead only once. A
+search sees no more of a piece than the longest token has bytes, so the work is linear in
+the piece's length.
 
 Defined results: a null text is empty (no ids). Texts of any length are encoded whole. Other
 columns are not read.
@@ -17,8 +18,9 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
+import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,9 @@ from pyspark.sql import functions as F
 
 from litsift.llm.common import MEMO_ENTRIES, Memo, groups, lists, map_arrow, once
 
-#: A run of ASCII white space and what follows up to the next one: pieces never cross from one to the next ...
-_UNIT = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-#: ... unless the text has other white space or separators; such a text is matched as a whole.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-PUNCTUATION = ".,!?;:"
+#: Characters up to this one are split by a pattern with their letters and digits written out; texts with others by the pattern as given.
+LAST = 0x24F
+PLAIN = re.compile("[\t-\r -~\xa1-\u024f]*")
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -59,9 +58,11 @@ class BPE:
         for i, t in enumerate(tokens):
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.longest = max(self.size)
+        self.plain = _written_out(pattern)
         self.shorter = Memo(self._shorter)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.memo = Memo(self._unit)
+        self.memo = Memo(self._packed)
 
     def merge(self, data: bytes) -> list[int]:
         """The merges themselves, for a few bytes: the lowest-ranked neighbours first."""
@@ -95,7 +96,11 @@ class BPE:
         if whole is not None:
             return [whole]
         text, n = data.decode("latin-1"), len(data)
-        size, shorter, fits, search = self.size, self.shorter, self.fits, self.automaton.iter_long
+        size, shorter, fits, reach = self.size, self.shorter, self.fits, self.longest
+        if n <= reach:
+            search = self.automaton.iter_long
+        else:  # a search costs time in proportion to the string that it is given
+            search = lambda text, at: self.automaton.iter_long(text[at:at + reach])
         dead = bytearray(n + 1)
         taken: list[int] = []
         # Each byte is a token, so a longest one starts at every place.
@@ -124,16 +129,29 @@ class BPE:
                 token = shorter[token]
         return taken
 
-    def _unit(self, text: str) -> tuple[int, ...]:
-        core = text.rstrip(PUNCTUATION)
-        if core and core != text and core[-1].isalnum():  # a piece ends between a letter or digit and such a mark
-            return self.memo[core] + self.memo[text[len(core):]]
-        return tuple(chain.from_iterable(self.piece(m.encode()) for m in self.pattern.findall(text)))
+    def _packed(self, piece: str) -> bytes:
+        found = self.piece(piece.encode())
+        return struct.pack(f"<{len(found)}i", *found)
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        pieces = self.plain(text) if self.plain and PLAIN.fullmatch(text) else self.pattern.findall(text)
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:
-        if _OTHER_SPACE.search(text):
-            return list(chain.from_iterable(self.piece(m.encode()) for m in self.pattern.findall(text)))
-        return list(chain.from_iterable(map(self.memo.__getitem__, _UNIT.findall(text))))
+        return np.frombuffer(self.packed(text), "<i4").tolist()
+
+
+def _written_out(pattern: str):
+    """Finds all pieces of a text of PLAIN characters, faster than by properties; None if the
+    pattern knows other ones than letters and digits."""
+    kinds = {k: "".join(re.escape(c) for c in map(chr, range(LAST + 1)) if unicodedata.category(c)[0] == k) for k in "LN"}
+    inside = lambda part: re.sub(r"\\p\{([LN])\}", lambda m: kinds[m[1]], part)
+    pattern = re.sub(r"\[[^\]]*\]|\\p\{[LN]\}", lambda m: inside(m[0]) if m[0][0] == "[" else f"[{inside(m[0])}]", pattern)
+    try:
+        return re.compile(pattern).findall
+    except re.error:
+        return None
 
 
 def _column(batch: pa.RecordBatch, name: str):
@@ -144,27 +162,33 @@ def _encoder(path: str, pattern: str) -> BPE:
     return BPE(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids: the token ids of every row of ``docs(doc_id, text)``."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids: the token ids of every row of ``docs(doc_id, text)``; with ``decoded``
+    also the bytes that these ids stand for, in the same pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(_encoder, path, pattern)
         for batch in groups(batches):
-            found = [np.array(bpe.encode(t or ""), np.int32) for t in _column(batch, "text").to_pylist()]
-            ids = lists(np.concatenate(found), np.array([len(x) for x in found]), pa.int32())
-            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), ids], names=["doc_id", "ids"])
+            found = [bpe.packed(t or "") for t in _column(batch, "text").to_pylist()]
+            ids = lists(np.frombuffer(b"".join(found), "<i4"), np.array([len(x) // 4 for x in found]), pa.int32())
+            columns = [_column(batch, "doc_id"), ids, *([_decoded(ids, bpe.tokens)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][:len(columns)])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
+                     "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>")
+def _decoded(ids: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    flat, at = ids.values.to_pylist(), ids.offsets.to_pylist()
+    return pa.array([b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(at, at[1:])], pa.binary())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` (binary) to ``encoded(doc_id, ids)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(read_ranks(path), object)
+        tokens = once(read_ranks, path)
         for batch in batches:
             ids = _column(batch, "ids")
-            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
-            out = [b"".join(tokens[flat[a:b]]) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), ids, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), ids, _decoded(ids, tokens)], names=["doc_id", "ids", "decoded"])
 
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded binary")
 

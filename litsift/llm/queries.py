@@ -55,8 +55,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = _tokenizer("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
