@@ -1,27 +1,31 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Shards hang in racks and racks in regions; a node's weight is the sum of its shards'. A row
-descends the tree: among a node's children it draws -ln(u) / weight for each, u being a hash
-of the child's name and the row's key, and takes the least draw. Shares are then in
-proportion to the weights, and a changed weight moves rows only between that child and its
-siblings.
+Shards hang in racks and racks in regions, in the order of their numbers. Each shard draws
+-ln(u) / weight for a row, u being a hash of the shard's number and the row's key. A rack's
+draw is the least of its shards', a region's the least of its racks': so a node's draw has
+the sum of the weights below it as its rate. A row descends to the region, the rack and the
+shard of the least draw, and shares are in proportion to the weights at every level.
 
-A shard added later enters as an addition on the way from the root: its one weight draws
-against the whole of the old tree (the old tree's draw is the least of its regions'). A row
-that the addition wins goes to the new shard; every other descends the old tree as before.
-So one more shard takes rows only into itself, whatever rack it stands in.
+A changed weight changes the draws on the way to its shard alone. Rows move only between
+that shard and others: into it if its weight grew, out of it if it fell. The tree of n shards
+is part of that of n + 1 shards, so one more shard takes rows only into itself, whatever
+rack it stands in. A row costs one draw for each shard.
 
 Law ``key``: the key and the shard count decide. Defined results: rows with a null key all
-draw alike and share a shard; a null text counts no bytes; repeated rows go to one shard and
-get slots of their own. Other columns are not read.
+draw alike and share a shard; a null text counts no bytes; a shard of weight 0 gets no rows;
+repeated rows go to one shard and get slots of their own. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shards of a rack and racks of a region when a tree is laid out.
+from litsift.llm.common import written
+
+#: Shards of a rack and racks of a region.
 RACK, REGION = 4, 2
 #: Rows of a bucket in which slots are counted, about.
 BUCKET = 200_000
@@ -35,43 +39,35 @@ def layout(shards: int) -> list[list[list[int]]]:
     return [racks[a:a + REGION] for a in range(0, len(racks), REGION)]
 
 
-def _draw(name: Column, weight: Column, key: Column) -> Column:
-    unit = (F.shiftrightunsigned(F.xxhash64(name, key), 11).cast("double") + F.lit(0.5)) * F.lit(2.0 ** -53)
-    return -F.log(unit) / weight
-
-
-def _least(level: str, parent: Column | None, weights: Column, key: Column) -> Column:
-    """struct(draw, child): the least draw among the children whose ``weights`` are given."""
-    base = F.lit(level) if parent is None else F.concat_ws("/", F.lit(level), parent)
-    draws = F.transform(weights, lambda w, i: F.struct(_draw(F.concat_ws("/", base, i.cast("string")), w, key).alias("draw"), i.alias("child")))
-    return F.array_min(draws)
+def _draw(shard: int, weight: float, key: Column) -> Column:
+    """struct(draw, shard) of a shard."""
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(f"shard/{shard}"), key), 11).cast("double") + F.lit(0.5)) * F.lit(2.0 ** -53)
+    return F.struct((-F.log(unit) / F.lit(float(weight))).alias("draw"), F.lit(shard).alias("shard"))
 
 
-def _weights(counts: list) -> Column:
-    return F.array(*[F.lit(float(c)) if not isinstance(c, list) else _weights(c) for c in counts])
+def _descent(node: list | int, weights: Sequence[float], key: Column) -> Column | None:
+    """struct(draw, shard) of the least draw below a node; None if nothing there has a weight."""
+    if isinstance(node, int):
+        return _draw(node, weights[node], key) if weights[node] > 0 else None
+    below = [x for x in (_descent(child, weights, key) for child in node) if x is not None]
+    return F.array_min(F.array(*below)) if below else None
 
 
-def assign(rows: DataFrame, key: str, tree: list[list[list[int]]], added: int = 0) -> DataFrame:
-    """Adds ``shard`` and, where shards are ``added``, ``grown_shard``: the shard when they have joined the tree."""
-    k = F.col(key)
-    size = lambda x: sum(map(size, x)) if isinstance(x, list) else 1
-    regions = _weights([size(r) for r in tree])
-    racks = _weights([[size(k) for k in r] for r in tree])
-    leaves = _weights([[[1] * len(k) for k in r] for r in tree])
-    first = F.array(*[F.array(*[F.lit(k[0]) for k in r]) for r in tree])
-    pick = lambda arr, i: F.get(arr, i)
-    out = rows.withColumn("_region", _least("region", None, regions, k))
-    region = F.col("_region.child")
-    out = out.withColumn("_rack", _least("rack", region, pick(racks, region), k)["child"])
-    rack = F.col("_rack")
-    out = out.withColumn("_leaf", _least("shard", F.concat_ws("/", region, rack), pick(pick(leaves, region), rack), k)["child"])
-    out = out.withColumn("shard", pick(pick(first, region), rack) + F.col("_leaf"))
-    n = sum(size(r) for r in tree)
+def assign(rows: DataFrame, key: str, tree: list[list[list[int]]], added: int = 0, weights: Sequence[float] | None = None) -> DataFrame:
+    """Adds ``shard``, ``rack`` and ``region`` and, where shards are ``added``, ``grown_shard``:
+    the shard when these have joined the tree. ``weights``: of all shards, by number (1 each)."""
+    places = {shard: (r, sum(map(len, tree[:r])) + k) for r, racks in enumerate(tree) for k, rack in enumerate(racks) for shard in rack}
+    n = len(places)
+    weights = [1.0] * (n + added) if weights is None else weights
+    if len(weights) != n + added or min(weights) < 0 or not sum(weights[:n]):
+        raise ValueError("one weight for each shard, not negative and not all 0")
+    found = _descent(tree, weights, F.col(key))
+    place = lambda i: F.get(F.array(*[F.lit(places[x][i]) for x in range(n)]), F.col("shard"))
+    out = rows.withColumn("shard", found["shard"]).withColumn("region", place(0)).withColumn("rack", place(1))
     if added:
-        new = _least("added", None, _weights([1] * added), k)
-        out = out.withColumn("_new", new).withColumn(
-            "grown_shard", F.when(F.col("_new.draw") < F.col("_region.draw"), F.col("_new.child") + n).otherwise(F.col("shard")))
-    return out.drop("_region", "_rack", "_leaf", "_new")
+        new = _descent(list(range(n, n + added)), weights, F.col(key))
+        out = out.withColumn("grown_shard", F.col("shard") if new is None else F.least(found, new)["shard"])
+    return out
 
 
 def _slots(rows: DataFrame, times: str) -> DataFrame:
@@ -88,11 +84,13 @@ def _slots(rows: DataFrame, times: str) -> DataFrame:
     return placed.withColumn("slot", F.explode(F.sequence(start, start + F.col(times) - 1))).drop("_bucket", "_at", "_offset", times)
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, added: int = 1) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row for each row of ``docs``."""
+def shard_documents(docs: DataFrame, shards: int = 24, added: int = 1, weights: Sequence[float] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, region, rack: one row for each row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = (docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-            .groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("times")))
-    placed = _slots(assign(rows, "doc_id", layout(shards), added), "times")
+    rows = docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = assign(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("times")), "doc_id", layout(shards), added, weights)
+    if not added:
+        rows = rows.withColumn("grown_shard", F.lit(None))
+    placed = _slots(written(rows, "shards"), "times")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
-                         F.col("grown_shard").cast("int").alias("grown_shard"))
+                         F.col("grown_shard").cast("int").alias("grown_shard"), F.col("region").cast("int").alias("region"), F.col("rack").cast("int").alias("rack"))
