@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(True))
 
 
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables that ``written`` makes inside are removed at the end: what is to stay must have been stored by then."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for name in _PASSING.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the cluster's shared folder, read back: its rows are
     fixed from here on, whatever executor is lost later."""
     path = scratch_path(df.sparkSession, name)
+    if _PASSING:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -192,14 +192,16 @@ def links(members: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id: one row for each row of ``prints(doc_id, fp)``, which is read more than once."""
+    """doc_id, fp, component_id, part: one row for each row of ``prints(doc_id, fp)``, which is
+    read more than once. ``part`` is the component's smallest fingerprint: an id with several
+    texts may be the smallest of several components, a part is one component's alone."""
     prints = prints.select("doc_id", "fp")
     members = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "members")
     parts = components(links(members.select("fp"), radius))
     part = members.join(parts, members.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     smallest = part.groupBy("part").agg(F.min("least").alias("component_id"))
-    labels = written(part.join(smallest, "part").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = written(part.join(smallest, "part").select("fp", "component_id", "part"), "labels")
+    return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "part")
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
