@@ -15,13 +15,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litsift.llm import exact_dedup, langid, packing, rlz, simhash
-from litsift.llm.common import carried, held_out, restored, table, written
+from litsift.llm.common import carried, held_out, passing, restored, table, written
+from litsift.session import scratch_path
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language stay; those rejected (``und``: null, or without a letter) go."""
+#: Languages that stay (None: all learned ones), and the score that a document needs in its language.
+#: A text in another script scores 0; the least score of the 51,282 documents of check_s is 0.40.
+LANGUAGES: tuple[str, ...] | None = None
+LEAST_SCORE = 0.1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = LANGUAGES, least: float = LEAST_SCORE) -> DataFrame:
+    """Documents that language ID puts into one of the ``languages`` with the score ``least`` stay.
+    Those it rejects go: ``und`` (null, or without a letter), other languages, like no learned one."""
     predict = langid.predictor(spark, langid.learn(docs.where(~held_out())))
-    return docs.where(predict("text")["lang_pred"] != langid.UNKNOWN)
+    name = "_found" + "_" * max(map(len, docs.columns))  # no column of documents has this name
+    lang, score = F.col(f"{name}.lang_pred"), F.col(f"{name}.score")
+    stays = (lang != langid.UNKNOWN) & (score >= least)
+    if languages is not None:
+        stays &= lang.isin(*languages)
+    return docs.withColumn(name, predict("text")).where(stays).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +45,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: that with the smallest id (all without an id, if none has one)."""
+    """One document of each SimHash component stays: that with the smallest id, and of its texts
+    the one with the smallest fingerprint (all without an id, if none has one)."""
     rows = written(simhash.fingerprints(docs, carry=True), "prints").withColumnRenamed("fp", "mark")
     found = simhash.grouped(rows.select("doc_id", F.col("mark").alias("fp")))
-    named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fp").alias("mark"))
+    named = (found.where("doc_id = component_id").groupBy("part").agg(F.min(F.struct("doc_id", F.col("fp").alias("mark"))).alias("first"))
+             .select("first.doc_id", "first.mark"))
     nameless = found.where("doc_id is null and component_id is null").select("doc_id", F.col("fp").alias("mark")).distinct()
     kept = named.unionByName(nameless)
     return restored(_one_each(rows, kept), docs)
@@ -71,7 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return written(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}")
+    """The packed pieces. Only they stay in the shared folder; what the stages wrote on the way is removed."""
+    docs, result = table(spark, sf_dir, "documents"), scratch_path(spark, "packed")
+    with passing(spark):
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        STAGES[-1][1](spark, docs, sf_dir).write.parquet(result)
+    return spark.read.parquet(result)
