@@ -28,10 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.llm.common import MEMO_ENTRIES, Memo, groups, lists, map_arrow, once
+from litsift.llm.common import Memo, groups, lists, map_arrow, once
 
 #: Characters up to this one are split by a pattern with their letters and digits written out; texts with others by the pattern as given.
 LAST = 0x24F
+#: Pieces, and pairs of tokens, in each of the two generations of a worker's memos.
+PIECES, PAIRS = 250_000, 500_000
+#: More than any token's rank.
+PAIR = 1 << 20
 PLAIN = re.compile("[\t-\r -~\xa1-\u024f]*")
 
 
@@ -61,8 +65,9 @@ class BPE:
         self.longest = max(self.size)
         self.plain = _written_out(pattern)
         self.shorter = Memo(self._shorter)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.memo = Memo(self._packed)
+        #: left * PAIR + right -> whether the two may be neighbours.
+        self.fits = Memo(self._compatible, PAIRS)
+        self.memo = Memo(self._packed, PIECES)
 
     def merge(self, data: bytes) -> list[int]:
         """The merges themselves, for a few bytes: the lowest-ranked neighbours first."""
@@ -81,14 +86,9 @@ class BPE:
         data = self.tokens[token]
         return next((self.rank[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.rank), None)
 
-    def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            known = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-            if len(self.fits) >= MEMO_ENTRIES:
-                self.fits.clear()
-            self.fits[left, right] = known
-        return known
+    def _compatible(self, pair: int) -> bool:
+        left, right = divmod(pair, PAIR)
+        return self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
 
     def piece(self, data: bytes) -> list[int]:
         """The ids of one piece."""
@@ -101,19 +101,23 @@ class BPE:
             search = self.automaton.iter_long
         else:  # a search costs time in proportion to the string that it is given
             search = lambda text, at: self.automaton.iter_long(text[at:at + reach])
-        dead = bytearray(n + 1)
-        taken: list[int] = []
-        # Each byte is a token, so a longest one starts at every place.
-        at, token, last = 0, next(search(text, 0))[1], None
+        # The longest tokens one after the other, as far as each fits the one before it. Each
+        # byte is a token, so they leave no gap.
+        taken, at, last = [], 0, None
+        for _, token in self.automaton.iter_long(text):
+            if last is not None and not fits[last * PAIR + token]:
+                break
+            taken.append(token)
+            at += size[token]
+            last = token
+        if at == n:
+            return taken
+        dead = set()
         while at < n:
             while token is not None:
                 end = at + size[token]
-                if not dead[end]:
-                    fit = True if last is None else fits.get((last, token))
-                    if fit is None:
-                        fit = self.compatible(last, token)
-                    if fit:
-                        break
+                if end not in dead and (last is None or fits[last * PAIR + token]):
+                    break
                 token = shorter[token]
             if token is not None:
                 taken.append(token)
@@ -122,7 +126,7 @@ class BPE:
             else:
                 if not taken:
                     raise ValueError("a byte is missing in the vocabulary")
-                dead[at] = 1
+                dead.add(at)
                 token = taken.pop()
                 at -= size[token]
                 last = taken[-1] if taken else None
@@ -166,29 +170,46 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     """doc_id, ids: the token ids of every row of ``docs(doc_id, text)``; with ``decoded``
     also the bytes that these ids stand for, in the same pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = once(_encoder, path, pattern)
+        bpe, known = once(_encoder, path, pattern), once(_bytes, path) if decoded else None
         for batch in groups(batches):
             found = [bpe.packed(t or "") for t in _column(batch, "text").to_pylist()]
             ids = lists(np.frombuffer(b"".join(found), "<i4"), np.array([len(x) // 4 for x in found]), pa.int32())
-            columns = [_column(batch, "doc_id"), ids, *([_decoded(ids, bpe.tokens)] if decoded else [])]
+            columns = [_column(batch, "doc_id"), ids, *([known.decoded(ids)] if decoded else [])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][:len(columns)])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
                      "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
-def _decoded(ids: pa.ListArray, tokens: list[bytes]) -> pa.Array:
-    flat, at = ids.values.to_pylist(), ids.offsets.to_pylist()
-    return pa.array([b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(at, at[1:])], pa.binary())
+class Bytes:
+    """The bytes of all tokens in one run."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.run = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens])
+        self.start = np.cumsum(self.size) - self.size
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids, gathered for all lists at once."""
+        flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
+        flat, at = flat[at[0]:at[-1]], at - at[0]
+        size = self.size[flat]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.run[np.repeat(self.start[flat] - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[at].astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _bytes(path: str) -> Bytes:
+    return Bytes(read_ranks(path))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` (binary) to ``encoded(doc_id, ids)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = once(read_ranks, path)
+        known = once(_bytes, path)
         for batch in batches:
             ids = _column(batch, "ids")
-            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), ids, _decoded(ids, tokens)], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), ids, known.decoded(ids)], names=["doc_id", "ids", "decoded"])
 
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded binary")
 
