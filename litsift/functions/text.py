@@ -120,25 +120,3 @@ def categories_str(col) -> Column:
 def format_score(col) -> Column:
     """Two decimals (half-even on the binary value), without a thousands separator."""
     return F.replace(F.format_number(_c(col), 2), F.lit(","), F.lit(""))
-
-
-# ---- HTML text -------------------------------------------------------------------------
-# Named entities decoded in element text, "&amp;" last so "&amp;lt;" stays "&lt;".
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-
-
-def strip_tags(col) -> Column:
-    return F.regexp_replace(_c(col), r"<[^>]*>", "")
-
-
-def unescape(col) -> Column:
-    c = _c(col)
-    for k, v in HTML_ENTITIES:
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
-
-
-def element_text(col) -> Column:
-    """Text of an HTML fragment: tags removed, entities decoded, stripped."""
-    return strip(unescape(strip_tags(col)))

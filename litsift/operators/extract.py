@@ -1,8 +1,9 @@
 """Article extraction from digest HTML (G1, G2, P4-P9) and paper cleaning.
 
-Extraction is one ``regexp_extract_all`` + ``posexplode`` per message followed by regex field
-extractors: a narrow, shuffle-free, JVM-only stage. A message with ``n`` articles gives ``n``
-rows; an article without a title still gives a row (its ``title`` is NULL).
+A body is split into tokens and folded into elements (``functions.markup``); every ``<article>``,
+nested ones too, becomes a row with the fields found inside it: narrow, shuffle-free JVM
+expressions. A message with ``n`` articles gives ``n`` rows; an article without a title still
+gives a row (its ``title`` is NULL).
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litsift.functions import mail
-from litsift.functions.text import clean_authors, clean_title, element_text, strip, unescape
+from litsift.functions import mail, markup
+from litsift.functions.text import clean_authors, clean_title, strip
 
 # ---------------------------------------------------------------------------------------
 # Fixed values (must equal the reference's for identical results)
@@ -20,52 +21,42 @@ RELEVANCE_LABEL = "Relevance:"
 VENUE_STYLE = "display:inline;float:right;"
 # ---------------------------------------------------------------------------------------
 
-ARTICLE_RE = r"(?is)<article\b[^>]*>(.*?)</article>"
-# Content BeautifulSoup would not treat as markup: comments, scripts and styles.
-NOT_MARKUP_RE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
-LINK_RE = r"(?is)<a\b[^>]*>(.*?)</a>"
-HREF_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-# A <p> ends at </p> or where the next <p> opens (HTML's implied end tag).
-PARA_RE = r"(?is)<p\b[^>]*>(.*?)(?:</p>|<p\b|$)"
-PARA_OPEN_RE = r"(?is)<p\b[^>]*>"
-SPAN_RE = r"(?is)<span\b[^>]*>([^<]*" + RELEVANCE_LABEL + r"[^<]*)</span>"
-VENUE_RE = (r"""(?is)<div\b[^>]*\bstyle\s*=\s*"[^"]*""" + VENUE_STYLE
-            + r"""[^"]*"[^>]*>(.*?)</div>""")
 INT_RE = r"^[+-]?[0-9]+$"
 
 
-def _heading_re(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"
-
-
-def article_fields(block: Column, heading: str = "h2", title_in_link: bool = True) -> list[Column]:
-    """P4-P8 on one ``<article>`` body: title, authors, relevance, venue, url.
+def article_fields(block: DataFrame, heading: str = "h2", title_in_link: bool = True) -> DataFrame:
+    """``block`` with title, authors, relevance, venue and url instead of ``tokens`` and
+    ``els``, an article's tokens and the elements inside it in their order.
 
     ``heading`` is the title element; with ``title_in_link`` the title is the text of the
     first link inside it (the digest layout), else the heading's own text (plain pages).
     """
-    head = F.regexp_extract(block, _heading_re(heading), 1)
-    has_head = F.regexp_like(block, F.lit(_heading_re(heading)))
-    if title_in_link:
-        has_link = has_head & F.regexp_like(head, F.lit(LINK_RE))
-        title = F.when(has_link, element_text(F.regexp_extract(head, LINK_RE, 1)))
-    else:
-        title = F.when(has_head, element_text(head))
-    url = F.when(has_head & F.regexp_like(head, F.lit(HREF_RE)),
-                 unescape(F.regexp_extract(head, HREF_RE, 1)))
-
-    authors = F.when(F.regexp_like(block, F.lit(PARA_OPEN_RE)),
-                     element_text(F.regexp_extract(block, PARA_RE, 1)))
-
-    span = F.regexp_extract(block, SPAN_RE, 1)
-    rel_txt = strip(F.replace(strip(unescape(span)), F.lit(RELEVANCE_LABEL), F.lit("")))
-    relevance = F.when(
-        F.regexp_like(block, F.lit(SPAN_RE)),
-        F.coalesce(F.when(F.regexp_like(rel_txt, F.lit(INT_RE)), rel_txt.try_cast("int")), F.lit(0)),
-    )
-    venue = F.when(F.regexp_like(block, F.lit(VENUE_RE)), element_text(F.regexp_extract(block, VENUE_RE, 1)))
-    return [title.alias("title"), authors.alias("authors"), relevance.alias("relevance"),
-            venue.alias("venue"), url.alias("url")]
+    keep = [c for c in block.columns if c not in ("tokens", "els")]
+    parsed = F.col("tokens")
+
+    def first(name: str, also=lambda e: F.lit(True)) -> Column:
+        return F.try_element_at(F.filter("els", lambda e: (e["name"] == name) & also(e)), F.lit(1))
+
+    def tag(e: Column) -> Column:
+        return F.get(parsed, e["start"] - 1)["raw"]
+
+    def labelled(e: Column) -> Column:
+        inside = markup.within(parsed, e)
+        return markup.single_string(inside) & F.contains(markup.text_of(inside), F.lit(RELEVANCE_LABEL))
+
+    def text(e: str) -> Column:
+        return F.when(F.col(e).isNotNull(), markup.trim_spaces(markup.text_of(markup.within(parsed, F.col(e)))))
+
+    found = block.select("*", first(heading).alias("h"), first("p").alias("p"), first("span", labelled).alias("label"),
+                         first("div", lambda e: F.contains(markup.attribute(tag(e), "style"), F.lit(VENUE_STYLE))).alias("div"))
+    h = F.col("h")
+    found = found.select("*", first("a", lambda e: (e["start"] > h["start"]) & (e["start"] < h["stop"])).alias("a"))
+    found = found.select(*keep, text("a" if title_in_link else "h").alias("title"), text("p").alias("authors"),
+                         markup.trim_spaces(F.replace(text("label"), F.lit(RELEVANCE_LABEL), F.lit(""))).alias("rel"), text("div").alias("venue"),
+                         F.when(F.col("a").isNotNull(), markup.attribute(tag(F.col("a")), "href")).alias("url"))
+    number = F.when(F.regexp_like("rel", F.lit(INT_RE)), F.col("rel").try_cast("int"))
+    relevance = F.when(F.col("rel").isNotNull(), F.coalesce(number, F.lit(0)))
+    return found.select(*keep, "title", "authors", relevance.alias("relevance"), "venue", "url")
 
 
 def extract_articles(df: DataFrame, html_col: str = "body_html", keep: list[str] | None = None,
@@ -74,11 +65,20 @@ def extract_articles(df: DataFrame, html_col: str = "body_html", keep: list[str]
     in the message) and the columns in ``keep`` (P9: email id, date, subject, sender)."""
     keep = keep if keep is not None else [c for c in ("email_id", "email_date", "email_subject",
                                                        "email_sender", "email_ts") if c in df.columns]
-    markup = F.regexp_replace(F.col(html_col), NOT_MARKUP_RE, "")
-    blocks = F.regexp_extract_all(markup, F.lit(ARTICLE_RE), F.lit(1))
-    exploded = df.select(*keep, F.posexplode(blocks).alias("article_pos", "block"))
-    return exploded.select(*keep, F.col("article_pos").cast("int").alias("article_pos"),
-                           *article_fields(F.col("block"), heading, title_in_link))
+    els = F.col("els")
+
+    def block(a: Column) -> Column:
+        inner = F.filter(els, lambda e: (e["start"] > a["start"]) & (e["start"] < a["stop"]))
+        shift = a["start"] - 1
+        moved = F.transform(inner, lambda e: F.struct((e["start"] - shift).alias("start"), (e["stop"] - shift).alias("stop"), e["name"].alias("name")))
+        return F.struct(F.slice("tokens", a["start"], a["stop"] - a["start"] + 1).alias("tokens"), moved.alias("els"))
+
+    parsed = df.select(*keep, markup.tokens(html_col).alias("tokens"))
+    parsed = parsed.select("*", markup.elements("tokens", ["article", heading, "a", "p", "span", "div"]).alias("els"))
+    blocks = F.transform(F.filter(els, lambda e: e["name"] == "article"), block)
+    rows = parsed.select(*keep, F.posexplode(blocks).alias("article_pos", "block"))
+    rows = rows.select(*keep, F.col("article_pos").cast("int").alias("article_pos"), "block.tokens", "block.els")
+    return article_fields(rows, heading, title_in_link)
 
 
 def clean_papers(raw: DataFrame) -> DataFrame:
@@ -98,148 +98,3 @@ def clean_papers(raw: DataFrame) -> DataFrame:
                mail.parse_rfc2822(F.col("email_date"))).alias("date"),
         mail.arxiv_id_from_url(F.col("url")).alias("arxiv_id"),
     )
-
-
-# ---- opt-in: a real HTML parser per partition -------------------------------------------------
-# The regex path above is the fast default. For messy mail (nested <article>, attributes in
-# odd quoting, numeric entities) this variant parses every body with the standard-library
-# HTML parser inside ``mapInPandas``: Spark still partitions the messages, only the per-body
-# parse runs in Python.
-
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_RAW = {"script", "style"}
-
-
-def _parse_dom(html: str):
-    from html.parser import HTMLParser
-
-    class Node:
-        __slots__ = ("tag", "attrs", "kids", "parent")
-
-        def __init__(self, tag, attrs, parent):
-            self.tag, self.attrs, self.kids, self.parent = tag, dict(attrs), [], parent
-
-    class Builder(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.root = Node("#root", [], None)
-            self.cur = self.root
-
-        def handle_starttag(self, tag, attrs):
-            n = Node(tag, [(k, v or "") for k, v in attrs], self.cur)
-            self.cur.kids.append(n)
-            if tag not in _VOID:
-                self.cur = n
-
-        def handle_startendtag(self, tag, attrs):
-            self.cur.kids.append(Node(tag, [(k, v or "") for k, v in attrs], self.cur))
-
-        def handle_endtag(self, tag):
-            n = self.cur
-            while n is not None and n.tag != tag:
-                n = n.parent
-            if n is not None and n.parent is not None:      # close up to the matching open tag
-                self.cur = n.parent
-
-        def handle_data(self, data):
-            if self.cur.tag not in _RAW:
-                self.cur.kids.append(data)
-
-    b = Builder()
-    b.feed(html)
-    b.close()
-    return b.root
-
-
-def _walk(node):
-    for k in node.kids:
-        if not isinstance(k, str):
-            yield k
-            yield from _walk(k)
-
-
-def _find(node, pred):
-    return next((n for n in _walk(node) if pred(n)), None)
-
-
-def _text(node) -> str:
-    out = []
-
-    def rec(n):
-        for k in n.kids:
-            if isinstance(k, str):
-                out.append(k)
-            else:
-                rec(k)
-    rec(node)
-    return "".join(out)
-
-
-def _single_string(node):
-    """Text of a node made of exactly one string (through single-child wrappers), else None."""
-    while True:
-        if len(node.kids) != 1:
-            return None
-        k = node.kids[0]
-        if isinstance(k, str):
-            return k
-        node = k
-
-
-def _articles(html: str, heading: str, title_in_link: bool):
-    root = _parse_dom(html)
-    for pos, art in enumerate(n for n in _walk(root) if n.tag == "article"):
-        row = {"article_pos": pos, "title": None, "authors": None, "relevance": None, "venue": None, "url": None}
-        h = _find(art, lambda n: n.tag == heading)
-        if h is not None:
-            a = _find(h, lambda n: n.tag == "a")
-            if title_in_link:
-                if a is not None:
-                    row["title"] = _text(a).strip()
-            else:
-                row["title"] = _text(h).strip()
-            if a is not None and "href" in a.attrs:
-                row["url"] = a.attrs["href"]
-        p = _find(art, lambda n: n.tag == "p")
-        if p is not None:
-            row["authors"] = _text(p).strip()
-        span = _find(art, lambda n: n.tag == "span" and RELEVANCE_LABEL in (_single_string(n) or ""))
-        if span is not None:
-            t = _text(span).strip().replace(RELEVANCE_LABEL, "").strip()
-            row["relevance"] = int(t) if t.lstrip("+-").isdigit() and t.isascii() else 0
-        div = _find(art, lambda n: n.tag == "div" and VENUE_STYLE in n.attrs.get("style", ""))
-        if div is not None:
-            row["venue"] = _text(div).strip()
-        yield row
-
-
-def extract_articles_parsed(df: DataFrame, html_col: str = "body_html", keep: list[str] | None = None,
-                            heading: str = "h2", title_in_link: bool = True) -> DataFrame:
-    """G1 with a real HTML parser (opt-in): same output as ``extract_articles``; nested
-    articles give one row each, in document order."""
-    import pandas as pd
-
-    keep = keep if keep is not None else [c for c in ("email_id", "email_date", "email_subject",
-                                                       "email_sender", "email_ts") if c in df.columns]
-    src = df.select(*keep, F.col(html_col).alias("_html"))
-    fields = src.schema.fields[:len(keep)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema = (schema + ", " if schema else "") + ("article_pos int, title string, authors string, "
-                                                  "relevance int, venue string, url string")
-    cols = keep + ["article_pos", "title", "authors", "relevance", "venue", "url"]
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for rec in pdf.to_dict("records"):
-                base = {k: rec[k] for k in keep}
-                for art in _articles(rec["_html"] or "", heading, title_in_link):
-                    out.append({**base, **art})
-            frame = pd.DataFrame(out, columns=cols)
-            for c in ("article_pos", "relevance"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
-
-    from litsift.session import ship_package
-    ship_package(df.sparkSession)
-    return src.mapInPandas(run, schema)

@@ -1,8 +1,8 @@
 """SQL text (DuckDB dialect) for the oracle side of the query registry.
 
 These build plain SQL expressions that state each operator's semantics directly (brute
-force where the Spark plan is clever), so a query and its oracle are two independent
-formulations of the same result.
+force where the Spark plan is clever). Word lists, limits and prompt texts come from the
+engine's fixed values, so that they are written down once; the logic is the oracle's own.
 """
 
 from __future__ import annotations
@@ -88,16 +88,6 @@ def prompt(title: str, authors: str, categories: str, abstract: str, question: s
     return "(" + " || ".join(vals[p] if p in SLOTS else q(p) for p in TEMPLATE) + ")"
 
 
-def unescape(x: str) -> str:
-    for k, v in C.HTML_ENTITIES:
-        x = f"replace({x}, {q(k)}, {q(v)})"
-    return x
-
-
-def element_text(x: str) -> str:
-    return strip(unescape(f"regexp_replace({x}, '<[^>]*>', '', 'g')"))
-
-
 def b64url(x: str) -> str:
     return f"translate(to_base64(encode({x})), '+/', '-_')"
 

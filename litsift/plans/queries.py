@@ -163,35 +163,29 @@ def q_body_decode(spark, sf):
 
 
 # ---- F3, G1, P4, P5, P9: article extraction ---------------------------------------------------
-def _extract_sql(src: str, heading: str = "h1", link: bool = False) -> str:
-    """Article rows from ``src(email_id, h)`` where ``h`` is the HTML."""
-    head_re = O.q(extract._heading_re(heading))
-    title = (f"CASE WHEN regexp_matches(block, {head_re}) THEN "
-             f"{O.element_text(f'regexp_extract(block, {head_re}, 1)')} END")
-    if link:
-        head = f"regexp_extract(block, {head_re}, 1)"
-        lk = O.q(extract.LINK_RE)
-        title = (f"CASE WHEN regexp_matches(block, {head_re}) AND regexp_matches({head}, {lk}) THEN "
-                 f"{O.element_text(f'regexp_extract({head}, {lk}, 1)')} END")
-    head = f"regexp_extract(block, {head_re}, 1)"
-    href = O.q(extract.HREF_RE)
-    span = O.q(extract.SPAN_RE)
-    rel_txt = O.strip(f"replace({O.strip(O.unescape(f'regexp_extract(block, {span}, 1)'))}, 'Relevance:', '')")
-    venue = O.q(extract.VENUE_RE)
+def _extract_sql(src: str) -> str:
+    """Article rows from ``src(email_id, h)``, ``h`` being a page: cut by positions. An article
+    of a page holds a heading and paragraphs; the first one ends where as many have been closed as opened."""
+    def text(x: str) -> str:
+        for name, sign in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("nbsp", "chr(160)"), ("copy", "chr(169)"),
+                           ("middot", "chr(183)"), ("amp", "'&'")):
+            x = f"replace({x}, '&{name};', {sign})"
+        return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
+
     return f"""
-  b AS (SELECT email_id, regexp_extract_all(regexp_replace(h, {O.q(extract.NOT_MARKUP_RE)}, '', 'g'),
-                                            {O.q(extract.ARTICLE_RE)}, 1) AS blocks FROM {src}),
-  a AS (SELECT email_id, unnest(blocks) AS block, unnest(range(len(blocks))) AS pos FROM b),
-  art AS (SELECT email_id, CAST(pos AS INTEGER) AS article_pos,
-    {title} AS title,
-    CASE WHEN regexp_matches(block, {O.q(extract.PARA_OPEN_RE)})
-         THEN {O.element_text(f"regexp_extract(block, {O.q(extract.PARA_RE)}, 1)")} END AS authors,
-    CASE WHEN regexp_matches(block, {span}) THEN coalesce(CASE WHEN regexp_matches({rel_txt}, '^[+-]?[0-9]+$')
-         THEN TRY_CAST({rel_txt} AS INTEGER) END, 0) END AS relevance,
-    CASE WHEN regexp_matches(block, {venue}) THEN {O.element_text(f"regexp_extract(block, {venue}, 1)")} END AS venue,
-    CASE WHEN regexp_matches(block, {head_re}) AND regexp_matches({head}, {href})
-         THEN {O.unescape(f"regexp_extract({head}, {href}, 1)")} END AS url
-  FROM a)"""
+  b AS (SELECT email_id, string_split(h, '<article>')[2:] AS blocks FROM {src}),
+  a AS (SELECT email_id, split_part(unnest(blocks), '</article>', 1) AS block, CAST(unnest(range(len(blocks))) AS INTEGER) AS article_pos FROM b),
+  t AS (SELECT email_id, article_pos, unnest(string_split(block, '<')) AS piece, unnest(range(len(string_split(block, '<')))) AS i FROM a),
+  d AS (SELECT *, sum(CASE WHEN starts_with(piece, 'p>') THEN 1 WHEN starts_with(piece, '/p>') THEN -1 ELSE 0 END)
+                  OVER (PARTITION BY email_id, article_pos ORDER BY i) AS depth,
+               min(CASE WHEN starts_with(piece, 'p>') THEN i END) OVER (PARTITION BY email_id, article_pos) AS first FROM t),
+  e AS (SELECT *, min(CASE WHEN i > first AND depth = 0 THEN i END) OVER (PARTITION BY email_id, article_pos) AS last FROM d),
+  p AS (SELECT email_id, article_pos, string_agg(substr(piece, instr(piece, '>') + 1), '' ORDER BY i) AS authors
+        FROM e WHERE i >= first AND (last IS NULL OR i < last) GROUP BY email_id, article_pos),
+  art AS (SELECT a.email_id, a.article_pos,
+    CASE WHEN contains(block, '<h1>') THEN {text("split_part(split_part(block, '<h1>', 2), '</h1>', 1)")} END AS title, {text("authors")} AS authors,
+    CAST(NULL AS INTEGER) AS relevance, CAST(NULL AS VARCHAR) AS venue, CAST(NULL AS VARCHAR) AS url
+  FROM a LEFT JOIN p ON p.email_id = a.email_id AND p.article_pos = a.article_pos)"""
 
 
 @query("article_extract", f"""
@@ -247,6 +241,41 @@ def q_article_fields(spark, sf):
     return arts.select("email_id", "article_pos", "title", "authors", "relevance", "venue", "url")
 
 
+# ---- G1, P4-P8: markup that is hard to read -----------------------------------------------------
+@query("article_markup", """
+WITH j AS (SELECT 'page-' || CAST(p.page_id AS VARCHAR) AS email_id, CAST(p.page_id AS VARCHAR) AS id, p.url, e.event_type AS kind,
+                  CAST(e.user_id AS VARCHAR) AS u, CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS k
+           FROM pages p JOIN events e ON e.event_id = p.page_id)
+SELECT email_id, 0 AS article_pos, kind || ' ' || chr(233) || chr(8217) || chr(8212) || ' p < 0.' || k || ' &amp; q > 1' AS title,
+       CASE WHEN k % 3 <> 0 THEN 'Ann ' || u || ' & Bo'
+            ELSE 'Ann ' || u || ' & Bo ' || chr(160) || 'Score Relevance: 1Relevance: ' || k || 'Venue of "' || kind || '"'
+                 || CASE WHEN k % 4 = 0 THEN 'Inner ' || id || 'In ' || id ELSE '' END END AS authors,
+       k AS relevance, 'Venue of "' || kind || '"' AS venue, url || '?x=1&y=2' AS url FROM j
+UNION ALL
+SELECT email_id, 1, 'Inner ' || id, 'In ' || id, NULL, NULL, 'in>' FROM j WHERE k % 4 = 0
+UNION ALL
+SELECT email_id, CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END, NULL, NULL, 0, NULL, NULL FROM j WHERE k % 7 = 0
+""")
+def q_article_markup(spark, sf):
+    """Bodies with nested and unclosed articles, references, ``<`` in text, either kind of quotes, wrapped labels."""
+    pages = B.table(spark, sf, "pages").select("page_id", "url")
+    ev = B.table(spark, sf, "events").select(F.col("event_id").alias("page_id"), "event_type", "user_id", "props")
+    j = pages.join(ev, "page_id").withColumn("k", _k())
+    k, kind, u, n = F.col("k"), F.col("event_type"), F.col("user_id").cast("string"), F.col("page_id").cast("string")
+    body = F.concat(
+        F.lit('<div class=scholar-inbox.com><!-- <article> --><article class=outer title="a > b"><H2><em><a class="t" href=\''), F.col("url"),
+        F.lit("?x=1&amp;y=2'>\n"), kind, F.lit(" &eacute;&#8217;&#x2014; p < 0."), k.cast("string"), F.lit(" &amp;amp; q > 1</a></em></H2><p>Ann "), u,
+        F.lit(" &amp; Bo<br> &nbsp;"), F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("</p>")),
+        F.lit("<span>Score <b>Relevance: 1</b></span><script>'<span>Relevance: 2</span>'</script><span><b><i>Relevance: "), k.cast("string"),
+        F.lit("</i></b></span><div style='color:red;display:inline;float:right;'>Venue <b>of</b> &quot;"), kind, F.lit("&quot;</div>"),
+        F.when(k % 4 == 0, F.concat(F.lit('<article><h2><a href="in>">Inner '), n, F.lit("</a></h2><p>In "), n, F.lit("</article>"))).otherwise(F.lit("")),
+        F.when(k % 5 == 0, F.lit("</b></article>")).otherwise(F.lit("</article>")),
+        F.when(k % 7 == 0, F.lit("<article><span>Relevance: x")).otherwise(F.lit("")), F.lit("</div>"))
+    msgs = j.select(F.concat(F.lit("page-"), n).alias("email_id"), body.alias("body_html"))
+    return extract.extract_articles(filters.filter_marker(msgs), keep=["email_id"]) \
+        .select("email_id", "article_pos", "title", "authors", "relevance", "venue", "url")
+
+
 # ---- P10-P12: cleaning --------------------------------------------------------------------------
 @query("clean_titles", f"""
 SELECT CAST(doc_id AS VARCHAR) AS email_id,

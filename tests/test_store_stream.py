@@ -14,18 +14,21 @@ from litsift.sources import models, papers, questions
 from litsift.sources.messages import read_messages
 from litsift.streaming.incremental import ingest_incremental, read_ingested
 
-SAMPLE = [("Scholar Alert Digest: tides", "msg1", "Fri, 01 Jan 2021 00:00:00 +0000", "Mara Lindqvist, Teo Okafor", 80,
-           "Annals of Tide Studies", "https://papers.example.org/tide"),
-          ("Sediment Budgets of Small Estuaries", "msg2", "Sat, 02 Jan 2021 12:00:00 +0000", "Ines Roche, Paul Adeyemi", 65,
-           "Harbour Symposium", "https://papers.example.org/sediment")]
-COLS = "title string, email_id string, email_date string, authors string, relevance int, venue string, url string"
+#: Stored papers: an offset in the date, a date and a relevance that cannot be read, absent fields.
+SAMPLE = [("Basalt columns, cooling and cracks", "n-301", "Tue, 09 May 2023 06:45:10 +0200", "S. Quispe, L. Marchetti", "41", None, "https://papers.example.net/basalt"),
+          ("Glacier runoff in dry years", "n-302", "Wed, 10 May 2023 21:00:00 GMT", "I. Haugen", "93.5", "Geophysical Letters", None),
+          ("Editorial note", "n-303", "next week", "The editors", "high", "Bulletin", "https://bulletin.example.net/1"),
+          ("A paper without a date", "n-304", None, "O. Nwosu", None, None, None)]
+COLS = "title string, email_id string, email_date string, authors string, relevance string, venue string, url string"
 
 
 def test_to_papers_types(spark):
     df = papers.to_papers(spark.createDataFrame(SAMPLE, COLS))
     assert dict(df.dtypes)["email_date"] == "timestamp" and dict(df.dtypes)["relevance"] == "double"
     rows = df.orderBy("email_id").collect()
-    assert rows[0].email_date == dt.datetime(2021, 1, 1) and rows[1].venue == "Harbour Symposium"
+    assert [r.email_date for r in rows] == [dt.datetime(2023, 5, 9, 4, 45, 10), dt.datetime(2023, 5, 10, 21), None, None]
+    assert [r.relevance for r in rows] == [41.0, 93.5, None, None]
+    assert rows[2].venue == "Bulletin" and rows[0].venue is None
 
 
 def test_to_papers_errors(spark):
@@ -40,7 +43,7 @@ def test_parquet_and_csv_roundtrip(spark):
     path = scratch_path(spark, "t-papers")
     papers.write_papers(df, path)
     back = papers.read_papers(spark, path)
-    assert sorted(back.columns) == sorted(df.columns) and back.count() == 2
+    assert sorted(back.columns) == sorted(df.columns) and back.count() == len(SAMPLE)
     cpath = scratch_path(spark, "t-papers-csv")
     papers.write_papers(df, cpath, fmt="csv")
     c = spark.read.option("header", True).csv(cpath).first()
