@@ -22,6 +22,46 @@ def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place", group: list[str] | None = None) -> DataFrame:
+    """Adds ``name``, each row's place (from 1) by ``order`` within its group (null-free columns;
+    default: all rows), and ``<name>_of``, the number of rows there.
+
+    Rows are dealt out by ranges, sorted and written with their place in their task; one small
+    row for each task and group then gives the offsets. So no window takes a whole group, and
+    a group that holds a third of all rows is spread like any other.
+    """
+    group = group or []
+    keys = [F.col(g) for g in group] + order
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialize(dealt, "numbered").withColumn("_task", F.shiftright("_at", 33))
+    sizes = rows.groupBy(*group, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = own.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*group, "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+                          F.sum("_n").over(own).alias(f"{name}_of"))
+    return rows.join(shifts, [*group, "_task"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")
+
+
+#: Keys that a sketch of hot keys follows, and how finely a hot key is split.
+HOT_KEYS, SPLIT = 64, 4
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on string ``keys`` that may be hot on both sides: keys with more rows of
+    ``left`` than a mean partition (found by a sketch of the most frequent ones) are split by
+    salt there, and their rows of ``right`` are copied to every salt."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.concat_ws("\x1f", *keys)
+    seen = left.select(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(key, {HOT_KEYS}, {HOT_KEYS * 100})").alias("top")).first()
+    hot = [t["item"] for t in seen["top"] or [] if t["count"] * parts > seen["n"]]
+    if not hot or parts == 1:
+        return left.join(right, keys)
+    salts = F.when(key.isin(*hot), F.lit(parts * SPLIT)).otherwise(F.lit(1))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def row_count_upto(df: DataFrame, limit: int) -> int:
     """Exact row count if it is <= ``limit``, else ``limit + 1`` (bounded cost)."""
     return df.limit(limit + 1).count()

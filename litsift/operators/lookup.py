@@ -3,7 +3,7 @@
 The reference asks a remote index three questions per paper, first hit wins:
 
 1. exact title            -> equi-join on the normalised title
-2. all title words        -> containment join on token sets (via the query's rarest token)
+2. all title words        -> containment search over token sets (``containment``)
 3. first author + phrase  -> equi-join on (author last name, key phrase)
 
 Both sides are first reduced to keys in one pass (``prepare_papers``, ``catalogue_index``):
@@ -17,9 +17,10 @@ Scale rules followed here (a title, author or token may hold a third of all rows
   catalogue is reduced to the first ``k + 1`` entries per key with a ``row_number() <= k+1``
   filter, planned as a partial ``WindowGroupLimit`` before the shuffle. The joins of tier 1
   have at most ``k + 1`` rows per key on one side; AQE's skew-join handling splits the other
-  (hot) side. In tier 2 a longer title meets all sets with its rarest token, in tier 3 all of
-  an author's titles with its phrase: what is frequent on both sides makes many candidates
-  there. They are cut to ``k + 1`` per title in the map stage, before entries are joined.
+  (hot) side. In tier 2 titles read lists of sets that hold their two rarest tokens, best
+  first, and stop when they have enough. In tier 3 a hot (author, phrase) is split by salt;
+  all of an author's titles with a phrase meet there, and are cut to ``k + 1`` per title in
+  the map stage, before entries are joined.
 * Candidates per paper are cut to the top ``k`` by ``(sim desc, entry_id)``: a
   deterministic order (the remote "relevance" order is not defined by the reference).
 * ``lookup_cascade`` writes the prepared inputs and each tier's result (as Parquet, to the
@@ -36,17 +37,12 @@ from litsift.functions import mail
 from litsift.functions.text import (STOP_WORDS, first_author_last_name, last_name,
                                     norm_title, normalize_abstract, split_authors, token_set_key,
                                     tokens)
-from litsift.operators.common import materialize, top_k
+from litsift.operators.common import join_hot, materialize, top_k
+from litsift.operators.containment import holding_sets, key_tokens
 
 DEFAULT_K = 5          # results per query (max_results of the reference)
 
 
-def key_tokens(key) -> Column:
-    """Token array of a token-set key ('' -> empty array)."""
-    k = F.col(key) if isinstance(key, str) else key
-    return F.when(k == "", F.array().cast("array<string>")).otherwise(F.split(k, " "))
-
-
 def jaccard(a, b) -> Column:
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
@@ -139,31 +135,11 @@ def _tier1(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
 def _tier2(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     p = pp.where(F.col("n_q") > 0).select("paper_key", "p_self", "q_key")
     c = idx.where(F.col("c_key") != "").select("entry_id", "c_self", "c_key")
-    q_sets = p.select("q_key").distinct()
-    # Distinct catalogue token sets get a 64-bit id: the postings (one row per token) then
-    # carry 8 bytes instead of the whole key. A (rare) id collision only adds candidates;
-    # the containment check below uses the full key, so the result stays exact.
-    # ``first_entry``: the best k + 1 entries of a title lie in its best k + 1 token sets by
-    # (sim desc, first entry), so other sets go before the entries are joined.
-    c_sets = c.groupBy("c_key").agg(F.min("entry_id").alias("first_entry")).withColumn("gid", F.xxhash64("c_key"))
-    postings = c_sets.select("gid", F.explode(key_tokens("c_key")).alias("tok"))
-    dfreq = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    # Any rarest token gives a complete candidate set (every match holds every query token);
-    # a token missing from the catalogue has df 0 and matches nothing.
-    several = q_sets.where(F.size(key_tokens("q_key")) > 1)
-    q_toks = several.select("q_key", F.explode(key_tokens("q_key")).alias("tok")).join(dfreq, "tok", "left")
-    rarest = q_toks.groupBy("q_key").agg(F.min_by("tok", F.coalesce(F.col("df"), F.lit(0))).alias("tok"))
-    held = (rarest.join(postings, "tok").select("q_key", "gid").join(c_sets, "gid")
-            .where(F.size(F.array_except(key_tokens("q_key"), key_tokens("c_key"))) == 0)
-            .select("q_key", "c_key", "first_entry",
-                    (F.size(key_tokens("q_key")) / F.size(key_tokens("c_key"))).alias("sim")))
-    # A title of one token is held by every set with that token: each token keeps its shortest
-    # sets (before the shuffle), however many there are.
-    asked = q_sets.where(F.size(key_tokens("q_key")) == 1).select("q_key")
-    single = (c_sets.select("c_key", "first_entry", F.explode(key_tokens("c_key")).alias("q_key"))
-              .join(asked, "q_key", "left_semi")
-              .select("q_key", "c_key", "first_entry", (F.lit(1) / F.size(key_tokens("c_key"))).alias("sim")))
-    pairs = top_k(held.unionByName(single), ["q_key"], [F.col("sim").desc(), F.col("first_entry")], k + 1, "r") \
+    # The best k + 1 entries of a title lie in its best k + 1 token sets by (sim desc, first
+    # entry), so other sets go before the entries are joined.
+    sets = c.groupBy("c_key").agg(F.min("entry_id").alias("first_entry"))
+    held = holding_sets(p.select("q_key").distinct(), sets, k + 1)
+    pairs = top_k(held, ["q_key"], [F.col("sim").desc(), F.col("first_entry")], k + 1, "r") \
         .select("q_key", "c_key", "sim")
     entries = top_k(c, ["c_key"], [F.col("entry_id")], k + 1, "r").drop("r")
     per_key = top_k(pairs.join(entries, "c_key"), ["q_key"],
@@ -182,7 +158,7 @@ def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
     # 64-bit group id rather than the long keys; matches are re-checked on the full key.
     groups = ranked.where(F.col("r") == 1).select(*ckey, F.col("entry_id").alias("first_entry"), F.xxhash64(*ckey).alias("gid"))
     grams = groups.select("gid", "a_last", F.explode(key_grams("pw_key")).alias("phrase"))
-    hits = p.select(*keys).distinct().join(grams, ["a_last", "phrase"]).select(*keys, "gid")
+    hits = join_hot(p.select(*keys).distinct(), grams, ["a_last", "phrase"]).select(*keys, "gid")
     pairs = hits.join(groups.withColumnRenamed("a_last", "g_last"), "gid") \
         .where((F.col("g_last") == F.col("a_last"))
                & has_phrase("pw_key", "phrase")) \
@@ -208,7 +184,7 @@ def tier_exact(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
 def tier_tokens(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
                 self_cols: tuple[str, str] | None = None) -> DataFrame:
     """Entries whose title contains every (non stop word) token of the paper's title,
-    found as an equi-join on the query's rarest token and verified with ``array_except``."""
+    found under the title's two rarest tokens and verified with ``array_except``."""
     return _tier2(*_prep(papers, catalogue, self_cols), k, self_cols is not None)
 
 
