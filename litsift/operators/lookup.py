@@ -170,30 +170,31 @@ def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
     return _finish(per_key, p, keys, k, 3, exclude_self)
 
 
-def _prep(papers, catalogue, self_cols):
+def _prep(papers, catalogue, self_cols, index=None):
+    """Both sides' keys; a stored ``index`` takes the place of the catalogue."""
     return (prepare_papers(papers, self_cols[0] if self_cols else None),
-            catalogue_index(catalogue, self_cols[1] if self_cols else None))
+            index if index is not None else catalogue_index(catalogue, self_cols[1] if self_cols else None))
 
 
-def tier_exact(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
-               self_cols: tuple[str, str] | None = None) -> DataFrame:
+def tier_exact(papers: DataFrame, catalogue: DataFrame | None, k: int = DEFAULT_K,
+               self_cols: tuple[str, str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """Catalogue entries whose normalised title equals the paper's."""
-    return _tier1(*_prep(papers, catalogue, self_cols), k, self_cols is not None)
+    return _tier1(*_prep(papers, catalogue, self_cols, index), k, self_cols is not None)
 
 
-def tier_tokens(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
-                self_cols: tuple[str, str] | None = None) -> DataFrame:
+def tier_tokens(papers: DataFrame, catalogue: DataFrame | None, k: int = DEFAULT_K,
+                self_cols: tuple[str, str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """Entries whose title contains every (non stop word) token of the paper's title,
     found under the title's two rarest tokens and verified with ``array_except``."""
-    return _tier2(*_prep(papers, catalogue, self_cols), k, self_cols is not None)
+    return _tier2(*_prep(papers, catalogue, self_cols, index), k, self_cols is not None)
 
 
-def tier_author_phrase(papers: DataFrame, catalogue: DataFrame, k: int = DEFAULT_K,
-                       self_cols: tuple[str, str] | None = None) -> DataFrame:
+def tier_author_phrase(papers: DataFrame, catalogue: DataFrame | None, k: int = DEFAULT_K,
+                       self_cols: tuple[str, str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """An entry by the paper's first author (last name, case-insensitive) whose title
     holds the paper's key phrase (first two non stop words, consecutive once stop words
     are skipped), as an equi-join on (last name, phrase) against the entries' word n-grams."""
-    return _tier3(*_prep(papers, catalogue, self_cols), k, self_cols is not None)
+    return _tier3(*_prep(papers, catalogue, self_cols, index), k, self_cols is not None)
 
 
 def _materialize(df: DataFrame, on: bool) -> DataFrame:

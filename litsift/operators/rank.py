@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsift.functions.text import format_score
+from litsift.operators.common import numbered
 
 DEFAULT_TOP_N = 10
 
@@ -24,8 +25,14 @@ def rank_order(id_col: str = "arxiv_id") -> list:
 
 
 def rank_papers(scored: DataFrame, id_col: str = "arxiv_id") -> DataFrame:
-    """O1: all papers sorted (a range-partitioned sort; needed only for the saved file)."""
-    return scored.orderBy(*rank_order(id_col))
+    """O1: all papers in their order, with ``rank`` from 1.
+
+    Ranks are counted over range partitions (``numbered``), so no task sees all rows; the
+    result is sorted by them, which a saved file keeps.
+    """
+    base = scored.drop("rank") if "rank" in scored.columns else scored
+    ranked = numbered(base, rank_order(id_col), "rank").drop("rank_of")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).orderBy("rank")
 
 
 def top_papers(scored: DataFrame, n: int = DEFAULT_TOP_N, id_col: str = "arxiv_id") -> DataFrame:
@@ -41,6 +48,10 @@ def top_papers(scored: DataFrame, n: int = DEFAULT_TOP_N, id_col: str = "arxiv_i
     return top.withColumn("rank", F.row_number().over(w)).withColumn("score_str", format_score("score"))
 
 
-def show_paper(papers: DataFrame, paper_id: str | None = None, id_col: str = "arxiv_id") -> DataFrame:
-    """One paper by id (a pushed-down filter on stored papers), or all of them."""
-    return papers if paper_id is None else papers.where(F.col(id_col) == F.lit(paper_id))
+def show_paper(papers: DataFrame, paper_id: str | list[str] | None = None, id_col: str = "arxiv_id") -> DataFrame:
+    """Papers by id, one or several, or all of them. The filter reaches the scan of
+    stored papers; where these are ``sorted_by`` the id, it reads the row groups that may hold it."""
+    if paper_id is None:
+        return papers
+    ids = [paper_id] if isinstance(paper_id, str) else list(paper_id)
+    return papers.where(F.col(id_col).isin(ids))

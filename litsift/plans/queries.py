@@ -446,6 +446,22 @@ def q_lookup_exact(spark, sf):
     return t.select("paper_key", "entry_id", "rank", _r(F.col("sim")).alias("sim"))
 
 
+@query("lookup_stored", f"""
+WITH p AS ({DOC_PAPERS_SQL}), c AS ({O.CATALOGUE}), t AS ({_topk_sql(_tier_sql(1, 'p', 'c', False))})
+SELECT paper_key, entry_id, rank, round(sim, {ROUND}) AS sim FROM t
+""")
+def q_lookup_stored(spark, sf):
+    """J1 against a catalogue that is read from files and whose keys are stored in buckets."""
+    from litsift.session import scratch_path
+    from litsift.sources.catalogue import read_catalogue, read_key_table, write_key_table
+    path, keys = scratch_path(spark, "catalogue"), scratch_path(spark, "catalogue-keys")
+    name = "keys_" + keys.rpartition("-")[2]
+    _catalogue(spark, sf).write.parquet(path)
+    write_key_table(read_catalogue(spark, path), keys, name, buckets=8)
+    t = lookup.tier_exact(_doc_papers(spark, sf), None, K, index=read_key_table(spark, keys, name, buckets=8))
+    return t.select("paper_key", "entry_id", "rank", _r(F.col("sim")).alias("sim"))
+
+
 @query("lookup_tokens", f"""
 WITH p AS ({DOC_PAPERS_SQL}), c AS ({O.CATALOGUE}), t AS ({_topk_sql(_tier_sql(2, 'p', 'c', True))})
 SELECT paper_key, entry_id, rank, round(sim, {ROUND}) AS sim FROM t
@@ -771,6 +787,23 @@ def q_rank_all(spark, sf):
     return r.select("arxiv_id", "title", _r(F.col("score")).alias("score"))
 
 
+@query("rank_stored", f"""
+WITH {MEAN_SQL}
+SELECT p.arxiv_id, CAST(row_number() OVER (ORDER BY ms.score DESC NULLS LAST, p.arxiv_id) AS INTEGER) AS rank, round(ms.score, {ROUND}) AS score,
+       CAST(row_number() OVER (ORDER BY ms.score DESC NULLS LAST, p.arxiv_id) AS BIGINT) AS place_in_file
+FROM p LEFT JOIN ms USING (arxiv_id)
+""")
+def q_rank_stored(spark, sf):
+    """The saved list: its ranks, and where each paper stands in the files as they were written."""
+    from litsift.operators.common import numbered
+    from litsift.session import scratch_path
+    from litsift.sources.papers import read_papers, write_papers
+    path = scratch_path(spark, "ranked")
+    write_papers(rank.rank_papers(rank.attach_scores(_papers(spark, sf).select("arxiv_id"), _mean_scores(spark, sf))), path)
+    stored = read_papers(spark, path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return numbered(stored, [F.col("file"), F.col("row")], "place_in_file").select("arxiv_id", "rank", _r(F.col("score")).alias("score"), "place_in_file")
+
+
 TOP_N = rank.DEFAULT_TOP_N
 
 
@@ -794,6 +827,71 @@ def q_show_papers(spark, sf):
     return rank.show_paper(_papers(spark, sf)).select("arxiv_id", "title", "authors", "venue")
 
 
+SHOWN = ["0", "7", "42", "133", "500", "4711", "9999", "no such paper"]
+
+
+@query("show_by_id", f"""
+SELECT arxiv_id, authors, venue, md5(abstract) AS abstract_md5 FROM ({O.PAPERS}) WHERE arxiv_id IN ({', '.join(O.q(i) for i in SHOWN)})
+""")
+def q_show_by_id(spark, sf):
+    """Single papers out of the stored ones, which are sorted by id."""
+    from litsift.session import scratch_path
+    from litsift.sources.papers import read_papers, write_papers
+    path = scratch_path(spark, "papers-by-id")
+    write_papers(_papers(spark, sf), path, sorted_by="arxiv_id")
+    shown = rank.show_paper(read_papers(spark, path), SHOWN)
+    return shown.select("arxiv_id", "authors", "venue", F.md5("abstract").alias("abstract_md5"))
+
+
+# ---- S1: message files with broken lines --------------------------------------------------------------
+@query("message_files", """
+SELECT 'page-' || CAST(page_id AS VARCHAR) AS email_id, strlen(html) AS n_bytes, md5(html) AS body_md5, CAST(NULL AS VARCHAR) AS line FROM pages
+UNION ALL
+SELECT NULL, 0, md5(''), '{"id": "page-' || page_id || '", "payload": {"headers": [' FROM pages WHERE page_id % 10 = 3
+UNION ALL
+SELECT NULL, 0, md5(''), 'From: page-' || page_id || ' {}' FROM pages WHERE page_id % 10 = 5
+UNION ALL
+SELECT NULL, 0, md5(''), '{"id": "page-' || page_id || '", "labelIds": "INBOX"}' FROM pages WHERE page_id % 10 = 8
+""")
+def q_message_files(spark, sf):
+    """Every line of the files comes back: messages, and as it stands what is none."""
+    from litsift.session import scratch_path
+    from litsift.sources.messages import read_messages
+    pages = B.table(spark, sf, "pages")
+    n, at = F.col("page_id").cast("string"), F.col("page_id") % 10
+    good = B.messages_from_pages(pages, None).select(F.to_json(F.struct("*")).alias("value"))
+    broken = pages.select(F.when(at == 3, F.concat(F.lit('{"id": "page-'), n, F.lit('", "payload": {"headers": [')))
+                          .when(at == 5, F.concat(F.lit("From: page-"), n, F.lit(" {}")))
+                          .when(at == 8, F.concat(F.lit('{"id": "page-'), n, F.lit('", "labelIds": "INBOX"}'))).alias("value")).where("value is not null")
+    path = scratch_path(spark, "message-files")
+    good.unionByName(broken).write.text(path)
+    rows = read_messages(spark, path, corrupt="line")
+    f = filters.message_fields(rows, keep=["id", "line"])
+    body = F.when(F.col("line").isNull(), F.col("body_html")).otherwise(F.lit(""))
+    return f.select(F.when(F.col("line").isNull(), F.col("id")).alias("email_id"), F.octet_length(body).cast("long").alias("n_bytes"),
+                    F.md5(body).alias("body_md5"), "line")
+
+
+# ---- S4: typed columns of stored papers ----------------------------------------------------------------
+@query("papers_typed", """
+WITH e AS (SELECT event_id, ts, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(epoch(date_trunc('second', ts)) AS BIGINT) - CASE WHEN k % 3 = 0 THEN 5400 ELSE 0 END END AS date_epoch,
+       CASE WHEN k % 7 = 0 THEN NULL WHEN k % 5 = 0 THEN CAST(k AS DOUBLE) ELSE value END AS relevance FROM e
+""")
+def q_papers_typed(spark, sf):
+    """Dates with an offset, without a zone, ISO ones and none; numbers, and what is no number."""
+    from litsift.sources.papers import to_papers
+    e = B.table(spark, sf, "events").withColumn("k", _k())
+    k, day = F.col("k"), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss")
+    date = (F.when(k % 11 == 0, F.when(k % 2 == 0, F.lit("some day")))
+            .when(k % 3 == 0, F.concat(day, F.lit(" +0130")))
+            .when(k % 2 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+            .otherwise(F.concat(day, F.lit(" GMT"))))
+    relevance = F.when(k % 7 == 0, F.lit("high")).when(k % 5 == 0, k.cast("string")).otherwise(F.col("value").cast("string"))
+    raw = e.select("event_id", F.lit("t").alias("title"), F.lit("a").alias("authors"), date.alias("email_date"), relevance.alias("relevance"))
+    return to_papers(raw).select("event_id", F.unix_timestamp("email_date").alias("date_epoch"), "relevance")
+
+
 # ---- U5, F2, S1: recent papers from mail ------------------------------------------------------------------
 NOW = "2024-01-31"
 DAYS = 30
@@ -897,11 +995,7 @@ def q_triage(spark, sf):
 @query("triage_ranked", TRIAGE_SQL)
 def q_triage_ranked(spark, sf):
     r = _triage(spark, sf).ranked
-    # The order of the ranked rows, as row numbers: they are sorted by score and id.
-    from pyspark.sql import Window
-    place = F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), "arxiv_id")).cast("int")
-    return r.select(place.alias("rank"), "arxiv_id", "paper_key", _r(F.col("score")).alias("score"),
-                    format_score("score").alias("score_str"))
+    return r.select("rank", "arxiv_id", "paper_key", _r(F.col("score")).alias("score"), format_score("score").alias("score_str"))
 
 
 @query("triage_scores", TRIAGE_PAIRS_SQL + f"SELECT arxiv_id, question_id, round(s / 10.0, {ROUND}) AS relevance_score FROM pair")

@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litsift.schemas import MESSAGE
 
 
-def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def read_messages(spark: SparkSession, path: str, fmt: str = "json", corrupt: str | None = None) -> DataFrame:
     """Scan raw messages with a fixed schema (no inference pass over the data).
 
-    Unlike the mail API (first result page only), a table scan has no page cap.
+    Unlike the mail API (first result page only), a table scan has no page cap. A line that
+    is no message becomes a row of nulls; ``corrupt`` names a column that then holds the line
+    as it stands, so that none is lost unseen.
     """
-    reader = spark.read.schema(MESSAGE)
-    return reader.json(path) if fmt == "json" else reader.format(fmt).load(path)
+    if fmt != "json":
+        return spark.read.schema(MESSAGE).format(fmt).load(path)
+    if corrupt is None:
+        return spark.read.schema(MESSAGE).json(path)
+    # A JSON scan parses the columns that are asked for only, and so takes a line for good or
+    # bad by what a query selects; here each line is parsed whole.
+    schema = T.StructType([*MESSAGE.fields, T.StructField(corrupt, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    return spark.read.text(path).select(F.from_json("value", schema, options).alias("m")).select("m.*")
 
 
 def utc_day(ts) -> F.Column:

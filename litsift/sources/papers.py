@@ -46,18 +46,28 @@ def _csv_ready(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+#: Bytes of a row group in files that are sorted for look-ups by id, and ids that a file's filter is made for.
+LOOKUP_GROUP, LOOKUP_IDS = 1 << 20, 1_000_000
+
+
 def write_papers(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                 partition_by: list[str] | None = None) -> None:
-    """S3: write papers. Parquet keeps types; CSV joins arrays with ", "."""
-    if fmt == "csv":
-        w = _csv_ready(df).write.mode(mode).option("header", "true")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.csv(path)
-        return
-    w = df.write.mode(mode)
+                 partition_by: list[str] | None = None, sorted_by: str | None = None) -> None:
+    """S3: write papers. Parquet keeps types; CSV joins arrays with ", ".
+
+    sorted_by: an id column that single papers will be looked up by. Files then hold ranges
+    of it, in small row groups with statistics and a Bloom filter of the ids.
+    """
+    if sorted_by:
+        df = df.repartitionByRange(sorted_by).sortWithinPartitions(sorted_by)
+    w = (_csv_ready(df) if fmt == "csv" else df).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if fmt == "csv":
+        w.option("header", "true").csv(path)
+        return
+    if sorted_by:
+        w = (w.option("parquet.block.size", LOOKUP_GROUP).option(f"parquet.bloom.filter.enabled#{sorted_by}", "true")
+             .option(f"parquet.bloom.filter.expected.ndv#{sorted_by}", LOOKUP_IDS))
     w.format(fmt).save(path)
 
 
