@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Buckets of a run, and bits of a filter for each key of a run (two of them are set).
-BUCKETS, BITS = 64, 16
+BUCKETS, BITS = 16, 16
 #: Bits of one bitmap of ``bitmap_construct_agg``.
 PART = 32768
 
@@ -67,7 +67,7 @@ class SeenKeys:
             return
         h = self._hash()
         placed = keys.withColumn("bucket", F.pmod(h, F.lit(BUCKETS)).cast("int"))
-        placed.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path("keys", run))
+        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path("keys", run))
         stored = self.spark.read.schema(placed.schema).parquet(self._path("keys", run))
         parts = stored.count() * BITS // (BUCKETS * PART) + 1
         bits = stored.select("bucket", F.explode(F.array(*self._bits(parts))).alias("bit"))
@@ -86,16 +86,14 @@ class SeenKeys:
         for i, run in enumerate(runs):
             one = self.spark.read.parquet(self._path("filters", run)).select(F.lit(i).alias("run"), "bucket", "part", "parts", "bits")
             filters = one if filters is None else filters.unionByName(one)
-        sizes = filters.groupBy("run", "bucket").agg(F.max("parts").alias("parts"))
-        hashed = keys.select(*self.key, F.pmod(self._hash(), F.lit(BUCKETS)).cast("int").alias("bucket")).join(F.broadcast(sizes), "bucket")
-        asked = hashed.select(self._hash().alias("h"), "run", "bucket", F.explode(F.array(*self._bits(F.col("parts")))).alias("bit"))
-        asked = asked.select("h", "run", "bucket", F.expr(f"bit div {PART}").alias("part"), (F.col("bit") % PART).cast("int").alias("at")).distinct()
+        sizes = filters.select("run", "bucket", "parts").distinct()  # BUCKETS rows a run
+        hashed = keys.select(self._hash().alias("h"), *self.key).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+        asked = hashed.join(F.broadcast(sizes), "bucket").select("h", "run", "bucket", F.explode(F.array(*self._bits(F.col("parts")))).alias("bit"))
+        asked = asked.select("h", "run", "bucket", F.expr(f"bit div {PART}").alias("part"), (F.col("bit") % PART).cast("int").alias("at"))
         byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
-        is_set = F.expr("shiftright(byte, at % 8) & 1") == 1
-        found = asked.join(filters.drop("parts"), ["run", "bucket", "part"]).withColumn("byte", byte).where(is_set)
-        both = found.groupBy("run", "bucket", "h").agg(F.count(F.lit(1)).alias("n"))
-        need = asked.groupBy("run", "bucket", "h").agg(F.count(F.lit(1)).alias("n"))
-        hits = both.join(need, ["run", "bucket", "h", "n"]).select("run", "bucket").distinct().collect()
+        is_set = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, at % 8)")) != 0, F.lit(False))
+        found = asked.join(filters.drop("parts"), ["run", "bucket", "part"], "left").groupBy("run", "bucket", "h").agg(F.min(is_set).alias("held"))
+        hits = found.where("held").select("run", "bucket").distinct().collect()
         out: dict[tuple[int, int], list[int]] = {}
         for r in hits:
             out.setdefault(runs[r.run], []).append(r.bucket)
