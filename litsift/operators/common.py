@@ -1,4 +1,4 @@
-"""Shared plan helpers: top-k per group and size-checked broadcast."""
+"""Shared plan helpers: top-k per group, numbering, hot keys and size-checked broadcast."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from litsift.session import scratch_path
 
-# Largest small side we broadcast. The bound is checked with a LIMIT-ed count, so the
-# check itself costs at most this many rows.
-MAX_BROADCAST_ROWS = 200_000
+#: Bytes of the largest side that is broadcast, as measured.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -62,21 +61,19 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return salted.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
-def row_count_upto(df: DataFrame, limit: int) -> int:
-    """Exact row count if it is <= ``limit``, else ``limit + 1`` (bounded cost)."""
-    return df.limit(limit + 1).count()
+def measured_bytes(df: DataFrame) -> int:
+    """The bytes of all values of ``df``, about: strings and nested values as text, 8 for each other one."""
+    plain = {"long", "int", "double", "float", "boolean", "date", "timestamp", "short", "byte"}
+    size = [F.lit(8) if f.dataType.typeName() in plain or f.dataType.simpleString() == "bigint" else
+            F.coalesce(F.octet_length(F.col(f"`{f.name}`") if f.dataType.typeName() == "string" else F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+            for f in df.schema.fields]
+    return df.agg(F.sum(sum(size[1:], size[0]).cast("long"))).first()[0] or 0
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, int | None]:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    Returns ``(df_or_broadcast, n_rows_or_None)``: beyond the bound the plain DataFrame is
-    returned and the caller's join falls back to a shuffle join (with AQE skew handling).
-    """
-    n = row_count_upto(df, max_rows)
-    if n <= max_rows:
-        return F.broadcast(df), n
-    return df, None
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its measured size is within the bound; else as it is, and
+    the join shuffles (with AQE's skew handling). The result is the same."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
 
 
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:

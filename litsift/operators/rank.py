@@ -48,6 +48,16 @@ def top_papers(scored: DataFrame, n: int = DEFAULT_TOP_N, id_col: str = "arxiv_i
     return top.withColumn("rank", F.row_number().over(w)).withColumn("score_str", format_score("score"))
 
 
+def top_of(papers: DataFrame, scores: DataFrame, n: int = DEFAULT_TOP_N, id_col: str = "arxiv_id") -> DataFrame:
+    """O2 from papers and their scores: the n best are taken by id and score alone, then joined
+    with their papers, so that no other paper's columns are shuffled."""
+    best = attach_scores(papers.select(id_col), scores, id_col).orderBy(*rank_order(id_col)).limit(max(n, 0)).distinct()
+    same = F.col(f"_best.{id_col}").eqNullSafe(F.col(f"_p.{id_col}"))
+    base = papers.drop("score") if "score" in papers.columns else papers
+    found = base.alias("_p").join(F.broadcast(best.alias("_best")), same).select("_p.*", "_best.score")  # n rows at most
+    return top_papers(found, n, id_col)
+
+
 def show_paper(papers: DataFrame, paper_id: str | list[str] | None = None, id_col: str = "arxiv_id") -> DataFrame:
     """Papers by id, one or several, or all of them. The filter reaches the scan of
     stored papers; where these are ``sorted_by`` the id, it reads the row groups that may hold it."""

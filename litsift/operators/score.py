@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 from litsift.functions.prompt import build_prompt, prompt_from_head, prompt_head
 from litsift.functions.response import parse_response
 from litsift.functions.text import tokens
-from litsift.operators.common import MAX_BROADCAST_ROWS, bounded_broadcast, materialize, row_count_upto
+from litsift.operators.common import MAX_BROADCAST_BYTES, bounded_broadcast, materialize
 from litsift.session import ship_package
 from litsift.sources.models import CALL_MAX_TOKENS, MODEL_KEYS, model_info
 
-MAX_QUESTIONS_BROADCAST = 50_000
-
 ERR_NO_MODEL = "Error: model '{}' is not supported."
 ERR_NO_ANSWER = "Error: no answer for this request."
 ERR_CALL = "Error from model call: "
@@ -33,18 +31,15 @@ ERR_CALL = "Error from model call: "
 
 # ---- J6: requests -----------------------------------------------------------------------
 
-def pair_requests(papers: DataFrame, questions: DataFrame,
-                  max_broadcast: int = MAX_QUESTIONS_BROADCAST) -> DataFrame:
+def pair_requests(papers: DataFrame, questions: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One request per (paper, question) -- every pair is scored, as in the reference
     (one model call per pair), so the output is papers x questions by definition.
 
-    The question list is configuration, small next to the papers: it is broadcast after a
-    bounded row count, so papers are never shuffled. A list longer than ``max_broadcast``
-    is not broadcast; Spark then runs a partition-blocked cartesian product.
+    The question list is configuration, small next to the papers: it is broadcast if its
+    measured bytes are within ``max_bytes``, so papers are never shuffled. Beyond that Spark
+    runs a partition-blocked cartesian product.
     """
-    n = row_count_upto(questions, max_broadcast)
-    q = F.broadcast(questions) if n <= max_broadcast else questions
-    return papers.crossJoin(q)
+    return papers.crossJoin(bounded_broadcast(questions, max_bytes))
 
 
 def request_heads(papers: DataFrame, id_col: str = "arxiv_id") -> DataFrame:
@@ -251,7 +246,7 @@ def lexical_pair_scores(papers: DataFrame, questions: DataFrame, id_col: str = "
     papers are never shuffled before the partial aggregation collapses them to at most one
     row per (paper, question).
     """
-    qt, _ = bounded_broadcast(question_tokens(questions), MAX_BROADCAST_ROWS)
+    qt = bounded_broadcast(question_tokens(questions))
     hits = paper_tokens(papers, id_col).join(qt, "tok")
     pair = hits.groupBy("arxiv_id", "question_id").agg(F.count(F.lit(1)).alias("overlap"),
                                                        F.max("n_q").alias("n_q"))
@@ -290,6 +285,25 @@ def mean_score(scores: DataFrame, errors: str = "zero") -> DataFrame:
     return scores.groupBy("arxiv_id").agg(F.avg(value).alias("score"))
 
 
+def answer_means(papers: DataFrame, questions: DataFrame, responses: DataFrame, model_key: str, errors: str = "zero",
+                 id_col: str = "arxiv_id") -> DataFrame:
+    """J9 + A1 without the pairs: each paper's mean over all questions from the answers that
+    are there. A question without an answer adds 0 (``'zero'``) or nothing (``'skip'``), so
+    only stored answers are parsed and summed, and no (paper, question) row is made."""
+    ids = papers.select(F.col(id_col).alias("arxiv_id")).distinct()
+    asked = questions.select(F.col("question_id").cast("long").alias("question_id")).distinct()
+    n = asked.count()
+    answered = responses.where(F.col("model_key") == model_key).join(bounded_broadcast(asked), "question_id")
+    each = join_responses(answered.select("arxiv_id", "question_id").distinct(), answered, model_key)
+    ok = ~F.col("error") & F.col("parse_error").isNull()
+    value = F.when(ok, F.col("relevance_score")) if errors == "skip" else F.col("relevance_score")
+    if errors not in ("zero", "skip"):
+        raise ValueError("errors must be 'zero' or 'skip'")
+    sums = each.groupBy("arxiv_id").agg(F.sum(value).alias("total"), F.count(value).alias("given"))
+    mean = F.coalesce(F.col("total"), F.lit(0.0)) / F.lit(max(n, 1)) if errors == "zero" else F.col("total") / F.nullif("given", F.lit(0))
+    return ids.join(sums, "arxiv_id", "left").select("arxiv_id", mean.alias("score"))
+
+
 def token_usage(scores: DataFrame, models: DataFrame, by_model: bool = False) -> DataFrame:
     """A2 + A3: token totals and estimated cost (prices per 1M tokens). Absent counts add 0;
     calls of an unknown model add tokens but no cost."""

@@ -489,6 +489,39 @@ def q_lookup_cascade(spark, sf):
     return t.select("paper_key", "entry_id", "rank", "tier", _r(F.col("sim")).alias("sim"))
 
 
+# ---- J4, D3, W1 over titles as pages give them -------------------------------------------------------------
+def _text_sql(tag: str) -> str:
+    x = f"split_part(split_part(html, '<{tag}>', 2), '</{tag}>', 1)"
+    for name, sign in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("amp", "'&'")):
+        x = f"replace({x}, '&{name};', {sign})"
+    return x
+
+
+PAGE_PAPERS_SQL = f"SELECT CAST(page_id AS VARCHAR) AS paper_key, {_text_sql('h1')} AS title, split_part(url, '/', 3) AS authors FROM pages"
+PAGE_CATALOGUE_SQL = (f"SELECT 'catalogue/' || CAST(page_id AS VARCHAR) AS entry_id, CAST(page_id AS VARCHAR) AS doc_key, "
+                      f"{_text_sql('title')} AS title, [split_part(url, '/', 3)] AS authors FROM pages")
+
+
+@query("lookup_pages", f"""
+WITH p AS ({PAGE_PAPERS_SQL}), c AS ({PAGE_CATALOGUE_SQL}),{_cascade_sql('p', 'c', True)}
+SELECT paper_key, entry_id, rank, tier, round(sim, {ROUND}) AS sim FROM cascade
+""")
+def q_lookup_pages(spark, sf):
+    """Papers are articles by their heading, the catalogue has pages by their title."""
+    from litsift.functions import markup
+    pages = B.spread(B.table(spark, sf, "pages"))
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    papers = extract.extract_articles(pages.select(F.col("page_id").cast("string").alias("paper_key"), host.alias("host"), F.col("html").alias("body_html")),
+                                      keep=["paper_key", "host"], heading="h1", title_in_link=False).select("paper_key", "title", F.col("host").alias("authors"))
+    parsed = pages.select("page_id", host.alias("host"), markup.tokens("html").alias("tokens"))
+    parsed = parsed.select("*", markup.elements("tokens", ["title"]).alias("els"))
+    title = markup.trim_spaces(markup.text_of(markup.within(F.col("tokens"), F.get("els", F.lit(0)))))
+    key = F.col("page_id").cast("string")
+    catalogue = parsed.select(F.concat(F.lit("catalogue/"), key).alias("entry_id"), key.alias("doc_key"), title.alias("title"), F.array("host").alias("authors"))
+    t = lookup.lookup_cascade(papers, catalogue, K, ("paper_key", "doc_key"))
+    return t.select("paper_key", "entry_id", "rank", "tier", _r(F.col("sim")).alias("sim"))
+
+
 BENCH_PAPERS_SQL = (f"SELECT CAST(item_id AS VARCHAR) AS paper_key, item_id, "
                     f"{O.clean_title(O.first_line('text'))} AS title, '' AS authors FROM benchmark")
 
@@ -524,6 +557,15 @@ def q_lookup_misses(spark, sf):
     return lookup.lookup_counts(p, m)
 
 
+# ---- D2 over whole texts ---------------------------------------------------------------------------------
+@query("dedup_text", """
+SELECT doc_id, md5(text) AS title_md5 FROM documents QUALIFY text IS NULL OR row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1
+""")
+def q_dedup_text(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", F.col("text").alias("title"))
+    return dedup.dedup_by_title(docs, order=["doc_id"]).select("doc_id", F.md5("title").alias("title_md5"))
+
+
 # ---- D1, D2: dedup ----------------------------------------------------------------------------------
 @query("dedup_id", f"""
 WITH p AS (SELECT page_id,
@@ -693,9 +735,7 @@ def q_score_errors(spark, sf):
 SELECT arxiv_id, round(avg(relevance_score), {ROUND}) AS score FROM ({LABEL_SCORES_SQL}) GROUP BY arxiv_id
 """)
 def q_answer_means(spark, sf):
-    req = score.pair_requests(_papers(spark, sf).select("arxiv_id"), _questions(spark, sf).select("question_id"))
-    s = score.join_responses(req, _label_answers(spark, sf), MODEL)
-    m = score.mean_score(s, errors="zero")
+    m = score.answer_means(_papers(spark, sf), _questions(spark, sf), _label_answers(spark, sf), MODEL)
     return m.select("arxiv_id", _r(F.col("score")).alias("score"))
 
 
@@ -727,19 +767,38 @@ SELECT model_key, CAST(n_calls AS BIGINT) AS n_calls, CAST(tp AS BIGINT) AS tota
 FROM g
 """)
 def q_usage_cost(spark, sf):
+    u = score.token_usage(_calls(spark, sf), models_df(spark), by_model=True)
+    return u.select("model_key", "n_calls", "total_prompt_tokens", "total_completion_tokens", "total_tokens",
+                    _r(F.col("estimated_cost"), 9).alias("estimated_cost"))
+
+
+def _calls(spark, sf):
+    """Answers as model calls: text lengths as tokens, models in turn."""
     conv = B.table(spark, sf, "conversations")
     a = conv.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("a_text"))
     u = conv.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"),
                                                    F.col("text").alias("u_text"))
     cyc = F.array(*[F.lit(m) for m in MODEL_CYCLE])
-    calls = a.join(u, ["conv_id", "turn"], "left").select(
+    return a.join(u, ["conv_id", "turn"], "left").select(
         F.element_at(cyc, (F.col("conv_id") % len(MODEL_CYCLE) + 1).cast("int")).alias("model_key"),
         F.length("u_text").cast("long").alias("prompt_tokens"),
         F.length("a_text").cast("long").alias("completion_tokens"),
         (F.length("u_text") + F.length("a_text")).cast("long").alias("total_tokens"))
-    u = score.token_usage(calls, models_df(spark), by_model=True)
-    return u.select("model_key", "n_calls", "total_prompt_tokens", "total_completion_tokens", "total_tokens",
-                    _r(F.col("estimated_cost"), 9).alias("estimated_cost"))
+
+
+@query("usage_total", f"""
+WITH calls AS (
+  SELECT [{', '.join(O.q(m) for m in MODEL_CYCLE)}][a.conv_id % {len(MODEL_CYCLE)} + 1] AS model_key,
+         CAST(length(u.text) AS BIGINT) AS prompt_tokens, CAST(length(a.text) AS BIGINT) AS completion_tokens
+  FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'
+  WHERE a.role = 'assistant')
+SELECT count(*) AS n_calls, CAST(sum(coalesce(prompt_tokens, 0)) AS BIGINT) AS total_prompt_tokens,
+       CAST(sum(completion_tokens) AS BIGINT) AS total_completion_tokens, CAST(sum(coalesce(prompt_tokens + completion_tokens, 0)) AS BIGINT) AS total_tokens,
+       round(sum(coalesce(coalesce(prompt_tokens, 0) * price_in / 1e6 + completion_tokens * price_out / 1e6, 0.0)), {ROUND}) AS estimated_cost
+FROM calls c LEFT JOIN {_models_sql()} ON m.model_key = c.model_key
+""")
+def q_usage_total(spark, sf):
+    return score.token_usage(_calls(spark, sf), models_df(spark)).withColumn("estimated_cost", _r(F.col("estimated_cost")))
 
 
 # ---- A6: last write wins ------------------------------------------------------------------------------------
@@ -815,7 +874,7 @@ FROM p LEFT JOIN ms USING (arxiv_id)
 ORDER BY ms.score DESC NULLS LAST, p.arxiv_id LIMIT {TOP_N}
 """)
 def q_rank_top10(spark, sf):
-    t = rank.top_papers(rank.attach_scores(_papers(spark, sf), _mean_scores(spark, sf)), TOP_N)
+    t = rank.top_of(_papers(spark, sf), _mean_scores(spark, sf), TOP_N)
     return t.select("rank", "arxiv_id", "title", _r(F.col("score")).alias("score"), "score_str")
 
 
@@ -827,6 +886,22 @@ def q_show_papers(spark, sf):
     return rank.show_paper(_papers(spark, sf)).select("arxiv_id", "title", "authors", "venue")
 
 
+# ---- S3: CSV ----------------------------------------------------------------------------------------------------
+@query("papers_csv", f"""
+SELECT arxiv_id, title, md5(abstract) AS abstract_md5, authors, array_to_string(list_concat(categories, [venue]), ', ') AS categories FROM ({O.PAPERS})
+""")
+def q_papers_csv(spark, sf):
+    """Whole texts with line breaks and quotes, and arrays joined, through CSV files."""
+    from litsift.session import scratch_path
+    from litsift.sources.papers import write_papers
+    path = scratch_path(spark, "papers-csv")
+    p = _papers(spark, sf).select("arxiv_id", "title", "authors", F.to_json(F.struct("abstract")).alias("abstract"),
+                                  F.concat("categories", F.array("venue")).alias("categories"))
+    write_papers(p, path, fmt="csv")
+    back = spark.read.option("header", "true").csv(path)
+    return back.select("arxiv_id", "title", F.md5(F.get_json_object("abstract", "$.abstract")).alias("abstract_md5"), "authors", "categories")
+
+
 SHOWN = ["0", "7", "42", "133", "500", "4711", "9999", "no such paper"]
 
 

@@ -50,13 +50,13 @@ def analyze(papers: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
     answers are joined (J9); with neither the lexical scorer (U2) is used.
     """
     valid, _rejected = filters.split_valid(papers)
-    if scorer_factory is not None or responses is not None:
-        req = score.pair_requests(valid, questions)
-        if scorer_factory is not None and answers_path:
+    if scorer_factory is not None:  # the paper's part of its prompts is built once
+        req = score.pair_requests(score.request_heads(valid), questions)
+        if answers_path:
             return score.score_and_store(req, scorer_factory, model, answers_path)
-        if scorer_factory is not None:
-            return score.score_with(req, scorer_factory, model)
-        return score.join_responses(req, responses, model)
+        return score.score_with(req, scorer_factory, model)
+    if responses is not None:
+        return score.join_responses(score.pair_requests(valid.select("arxiv_id"), questions.select("question_id")), responses, model)
     shared = score.lexical_pair_scores(valid, questions).select("arxiv_id", F.col("question_id").alias("_qid"), "relevance_score")
     every = score.pair_requests(valid.select("arxiv_id"), questions.select("question_id"))
     pairs = every.join(shared.withColumnRenamed("_qid", "question_id"), ["arxiv_id", "question_id"], "left") \
@@ -91,7 +91,7 @@ def triage(raw_papers: DataFrame, catalogue: DataFrame, questions: DataFrame, mo
     scored = rank.attach_scores(papers, means)
     return TriageResult(
         ranked=rank.rank_papers(scored),
-        top=rank.top_papers(scored, n),
+        top=rank.top_of(papers, means, n),
         scores=scores,
         usage=score.token_usage(scores, models_df(raw_papers.sparkSession)),
         misses=lookup.lookup_misses(raw_papers, matches),

@@ -182,14 +182,46 @@ def test_dedup_keeps_rows_without_any_key(spark):
 
 
 def test_fallbacks_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Bytes decide what is broadcast; beyond the bound the results are the same."""
+    from litsift.operators import common
     q = questions_df(spark, ["graph attention networks", "birds and the weather", "vision"])
+    assert common.measured_bytes(q.select("question", F.col("question_id").cast("long"))) == 3 * 8 + 24 + 21 + 6
     want = sorted((r.arxiv_id, r.score) for r in score.lexical_mean_scores(papers(spark), q).collect())
-    monkeypatch.setattr(score, "MAX_BROADCAST_ROWS", 1)
+    tight = lambda df, max_bytes=1: common.bounded_broadcast(df, max_bytes)
+    monkeypatch.setattr(score, "bounded_broadcast", lambda df, max_bytes=1: tight(df))
     got = score.lexical_mean_scores(papers(spark), q)
     assert sorted((r.arxiv_id, r.score) for r in got.collect()) == want
     p = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in p or "BroadcastHashJoin" not in p.split("HashAggregate")[-1]
-    pairs = score.pair_requests(papers(spark), q, max_broadcast=1)
+    pairs = score.pair_requests(papers(spark), q, max_bytes=1)
     assert pairs.count() == 9
     assert "CartesianProduct" in pairs._jdf.queryExecution().executedPlan().toString() or \
         "BroadcastNestedLoopJoin" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_means_without_pairs_are_those_of_all_pairs(spark):
+    q = questions_df(spark, ["a", "b", "c"])
+    answer = lambda s: f"<explanation>x</explanation><score>{s}</score>"
+    rows = [("1", 0, "gpt-4o", answer(5), 1), ("1", 0, "gpt-4o", answer(7), 2), ("1", 1, "gpt-4o", "no score", 1), ("2", 2, "gpt-4o", answer(10), 1),
+            ("2", 9, "gpt-4o", answer(9), 1), ("7", 0, "gpt-4o", answer(9), 1), ("3", 0, "gpt-4o-mini", answer(9), 1)]
+    resp = spark.createDataFrame(rows, "arxiv_id string, question_id long, model_key string, response string, answered_at long")
+    resp = resp.select("*", *[F.lit(None).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")])
+    req = score.pair_requests(papers(spark).select("arxiv_id"), q)
+    for model in ("gpt-4o", "no-such-model"):
+        for errors in ("zero", "skip"):
+            want = score.mean_score(score.join_responses(req, resp, model), errors)
+            got = score.answer_means(papers(spark).unionByName(papers(spark)), q, resp, model, errors)
+            key = lambda df: sorted((r.arxiv_id, None if r.score is None else round(r.score, 9)) for r in df.collect())
+            assert key(got) == key(want), (model, errors)
+            assert "CartesianProduct" not in (p := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in p
+    with pytest.raises(ValueError):
+        score.answer_means(papers(spark), q, resp, "gpt-4o", "mean")
+
+
+def test_top_of_is_the_top_of_all(spark):
+    p = spark.createDataFrame([(str(i % 40), i, "t" * i) for i in range(60)], "arxiv_id string, n int, title string")
+    s = spark.createDataFrame([(str(i), (i * 7 % 10) / 10) for i in range(35)], "arxiv_id string, score double")
+    for n in (0, 3, 12, 38, 100):
+        want = [(r.arxiv_id, r.score) for r in rank.top_papers(rank.attach_scores(p, s), n).collect()]
+        top = rank.top_of(p, s, n)
+        assert [(r.arxiv_id, r.score) for r in top.collect()] == want and len({(r.arxiv_id, r.n) for r in top.collect()}) == len(want)
