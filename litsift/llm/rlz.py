@@ -31,6 +31,7 @@ removed from each. Other columns are not read; they follow as they are if asked
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.llm.common import Memo, carried, groups, map_arrow, once, texts
+from litsift.llm.common import carried, groups, map_arrow, once, texts
 
 WINDOW = 13
 ANCHOR = 5
@@ -61,26 +62,69 @@ def _grams(words: np.ndarray, size: int, row: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-class Parser:
-    """Hashes of words and windows, with a memo of words."""
+#: Which bytes part words, and random numbers for a letter's place in its word and for the letter.
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_PLACES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTERS = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes whose words are hashed at once.
+CHUNK = 500_000
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
 
-    def __init__(self):
-        self.memo = Memo(lambda w: xxhash.xxh64_intdigest(w, 7))
+def _word_hashes(split_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of some text (bytes that end in white space): the sum, over
+    a word's bytes, of its place's number times the byte's, mixed with its length."""
+    space = _SPACE[split_at]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    if not len(start):
+        return np.empty(0, np.uint64), start
+    letters, first = split_at[~space], np.cumsum(size) - size
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    number = _PLACES[place & 0xFFFF] * _LETTERS[letters]
+    if size.max() > 1 << 16:  # further places of very long words
+        number *= _PLACES[(place >> 16) & 0xFFFF]
+    found = np.add.reduceat(number, first)
+    return _mixed(found ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), start
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
+
+class Parser:
+    """Hashes of words and windows."""
+
+    @staticmethod
+    def hashes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes of all rows behind one another, and how many words each row has."""
+        found, counts, at = [np.empty(0, np.uint64)], [np.empty(0, int)], 0
+        while at < len(rows):
+            end, size = at, 0
+            while end < len(rows) and (end == at or size + len(rows[end]) < CHUNK):
+                size += len(rows[end]) + 1
+                end += 1
+            words, start = _word_hashes(np.frombuffer(b"\n".join(rows[at:end]) + b"\n", np.uint8))
+            found.append(words)
+            limits = np.cumsum([len(r) + 1 for r in rows[at:end]])
+            counts.append(np.diff(np.searchsorted(start, limits), prepend=0))
+            at = end
+        return np.concatenate(found), np.concatenate(counts)
 
     def group(self, batch: pa.RecordBatch):
-        """Word hashes of all texts of a batch behind one another, and for each position where a window starts: its document's row."""
-        split = [t.split() for t in texts(batch)]
-        n = np.array([len(s) for s in split])
-        words = self.hashes([w for s in split for w in s])
+        """The texts, their numbers of words, the word hashes of all of them behind one another,
+        and for each position where a window starts: its document's row."""
+        rows = texts(batch)
+        words, n = self.hashes(rows)
         owner = np.repeat(np.arange(len(n)), n)
         last = len(words) - WINDOW + 1
         if last <= 0:
-            return split, words, np.empty(0, int), owner[:0]
+            return rows, n, words, np.empty(0, int), owner[:0]
         at = np.flatnonzero(owner[:last] == owner[WINDOW - 1:])
-        return split, words, at, owner[at]
+        return rows, n, words, at, owner[at]
 
     @staticmethod
     def windows(words: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -235,14 +279,14 @@ def duplicate_windows(own: DataFrame) -> DataFrame:
     def ask_anchors(batches):
         parser = once(Parser)
         for batch in groups(batches, GROUP):
-            _, words, at, owner = parser.group(batch)
+            _, _, words, at, owner = parser.group(batch)
             keys = parser.anchors(words, at)
             yield from _settle(keys, np.zeros(len(keys), np.int32), _column(batch, "doc_id").to_numpy()[owner], True)
 
     def ask_windows(batches):
         parser = once(Parser)
         for batch in groups((b.filter(_column(b, "found").is_valid()) for b in batches), GROUP):
-            _, words, at, owner = parser.group(batch)
+            _, _, words, at, owner = parser.group(batch)
             hit, _ = _marked(parser.anchors(words, at), batch, owner)
             at, owner = at[hit], owner[hit]
             yield from _settle(parser.windows(words, at), parser.checks(words, at), _column(batch, "doc_id").to_numpy()[owner], False)
@@ -283,21 +327,21 @@ def dedup_substrings(docs: DataFrame, carry: bool = False) -> DataFrame:
     def run(batches):
         parser = once(Parser)
         for batch in groups(batches, GROUP):
-            split, words, at, owner = parser.group(batch)
+            rows, n, words, at, owner = parser.group(batch)
             hit, ref = _marked(parser.windows(words, at), batch, owner)
-            ends = np.searchsorted(owner, np.arange(len(split) + 1))
+            ends = np.searchsorted(owner, np.arange(len(rows) + 1))
             kept, removed, spans = [], [], []
-            for row, own_words in enumerate(split):
+            for row, own_words in enumerate(map(bytes.split, rows)):
                 a, b = ends[row], ends[row + 1]
                 factors = parse(hit[a:b], ref[a:b])
                 gone = np.zeros(len(own_words), bool)
-                for start, n, _ in factors:
-                    gone[start:start + n] = True
-                kept.append(b" ".join([w for w, g in zip(own_words, gone.tolist()) if not g] if factors else own_words))
+                for start, size, _ in factors:
+                    gone[start:start + size] = True
+                kept.append(b" ".join(compress(own_words, (~gone).tolist()) if factors else own_words))
                 removed.append(int(gone.sum()))
-                spans.append([{"start": s, "words": n, "reference": r} for s, n, r in factors])
+                spans.append([{"start": f, "words": size, "reference": r} for f, size, r in factors])
             yield pa.RecordBatch.from_arrays(
-                [_column(batch, "doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(s) for s in split], pa.int64()),
+                [_column(batch, "doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()),
                  pa.array(removed, pa.int64()), pa.array(spans, _SPANS), *[_column(batch, c) for c in more]],
                 names=["doc_id", "kept", "n_words", "n_removed", "spans", *more])
 
