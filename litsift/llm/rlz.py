@@ -89,8 +89,8 @@ def _word_hashes(split_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letters, first = split_at[~space], np.cumsum(size) - size
     place = np.arange(len(letters)) - np.repeat(first, size)
     number = _PLACES[place & 0xFFFF] * _LETTERS[letters]
-    if size.max() > 1 << 16:  # further places of very long words
-        number *= _PLACES[(place >> 16) & 0xFFFF]
+    far = np.flatnonzero(place >> 16)  # further places of very long words
+    number[far] *= _PLACES[(place[far] >> 16) & 0xFFFF]
     found = np.add.reduceat(number, first)
     return _mixed(found ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), start
 
