@@ -5,11 +5,12 @@ text's word shingles, repeats included (ASCII lower case, words between ASCII wh
 A text with fewer words than a shingle is one shingle; without words its fingerprint is 0.
 
 Search: two fingerprints within RADIUS = 2 bits agree on at least two of four 16-bit
-quarters. Each distinct fingerprint is a member of six shards, one for each pair of
-quarters, and a shard's members hang in a BK-tree: children are keyed by their Hamming
-distance to the parent, and a query at distance d follows only the edges from d - 2 to
-d + 2. A shard of more than TREE members is cut into trees of about that size and each tree
-is sent to every block of the shard's queries, so no shard meets whole in one task. The
+quarters, and on six of eight bytes. Each distinct fingerprint is a member of six shards,
+one for each pair of quarters. The members of a shard that more than TREE share go into 28
+finer ones instead, one for each six bytes; these leave 16 bits free, so no shard holds more
+than 65,536 fingerprints, however many documents there are. A shard's members hang in a
+BK-tree: children are keyed by their Hamming distance to the parent, and a query at distance
+d follows only the edges from d - 2 to d + 2. Every member queries its shard's tree. The
 links found become at most one edge for each member (union-find within the task), never all
 pairs of a group.
 
@@ -22,26 +23,22 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.llm.common import carried, forget, groups, map_arrow, texts, written
+from litsift.llm.common import carried, groups, map_arrow, texts, written
 from litsift.llm.components import components
-from litsift.session import ship_package
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
-#: Members of one tree, about.
+#: Members of a shard of two quarters, at most; larger ones are cut finer.
 TREE = 4096
-#: Subtrees of so many members are compared as a whole.
-LEAF = 48
 #: Hashes whose bits are unpacked at once.
 CHUNK = 1 << 18
 
@@ -98,29 +95,24 @@ class BKTree:
     def __init__(self, members: np.ndarray):
         self.members = members
         self.root = self._grow(np.arange(len(members)))
+        #: Edges that queries have followed.
+        self.followed = 0
 
-    def _grow(self, at: np.ndarray):
-        if len(at) <= LEAF:
-            return at
+    def _grow(self, at: np.ndarray) -> tuple[int, dict]:
+        """A node: the place of its member, and its children by their distance to it."""
         away = np.bitwise_count(self.members[at[1:]] ^ self.members[at[0]])
         order = np.argsort(away, kind="stable")
-        rest, away = at[1:][order], away[order]
-        keys, first = np.unique(away, return_index=True)
-        return at[0], {int(k): self._grow(part) for k, part in zip(keys, np.split(rest, first[1:]))}
+        rest = at[1:][order]
+        keys, first = np.unique(away[order], return_index=True)
+        return int(at[0]), {int(k): self._grow(part) for k, part in zip(keys, np.split(rest, first[1:]))}
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) positions of all pairs at most ``radius`` bits apart."""
+        """(query, member) positions of all pairs at most ``radius`` bits apart. All queries
+        walk the tree together, each along its own edges."""
         found_q, found_m = [], []
         todo = [(self.root, np.arange(len(queries)))]
         while todo:
-            node, who = todo.pop()
-            if isinstance(node, np.ndarray):
-                away = np.bitwise_count(queries[who][:, None] ^ self.members[node][None, :])
-                q, m = np.nonzero(away <= radius)
-                found_q.append(who[q])
-                found_m.append(node[m])
-                continue
-            here, children = node
+            (here, children), who = todo.pop()
             away = np.bitwise_count(queries[who] ^ self.members[here]).astype(np.int16)
             near = who[away <= radius]
             found_q.append(near)
@@ -128,6 +120,7 @@ class BKTree:
             for key, child in children.items():
                 follow = who[np.abs(away - key) <= radius]
                 if len(follow):
+                    self.followed += len(follow)
                     todo.append((child, follow))
         return np.concatenate(found_q), np.concatenate(found_m)
 
@@ -147,48 +140,66 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _shard_edges(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Edges among one tree's members and one block of the shard's queries."""
-    tree = pdf.loc[pdf["in_tree"], "fp"].to_numpy().view(np.uint64)
-    query = pdf.loc[pdf["asks"], "fp"].to_numpy().view(np.uint64)
-    if not len(tree) or not len(query):
-        return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
-    q, m = BKTree(tree).within(query, radius)
-    nodes, at = np.unique(np.concatenate([tree, query]), return_inverse=True)
-    root = _stars(len(nodes), at[len(tree) + q], at[m])
-    moved = root != np.arange(len(nodes))
-    return pd.DataFrame({"u": nodes[moved].view(np.int64), "v": nodes[root[moved]].view(np.int64)})
+def _shard_edges(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges among a shard's members (as many as have a smaller one in reach, at most)."""
+    q, m = BKTree(members).within(members, radius)
+    root = _stars(len(members), q, m)
+    moved = root != np.arange(len(members))
+    return members[moved], members[root[moved]]
+
+
+def _trees(radius: int):
+    """For ``map_arrow``: rows (shard, bits, fp) sorted by shard and bits -> edges (u, v)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, members = None, []
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close():
+            if members:
+                edges.append(_shard_edges(np.concatenate(members).view(np.uint64), radius))
+
+        for batch in batches:
+            a, b, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            new = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            for first, last in zip([0, *new], [*new, len(a)]):
+                if (a[first], b[first]) != shard:
+                    close()
+                    shard, members = (a[first], b[first]), []
+                members.append(fp[first:last])
+            if edges:
+                yield _edge_rows(edges)
+                edges.clear()
+        close()
+        yield _edge_rows(edges)
+
+    return run
+
+
+def _edge_rows(edges: list) -> pa.RecordBatch:
+    columns = [np.concatenate([e[i] for e in edges]).view(np.int64) if edges else np.empty(0, np.int64) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v"])
+
+
+def _shards(members: DataFrame, pieces: int, equal: int) -> DataFrame:
+    """shard, bits, fp: each member once for each ``equal`` of its ``pieces``; shards of one are left out."""
+    width = 64 // pieces
+    ways = list(combinations(range(pieces), equal))
+    masks = [sum(((1 << width) - 1) << (width * p) for p in way) for way in ways]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keys = [F.struct(F.lit(i).alias("shard"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for i, m in enumerate(masks)]
+    placed = members.select("fp", F.explode(F.array(*keys)).alias("s")).select("s.shard", "s.bits", "fp")
+    sizes = placed.groupBy("shard", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return placed.join(sizes, ["shard", "bits"])
 
 
 def links(members: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``(u, v)`` that join all fingerprints of ``members(fp)`` (distinct) at most ``radius`` bits apart."""
     if radius != RADIUS:
-        raise ValueError("two of four quarters agree for a radius of 2 only")
-    ship_package(members.sparkSession)
-    quarter = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    shards = [F.struct(F.lit(16 * i + j).alias("pair"), (F.shiftleft(quarter[i], 16).bitwiseOR(quarter[j])).alias("bits"))
-              for i in range(4) for j in range(i + 1, 4)]
-    placed = members.select("fp", F.explode(F.array(*shards)).alias("s")).select("fp", "s.pair", "s.bits")
-    sizes = placed.groupBy("pair", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = (placed.join(sizes, ["pair", "bits"])
-           .withColumn("trees", F.ceil(F.col("n") / TREE).cast("int"))
-           .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")))
-    # Tree b is asked by the blocks a >= b: every pair of members meets once.
-    sent = (cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-            .select("pair", "bits", "fp", F.least("own", "other").alias("b"), F.greatest("own", "other").alias("a"), "own", "n"))
-    rows = sent.select("pair", "bits", "a", "b", "fp", (F.col("own") == F.col("b")).alias("in_tree"), (F.col("own") == F.col("a")).alias("asks"))
-
-    # Shards of two need no tree: they are compared by the engine.
-    pairs = (sent.where("n = 2").groupBy("pair", "bits").agg(F.min("fp").alias("u"), F.max("fp").alias("v"))
-             .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        forget(__name__)
-        return _shard_edges(pdf, radius)
-
-    trees = (rows.join(sizes.where("n > 2").select("pair", "bits"), ["pair", "bits"])
-             .groupBy("pair", "bits", "a", "b").applyInPandas(run, "u long, v long"))
-    return pairs.unionByName(trees)
+        raise ValueError("two of four quarters and six of eight bytes agree for a radius of 2 only")
+    coarse = _shards(members, 4, 2)
+    fine = _shards(coarse.where(F.col("n") > TREE).select("fp").distinct(), 8, 6)
+    rows = coarse.where(F.col("n") <= TREE).unionByName(fine.withColumn("shard", F.col("shard") + 6)).select("shard", "bits", "fp")
+    return map_arrow(rows.repartition("shard", "bits").sortWithinPartitions("shard", "bits", "fp"), _trees(radius), "u long, v long")
 
 
 def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
