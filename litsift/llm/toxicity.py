@@ -12,11 +12,11 @@ which only the block's own marginals are taken, so a text of any length takes me
 proportion to a group of blocks. Chains of one shape without a marked word share one pass.
 
 Learned from a bounded sample: the SAMPLE labelled rows of each class that come first by a
-hash of their id, at most FEATURES features and SEGMENTS chains of them (drawn apart with
-and without a marked word, and weighted by what they stand for); held-out ids
-(crc32 of the id modulo 5 is 0) are never used. A feature's counts are of distinct texts of
-a class, so copies count once; every feature that passes SIGNIFICANT and ODDS is kept, up to
-FEATURES. Every document's whole text is scored.
+hash of their id, and at most SEGMENTS chains of them (drawn apart with and without a marked
+word, and weighted by what they stand for); held-out ids (crc32 of the id modulo 5 is 0) are
+never used. A feature's counts are of distinct texts of a class, so copies count once; every
+feature that passes SIGNIFICANT and ODDS is kept (the sample bounds how many can). Every
+document's whole text is scored.
 
 Defined results: a null or empty text has no tokens and is scored as such. A document with
 several labels is toxic if one says so; null labels are not used. Without labelled rows of
@@ -38,8 +38,6 @@ from litsift.llm.common import Memo, groups, held_out, map_arrow, written
 
 #: Labelled rows of each class that are learned from, at most.
 SAMPLE = 5000
-#: Features that are kept, at most.
-FEATURES = 5000
 #: Chains that the field is fitted to, at most.
 SEGMENTS = 6_000
 CHAIN = 64
@@ -233,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
                .agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
                .withColumn("odds", F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1)))
                .withColumn("ratio", ratio).where((F.col("odds") > ODDS) & (F.col("ratio") >= SIGNIFICANT)))
-    best = counted.orderBy(F.desc("ratio"), "feature").limit(FEATURES).select("feature", "odds").collect()
+    best = counted.select("feature", "odds").collect()  # of the words of 2 * SAMPLE documents
     field.levels = {r.feature: int(min(LEVELS, 1 + np.floor(1.5 * (r.odds - ODDS)))) for r in best}
     if not field.levels:
         return field
