@@ -30,7 +30,7 @@ from litsift.session import ship_package
 PROFILE = 400
 #: Learned languages, at most: bounds the profiles that go to every worker.
 MAX_LANGUAGES = 1000
-#: Texts are read in blocks of so many characters; a word across a block's edge counts as two.
+#: Texts are read in blocks of so many characters, and on to the end of the word there.
 BLOCK = 1 << 20
 #: Merge a worker's counts when so many n-grams wait.
 PENDING = 2_000_000
@@ -48,9 +48,12 @@ def _is_letter() -> np.ndarray:
 
 def ngrams(text: str) -> np.ndarray:
     """The codes (21 bits a letter) of all n-grams of a text, repeats included."""
-    found = []
-    for at in range(0, len(text), BLOCK):
-        low = text[at:at + BLOCK].lower().encode("utf-32-le", "surrogatepass")
+    found, end = [], 0
+    while end < len(text):
+        at, end = end, min(end + BLOCK, len(text))
+        while end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+            end += 1
+        low = text[at:end].lower().encode("utf-32-le", "surrogatepass")
         a = np.frombuffer(low, np.uint32)
         letter = _is_letter()[a]
         if not letter.any():

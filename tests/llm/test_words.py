@@ -29,3 +29,14 @@ def test_word_hashes_of_chunks_are_those_of_all(monkeypatch):
     parts = rlz.Parser.hashes(rows)
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
     assert [len(x) for x in rlz.Parser.hashes([])] == [0, 0] and [list(x) for x in rlz.Parser.hashes([b"", b"\n"])] == [[], [0, 0]]
+
+
+def test_ngrams_do_not_depend_on_blocks(monkeypatch):
+    from litsift.llm import langid
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcßéİ") for _ in range(rng.randrange(1, 60))) for _ in range(300)) + " " + "x" * 500
+    whole = sorted(langid.ngrams(text).tolist())
+    for block in (1, 7, 64, 1000):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert sorted(langid.ngrams(text).tolist()) == whole
+    assert len(langid.ngrams("")) == 0
