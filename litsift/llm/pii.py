@@ -4,11 +4,11 @@ A text goes through a chain of transducers. Each rewrites some spans of its inpu
 for every character of its output the span of source characters that it stands for:
 
 1. characters: look-alikes, compatibility forms and foreign digits become ASCII, invisible
-   characters go;
-2. spelled digits become digits (``four one`` -> ``41``, ``double five`` -> ``55``, ``plus
-   one`` -> ``+1``), the blanks between them go;
+   characters go, references and escapes of ``@`` and ``.`` become these;
+2. digits: ``O`` and ``l`` within a number, spelled digits (``four one`` -> ``41``, ``double
+   five`` -> ``55``, ``plus one`` -> ``+1``), the blanks between them go;
 3. disguised signs become signs: ``[at]``, ``(dot)``, `` at `` and `` dot `` as words, blanks
-   around ``@`` and ``.`` within an address, ``dot`` and ``point`` between numbers.
+   around ``@`` and ``.`` within an address or between numbers.
 
 The same detectors read the source (base finds) and the chain's output; spans found there
 are mapped back to source characters. Base finds stay. A mapped span is added if anything
@@ -54,7 +54,7 @@ LOOKALIKES = {
 # Characters without a width of their own.
 HIDDEN = "­​‌‍‎‏⁠﻿"
 # Digit words in the languages of the corpus, from 0 to 9.
-DIGITS = ("zero null cero zéro", "one eins uno un", "two zwei zwo dos deux", "three drei tres trois", "four vier cuatro quatre",
+DIGITS = ("zero null cero zéro oh", "one eins uno un", "two zwei zwo dos deux", "three drei tres trois", "four vier cuatro quatre",
           "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")
 # Words for repeated digits and for signs.
 TIMES = {"double": 2, "triple": 3}
@@ -72,15 +72,20 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 NUMBER = re.compile(rf"(?<!\w){WORD}(?:(?:{BLANK}(?:(?:{DOT}){BLANK})?|[-.]){WORD})++", re.I)
-SINGLE = re.compile(rf"(?:(?<=dot )|(?<=point )){WORD}|(?<!\w){WORD}(?={BLANK}(?:dot|point){BLANK}[0-9])", re.I)
+SINGLE = re.compile(rf"(?:(?<=dot )|(?<=point )|(?<=plus )){WORD}|(?<!\w){WORD}(?={BLANK}(?:dot|point){BLANK}[0-9])", re.I)
 UNIT = re.compile(WORD, re.I)
 PLUS = re.compile(rf"(?<!\w)plus{BLANK}(?=[0-9])", re.I)
 BRACKET = re.compile(rf"[\[({{<][ \t]?(?:({AT})|({DOT}|\.))[ \t]?[\])}}>]", re.I)
-SPOKEN_AT = re.compile(rf"(?<![ \t]){BLANK}({AT}){BLANK}(?=({LABEL}(?:\.{LABEL})++)(?!{BLANK}(?:{DOT}){BLANK}{LABEL})|{LABEL}(?:\.{LABEL})*+{BLANK}(?:{DOT}){BLANK}{LABEL})", re.I)
-SPOKEN_HOST = re.compile(rf"@{LABEL}(?:(?:{BLANK}(?:{DOT}){BLANK}|\.){LABEL})++", re.I)
-SPOKEN_DOT = re.compile(rf"{BLANK}(?:{DOT}){BLANK}", re.I)
+PART = rf"(?:{BLANK}(?:{DOT}|\.(?=[ \t]++(?-i:[a-z]))){BLANK}|_(?:{DOT})_)"  # a bare point ends sentences, too
+SPOKEN_AT = re.compile(rf"(?:(?<![ \t]){BLANK}({AT}){BLANK}|_(at)_|(?<=[A-Za-z0-9])(@){BLANK})"
+                       rf"(?=({LABEL}(?:\.{LABEL})++)(?!{PART}{LABEL})|{LABEL}(?:\.{LABEL})*+({PART}){LABEL})", re.I)
+SPOKEN_HOST = re.compile(rf"@{LABEL}(?:(?:{PART}|\.){LABEL})++", re.I)
+SPOKEN_DOT = re.compile(PART, re.I)
 DOT_BEFORE = re.compile(rf"(?:{DOT})\Z", re.I)
-BETWEEN_NUMBERS = re.compile(rf"(?<=[0-9]){BLANK}(?:{DOT}){BLANK}(?=[0-9])", re.I)
+BETWEEN_NUMBERS = re.compile(rf"(?<=[0-9]){BLANK}(?:{DOT}|\.){BLANK}(?=[0-9])", re.I)
+ESCAPE = re.compile(r"&(?:#64|#x40|commat);|%40|(&(?:#46|#x2e|period);|%2e)", re.I)
+LETTERED = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])[0-9OolI]++(?![A-Za-z0-9])")
+LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1"}
 
 Span = tuple[int, int]
 Rewrite = tuple[int, int, str]
@@ -162,6 +167,19 @@ def characters(text: str) -> Iterator[Rewrite]:
             yield m.start(), m.end(), PLAIN[m.group()]
 
 
+def escapes(text: str) -> Iterator[Rewrite]:
+    for m in ESCAPE.finditer(text):
+        yield m.start(), m.end(), "." if m.group(1) else "@"
+
+
+def lettered(text: str) -> Iterator[Rewrite]:
+    """Letters that stand for digits, in words of digits and such letters."""
+    for m in LETTERED.finditer(text):
+        for i, c in enumerate(m.group(), m.start()):
+            if c in LETTERS:
+                yield i, i + 1, LETTERS[c]
+
+
 def numbers(text: str) -> Iterator[Rewrite]:
     """Runs of words for three digits and more, or of two around a spoken dot, word by word. A
     single word counts beside a dot and a number only: ``un 4111...`` is not one number."""
@@ -211,9 +229,13 @@ def spoken_at(text: str) -> Iterator[Rewrite]:
     for m in SPOKEN_AT.finditer(text):
         start = m.start()
         name = text[_local(text, start, done):start]
-        host = m.group(2)  # None if a spoken dot is in it
-        real = host and host.rpartition(".")[2][0].isalpha() and any(map(str.isalpha, name)) and (m.group(1) == "@" or not name.isalpha())
-        if name and name[-1] != "." and (real or not host):
+        host, part = m.group(4), m.group(5)  # a host with real points, or its first point that is none
+        sure = m.group(1) == "@" or m.group(3) or not name.isalpha()
+        if host:
+            sure = sure and host.rpartition(".")[2][0].isalpha() and any(map(str.isalpha, name))
+        elif part.strip(" \t") != ".":
+            sure = True
+        if name and name[-1] != "." and sure:
             yield start, m.end(), "@"
         done = m.end()
 
@@ -250,7 +272,7 @@ def _dot_before(text: str, end: int, least: int) -> int | None:
 
 
 #: The chain: each reads what the one before it wrote.
-CHAIN: tuple[Callable[[str], Iterator[Rewrite]], ...] = (characters, numbers, plus, brackets, spoken_at, spoken_dots)
+CHAIN: tuple[Callable[[str], Iterator[Rewrite]], ...] = (characters, escapes, lettered, numbers, plus, brackets, spoken_at, spoken_dots)
 
 
 class Traced:

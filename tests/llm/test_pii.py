@@ -78,6 +78,15 @@ HIDING = [
     ("card", "four one one one " + "one " * 11 + "one", "4111111111111111"),
     ("card", "four triple one 1111 1111 1111", "4111 1111 1111 1111"),
     ("card", "4111​1111 1111‐1111", "41111111 1111-1111"),
+    ("email", "john&#64;example&#46;com", "john@example.com"),
+    ("email", "john%40example.com", "john@example.com"),
+    ("email", "john@ example.com", "john@example.com"),
+    ("email", "john_at_example_dot_com", "john@example.com"),
+    ("email", "j.doe @ example . com", "j.doe@example.com"),
+    ("phone", "plus one (five five five) one two three four five six seven", "+1 (555) 1234567"),
+    ("phone", "+1 (743) 555-38O4", "+1 (743) 555-3804"),
+    ("card", "4ll1 1111 1lll 1111", "4111 1111 1111 1111"),
+    ("ip", "10 . 0 . 0 . 7", "10.0.0.7"),
     ("ip", "one nine two dot one six eight dot one dot one", "192.168.1.1"),
     ("ip", "192 dot 168 dot 1 dot one", "192.168.1.1"),
     ("ip", "10[.]0[.]0[.]7", "10.0.0.7"),
@@ -95,7 +104,8 @@ def test_disguises_are_found_where_they_stand(kind, hidden, plain):
 
 @pytest.mark.parametrize("text", [
     "look at example.com", "meet us at noon dot", "one at a time. Two dot three", "un 4994226020900891 deux", "I bought two or three (at) home.",
-    "Étion dans, çouelle un éonierç le ch trement", "at dot at dot at", "x² + y² — 50 % at 3.5", "zero one", "плюс один"])
+    "Étion dans, çouelle un éonierç le ch trement", "at dot at dot at", "x² + y² — 50 % at 3.5", "zero one", "плюс один", "Oh no. I see l0 of 10 . Then", "snake_at_case and do_dot_it",
+    "&amp; &#46; %40 of all", "write x@example . Then go", "she is at home . com"])
 def test_prose_stays_as_it_is(text):
     assert added(text) == []
 
@@ -112,7 +122,7 @@ def test_finds_map_back_to_what_stands_for_them():
             assert again.text == value or was_base or value in again.text
 
 
-@pytest.mark.parametrize("part", ["a", "1", " ", "a.b@", "one ", "a dot ", "+1", "1.", " at a", "(at", "plus ", "@a dot ", "٣", "1 dot ", "one dot "])
+@pytest.mark.parametrize("part", ["a", "1", " ", "a.b@", "one ", "a dot ", "+1", "1.", " at a", "(at", "plus ", "@a dot ", "٣", "1 dot ", "one dot ", "O0l", "_at_", "%40a", "@ a", "a . ", "1 . "])
 def test_time_grows_with_the_length(part):
     def took(n):
         text = part * (n // len(part)) + "@x.com"
