@@ -31,6 +31,7 @@ import bisect
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,11 @@ BETWEEN_NUMBERS = re.compile(rf"(?<=[0-9]){BLANK}(?:{DOT}|\.){BLANK}(?=[0-9])",
 ESCAPE = re.compile(r"&(?:#64|#x40|commat);|%40|(&(?:#46|#x2e|period);|%2e)", re.I)
 LETTERED = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])[0-9OolI]++(?![A-Za-z0-9])")
 LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+# What a text must hold before a step looks for more: words by kind (d digit, t times, p point).
+DIGIT = re.compile("[0-9]")
+ALPHA = re.compile(r"[^\W\d_]+")
+KIND = dict.fromkeys(VALUE, "d") | dict.fromkeys(TIMES, "t") | dict.fromkeys(DOT.split("|"), "p") | {"plus": "+"}
+RUNS, ALONE = re.compile("dp?t?d"), re.compile(r"[p+]t?d|dp")
 
 Span = tuple[int, int]
 Rewrite = tuple[int, int, str]
@@ -135,9 +141,9 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     found = []
     if "@" in text:
         found += [(0, *span) for span in emails(text)]
-    found += [(1, *span) for span in ips(text)]
-    found += [(2, *span) for span in cards(text)]
-    if "+" in text:
+    if DIGIT.search(text):
+        found += [(1, *span) for span in ips(text)]
+        found += [(2, *span) for span in cards(text)]
         found += [(3, *span) for span in phones(text)]
     return found
 
@@ -168,12 +174,16 @@ def characters(text: str) -> Iterator[Rewrite]:
 
 
 def escapes(text: str) -> Iterator[Rewrite]:
+    if "&" not in text and "%4" not in text and "%2" not in text:
+        return
     for m in ESCAPE.finditer(text):
         yield m.start(), m.end(), "." if m.group(1) else "@"
 
 
 def lettered(text: str) -> Iterator[Rewrite]:
     """Letters that stand for digits, in words of digits and such letters."""
+    if not DIGIT.search(text):
+        return
     for m in LETTERED.finditer(text):
         for i, c in enumerate(m.group(), m.start()):
             if c in LETTERS:
@@ -184,7 +194,8 @@ def numbers(text: str) -> Iterator[Rewrite]:
     """Runs of words for three digits and more, or of two around a spoken dot, word by word. A
     single word counts beside a dot and a number only: ``un 4111...`` is not one number."""
     changes, runs = [], []
-    for m in NUMBER.finditer(text):
+    kinds = "".join(map(KIND.get, ALPHA.findall(text.lower()), repeat("-")))
+    for m in NUMBER.finditer(text) if RUNS.search(kinds) else ():
         words = list(UNIT.finditer(text, m.start(), m.end()))
         if sum(len(_digits(w.group())) for w in words) < 3 and not SPOKEN_DOT.search(m.group()):
             continue
@@ -194,7 +205,7 @@ def numbers(text: str) -> Iterator[Rewrite]:
             if after and text[word.end():after.start()].strip(" \t") == "":
                 changes.append((word.end(), after.start(), ""))
     starts = [start for start, _ in runs]
-    for m in SINGLE.finditer(text):
+    for m in SINGLE.finditer(text) if ALONE.search(kinds) else ():
         before = bisect.bisect_right(starts, m.start()) - 1
         if before < 0 or runs[before][1] <= m.start():
             changes.append((m.start(), m.end(), _digits(m.group())))
@@ -207,6 +218,8 @@ def _digits(word: str) -> str:
 
 
 def plus(text: str) -> Iterator[Rewrite]:
+    if not DIGIT.search(text):
+        return
     for m in PLUS.finditer(text):
         yield m.start(), m.end(), "+"
 
@@ -225,7 +238,9 @@ def brackets(text: str) -> Iterator[Rewrite]:
 
 
 def spoken_at(text: str) -> Iterator[Rewrite]:
-    done = 0
+    low, done = text.lower(), 0
+    if not any(x in low for x in (" at ", "\tat", "at\t", "_at_", "arroba", "@")):
+        return
     for m in SPOKEN_AT.finditer(text):
         start = m.start()
         name = text[_local(text, start, done):start]
@@ -242,8 +257,8 @@ def spoken_at(text: str) -> Iterator[Rewrite]:
 
 def spoken_dots(text: str) -> Iterator[Rewrite]:
     """Spoken dots in a host, in the name before its ``@`` and between numbers."""
-    spans, done = [m.span() for m in BETWEEN_NUMBERS.finditer(text)], 0
-    for m in SPOKEN_HOST.finditer(text):
+    spans, done = [m.span() for m in BETWEEN_NUMBERS.finditer(text)] if DIGIT.search(text) else [], 0
+    for m in SPOKEN_HOST.finditer(text) if "@" in text else ():
         spans += [dot.span() for dot in SPOKEN_DOT.finditer(text, m.start(), m.end())]
         start = at = _local(text, m.start(), done)
         while at < m.start() and (dot := _dot_before(text, at, done)):
