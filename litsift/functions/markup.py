@@ -1,4 +1,4 @@
-"""HTML as Spark Columns: a body's tags folded into elements, text and attributes read from them.
+"""HTML as Spark SQL expressions: a body's tags folded into elements, text and attributes read from them.
 
 ``tokens`` splits a body into tags and text by one regular expression; ``elements`` folds the
 tags over a stack of what is open. As a lenient parser does, an end tag closes the nearest
@@ -6,17 +6,15 @@ open element of its name with all that is open inside it, an end tag without one
 the end of the body closes the rest, and nothing is closed by implication. So nested and
 unclosed elements, ``<`` in text and either kind of quotes are read as they stand. All of it
 are JVM expressions on one row a body.
+
+The functions take and give SQL text: such expressions have thousands of nodes, and handing
+them to the JVM one by one takes seconds.
 """
 
 from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from litsift.functions.text import _c
-
 # Elements without content, and those whose content is no markup.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 RAW = ["script", "style"]
@@ -34,47 +32,44 @@ _WINDOWS = {n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "
 _LARGEST = 0x10FFFF
 
 
-def _literals(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _map(values: dict) -> str:
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + "".join(f"\\u{ord(c):04x}" for c in x) + "'"
+    return f"map({', '.join(f'{quoted(k)}, {quoted(v)}' for k, v in values.items())})"
 
-def unescape(col) -> Column:
+
+def unescape(text: str) -> str:
     """Character references decoded: numbers, and names with or without their semicolon. An
     unknown name stays; an impossible number is the replacement character."""
-    def read(t: Column) -> Column:
-        group = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
-        n = F.coalesce(group("^&#([0-9]+)"), F.conv(group("^&#[xX]([0-9a-fA-F]+)"), 16, 10)).try_cast("long")
-        possible = n.between(1, _LARGEST) & ~n.between(0xD800, 0xDFFF)
-        char = F.when(F.coalesce(possible, F.lit(False)), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
-        return (F.when(~F.startswith(t, F.lit("&")) | (F.length(t) == 1), t)
-                .when(F.startswith(t, F.lit("&#")), F.coalesce(F.try_element_at(_literals(_WINDOWS), n.cast("int")), char))
-                .otherwise(F.coalesce(F.try_element_at(_literals(_NAMED), group("^&([a-zA-Z0-9]+)")), t)))
-
-    c = _c(col)
-    return F.when(~F.contains(c, F.lit("&")), c).otherwise(F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), read), ""))
+    group = lambda pattern: f"nullif(regexp_extract(t, '{pattern}', 1), '')"
+    n = f"coalesce({group('^&#([0-9]+)')}, conv({group('^&#[xX]([0-9a-fA-F]+)')}, 16, 10))"
+    char = (f"transform(array(try_cast({n} as bigint)), n -> coalesce(try_element_at({_map(_WINDOWS)}, int(if(n < 160, n, null))), "
+            f"if(n between 1 and {_LARGEST} and n not between {0xD800} and {0xDFFF}, decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32'), '\ufffd')))[0]")
+    read = (f"case when not startswith(t, '&') or length(t) = 1 then t when startswith(t, '&#') then {char} "
+            f"else coalesce(try_element_at({_map(_NAMED)}, {group('^&([a-zA-Z0-9]+)')}), t) end")
+    return (f"transform(array({text}), c -> if(contains(c, '&'), "
+            f"array_join(transform(regexp_extract_all(c, {literal(_REFERENCE)}, 0), t -> {read}), ''), c))[0]")
 
 
-def trim_spaces(col) -> Column:
-    return F.trim(_c(col), F.lit(SPACES))
+def trim_spaces(text: str) -> str:
+    return f"trim(both {literal(SPACES)} from {text})"
 
 
-def tokens(html) -> Column:
+def tokens(html: str) -> str:
     """A body as an array of (kind, name, raw): S start, E end, V start without content,
     C comment or declaration, R script or style, T text."""
-    def read(t: Column) -> Column:
-        name, second = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1)), F.substring(t, 2, 1)
-        kind = (F.when(~F.startswith(t, F.lit("<")) | (F.length(t) == 1), F.lit("T"))
-                .when(second.isin("!", "?"), F.lit("C"))
-                .when(second == "/", F.lit("E"))
-                .when(name.isin(*RAW), F.lit("R"))
-                .when(name.isin(*VOID) | F.endswith(t, F.lit("/>")), F.lit("V"))
-                .otherwise(F.lit("S")))
-        return F.struct(kind.alias("kind"), name.alias("name"), t.alias("raw"))
-
-    return F.transform(F.regexp_extract_all(_c(html), F.lit(_TOKEN), F.lit(0)), read)
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)
+    kind = (f"case when not startswith(raw, '<') or length(raw) = 1 then 'T' when substr(raw, 2, 1) in ('!', '?') then 'C' "
+            f"when substr(raw, 2, 1) = '/' then 'E' when name in ({listed(RAW)}) then 'R' "
+            f"when name in ({listed(VOID)}) or endswith(raw, '/>') then 'V' else 'S' end")
+    named = f"transform(regexp_extract_all({html}, {literal(_TOKEN)}, 0), t -> struct(lower(regexp_extract(t, {literal('^</?([a-zA-Z][^\\s/>]*)')}, 1)) as name, t as raw))"
+    return f"transform({named}, x -> named_struct('kind', {kind.replace('raw', 'x.raw').replace('name', 'x.name')}, 'name', x.name, 'raw', x.raw))"
 
 
-def elements(parsed: str, names: list[str]) -> Column:
+def elements(parsed: str, names: list[str]) -> str:
     """(start, stop, name) of the elements called one of ``names``, in order: the places, from 1,
     of their tags in the column ``parsed`` of tokens (one after the last where the end is missing)."""
     listed = ", ".join(f"'{n}'" for n in names)
@@ -97,31 +92,38 @@ def elements(parsed: str, names: list[str]) -> Column:
     end = state(f"slice(s.names, 1, {nearest} - 1)", f"slice(s.ats, 1, {nearest} - 1)", close(nearest, "x.at"))
     step = (f"case when x.kind = 'S' then {start} when x.kind = 'V' then {alone} "
             f"when array_contains(s.names, x.name) then {end} else s end")
-    return F.expr(f"aggregate({tags}, {none}, (s, x) -> {step}, s -> array_sort({close('1', f'size({parsed}) + 1')}))")
+    return f"aggregate({tags}, {none}, (s, x) -> {step}, s -> array_sort({close('1', f'size({parsed}) + 1')}))"
 
 
-def within(parsed: Column, element: Column) -> Column:
+def within(parsed: str, element: str) -> str:
     """The tokens inside an element."""
-    return F.slice(parsed, element["start"] + 1, F.greatest(element["stop"] - element["start"] - 1, F.lit(0)))
+    return f"slice({parsed}, {element}.start + 1, greatest({element}.stop - {element}.start - 1, 0))"
 
 
-def text_of(inside: Column) -> Column:
-    """All text of some tokens, references decoded."""
-    return unescape(F.array_join(F.transform(F.filter(inside, lambda x: x["kind"] == "T"), lambda x: x["raw"]), ""))
+def raw_text(inside: str) -> str:
+    """All text of some tokens, references as they stand."""
+    return f"array_join(transform(filter({inside}, x -> x.kind = 'T'), x -> x.raw), '')"
 
 
-def single_string(inside: Column) -> Column:
+def text_of(inside: str) -> str:
+    return unescape(raw_text(inside))
+
+
+def single_string(inside: str) -> str:
     """Whether an element holds one string alone, bare or wrapped in elements that hold nothing
     else. End tags of nothing inside are ignored, but part the strings around them."""
-    opened = F.transform(F.filter(inside, lambda x: x["kind"] == "S"), lambda x: x["name"])
-    kind = lambda x: F.when((x["kind"] == "E") & ~F.array_contains(opened, x["name"]), F.lit("-")).otherwise(x["kind"])
-    return F.regexp_like(F.array_join(F.transform(inside, kind), ""), F.lit("^[S-]*T+[E-]*$"))
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value, the last one if repeated; empty if it has none, null if it isn't there."""
-    rest = F.regexp_replace(tag, r"^<[^\s/>]+", "")
-    both = F.arrays_zip(F.regexp_extract_all(rest, F.lit(_ATTRIBUTE), F.lit(1)).alias("name"), F.regexp_extract_all(rest, F.lit(_ATTRIBUTE), F.lit(2)).alias("value"))
-    value = F.try_element_at(F.filter(both, lambda x: F.lower(x["name"]) == name), F.lit(-1))["value"]
-    quoted = F.substring(value, 1, 1).isin('"', "'") & (F.length(value) > 1)
-    return unescape(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+    opened = f"transform(filter({inside}, y -> y.kind = 'S'), y -> y.name)"
+    kinds = f"transform({inside}, x -> if(x.kind = 'E' and not array_contains({opened}, x.name), '-', x.kind))"
+    return f"array_join({kinds}, '') rlike '^[S-]*T+[E-]*$'"
+
+
+def raw_attribute(tag: str, name: str) -> str:
+    """An attribute's value, the last one if repeated, references as they stand; empty if it
+    has none, null if it isn't there."""
+    found = lambda i: f"regexp_extract_all(regexp_replace({tag}, {literal('^<[^\\s/>]+')}, ''), {literal(_ATTRIBUTE)}, {i})"
+    value = f"try_element_at(filter(arrays_zip({found(1)}, {found(2)}), x -> lower(x['0']) = '{name}'), -1)['1']"
+    return f"transform(array({value}), v -> if(length(v) > 1 and substr(v, 1, 1) in ('\"', '\\''), substr(v, 2, length(v) - 2), v))[0]"
+
+
+def attribute(tag: str, name: str) -> str:
+    return unescape(raw_attribute(tag, name))

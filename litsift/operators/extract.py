@@ -8,7 +8,7 @@ gives a row (its ``title`` is NULL).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litsift.functions import mail, markup
@@ -32,31 +32,23 @@ def article_fields(block: DataFrame, heading: str = "h2", title_in_link: bool =
     first link inside it (the digest layout), else the heading's own text (plain pages).
     """
     keep = [c for c in block.columns if c not in ("tokens", "els")]
-    parsed = F.col("tokens")
-
-    def first(name: str, also=lambda e: F.lit(True)) -> Column:
-        return F.try_element_at(F.filter("els", lambda e: (e["name"] == name) & also(e)), F.lit(1))
-
-    def tag(e: Column) -> Column:
-        return F.get(parsed, e["start"] - 1)["raw"]
-
-    def labelled(e: Column) -> Column:
-        inside = markup.within(parsed, e)
-        return markup.single_string(inside) & F.contains(markup.text_of(inside), F.lit(RELEVANCE_LABEL))
-
-    def text(e: str) -> Column:
-        return F.when(F.col(e).isNotNull(), markup.trim_spaces(markup.text_of(markup.within(parsed, F.col(e)))))
-
-    found = block.select("*", first(heading).alias("h"), first("p").alias("p"), first("span", labelled).alias("label"),
-                         first("div", lambda e: F.contains(markup.attribute(tag(e), "style"), F.lit(VENUE_STYLE))).alias("div"))
-    h = F.col("h")
-    found = found.select("*", first("a", lambda e: (e["start"] > h["start"]) & (e["start"] < h["stop"])).alias("a"))
-    found = found.select(*keep, text("a" if title_in_link else "h").alias("title"), text("p").alias("authors"),
-                         markup.trim_spaces(F.replace(text("label"), F.lit(RELEVANCE_LABEL), F.lit(""))).alias("rel"), text("div").alias("venue"),
-                         F.when(F.col("a").isNotNull(), markup.attribute(tag(F.col("a")), "href")).alias("url"))
-    number = F.when(F.regexp_like("rel", F.lit(INT_RE)), F.col("rel").try_cast("int"))
-    relevance = F.when(F.col("rel").isNotNull(), F.coalesce(number, F.lit(0)))
-    return found.select(*keep, "title", "authors", relevance.alias("relevance"), "venue", "url")
+    tag = lambda e: f"tokens[{e}.start - 1].raw"
+    first = lambda name, also="true": f"try_element_at(filter(els, e -> e.name = '{name}' and {also}), 1)"
+    inside = markup.within("tokens", "e")
+    label = markup.literal(RELEVANCE_LABEL)
+    styled = f"contains({markup.attribute(tag('e'), 'style')}, {markup.literal(VENUE_STYLE)})"
+    labelled = f"{markup.single_string(inside)} and contains({markup.text_of(inside)}, {label})"
+    found = block.selectExpr("*", f"{first(heading)} as h", f"{first('p')} as p", f"{first('span', labelled)} as label", f"{first('div', styled)} as div")
+    found = found.selectExpr("*", f"{first('a', 'e.start > h.start and e.start < h.stop')} as a")
+    text = lambda e: f"if({e} is not null, {markup.raw_text(markup.within('tokens', e))}, null)"
+    raw = [text("a" if title_in_link else "h"), text("p"), text("label"), text("div"), f"if(a is not null, {markup.raw_attribute(tag('a'), 'href')}, null)"]
+    # All five at once: one expression decodes references.
+    found = found.selectExpr(*keep, f"transform(array({', '.join(raw)}), f -> {markup.unescape('f')}) as f")
+    trimmed = [markup.trim_spaces(f"f[{i}]") for i in range(4)]
+    rel = f"replace({trimmed[2]}, {label}, '')"
+    found = found.selectExpr(*keep, f"{trimmed[0]} as title", f"{trimmed[1]} as authors", f"{markup.trim_spaces(rel)} as rel", f"{trimmed[3]} as venue", "f[4] as url")
+    relevance = f"if(rel is not null, coalesce(if(rel rlike '{INT_RE}', try_cast(rel as int), null), 0), null) as relevance"
+    return found.selectExpr(*keep, "title", "authors", relevance, "venue", "url")
 
 
 def extract_articles(df: DataFrame, html_col: str = "body_html", keep: list[str] | None = None,
@@ -65,18 +57,13 @@ def extract_articles(df: DataFrame, html_col: str = "body_html", keep: list[str]
     in the message) and the columns in ``keep`` (P9: email id, date, subject, sender)."""
     keep = keep if keep is not None else [c for c in ("email_id", "email_date", "email_subject",
                                                        "email_sender", "email_ts") if c in df.columns]
-    els = F.col("els")
-
-    def block(a: Column) -> Column:
-        inner = F.filter(els, lambda e: (e["start"] > a["start"]) & (e["start"] < a["stop"]))
-        shift = a["start"] - 1
-        moved = F.transform(inner, lambda e: F.struct((e["start"] - shift).alias("start"), (e["stop"] - shift).alias("stop"), e["name"].alias("name")))
-        return F.struct(F.slice("tokens", a["start"], a["stop"] - a["start"] + 1).alias("tokens"), moved.alias("els"))
-
-    parsed = df.select(*keep, markup.tokens(html_col).alias("tokens"))
-    parsed = parsed.select("*", markup.elements("tokens", ["article", heading, "a", "p", "span", "div"]).alias("els"))
-    blocks = F.transform(F.filter(els, lambda e: e["name"] == "article"), block)
-    rows = parsed.select(*keep, F.posexplode(blocks).alias("article_pos", "block"))
+    names = ["article", heading, "a", "p", "span", "div"]
+    parsed = df.select(*keep, F.expr(markup.tokens(f"`{html_col}`")).alias("tokens"))
+    parsed = parsed.selectExpr("*", f"{markup.elements('tokens', names)} as els")
+    moved = ("transform(filter(els, e -> e.start > a.start and e.start < a.stop), "
+             "e -> named_struct('start', e.start - a.start + 1, 'stop', e.stop - a.start + 1, 'name', e.name))")
+    block = f"named_struct('tokens', slice(tokens, a.start, a.stop - a.start + 1), 'els', {moved})"
+    rows = parsed.select(*keep, F.expr(f"posexplode(transform(filter(els, a -> a.name = 'article'), a -> {block}))").alias("article_pos", "block"))
     rows = rows.select(*keep, F.col("article_pos").cast("int").alias("article_pos"), "block.tokens", "block.els")
     return article_fields(rows, heading, title_in_link)
 

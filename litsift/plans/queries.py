@@ -513,9 +513,9 @@ def q_lookup_pages(spark, sf):
     host = F.split_part("url", F.lit("/"), F.lit(3))
     papers = extract.extract_articles(pages.select(F.col("page_id").cast("string").alias("paper_key"), host.alias("host"), F.col("html").alias("body_html")),
                                       keep=["paper_key", "host"], heading="h1", title_in_link=False).select("paper_key", "title", F.col("host").alias("authors"))
-    parsed = pages.select("page_id", host.alias("host"), markup.tokens("html").alias("tokens"))
-    parsed = parsed.select("*", markup.elements("tokens", ["title"]).alias("els"))
-    title = markup.trim_spaces(markup.text_of(markup.within(F.col("tokens"), F.get("els", F.lit(0)))))
+    parsed = pages.select("page_id", host.alias("host"), F.expr(markup.tokens("html")).alias("tokens"))
+    parsed = parsed.selectExpr("*", f"get({markup.elements('tokens', ['title'])}, 0) as el")
+    title = F.expr(markup.trim_spaces(markup.text_of(markup.within("tokens", "el"))))
     key = F.col("page_id").cast("string")
     catalogue = parsed.select(F.concat(F.lit("catalogue/"), key).alias("entry_id"), key.alias("doc_key"), title.alias("title"), F.array("host").alias("authors"))
     t = lookup.lookup_cascade(papers, catalogue, K, ("paper_key", "doc_key"))
