@@ -27,13 +27,13 @@ def key_tokens(key) -> F.Column:
 
 
 def rarest_two(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """q_key, n, one, two: the size of each query whose tokens all occur in ``postings`` and its
-    two rarest tokens (``two`` is empty for a query of one)."""
+    """qid, n, one, two: the size of each of ``queries(qid, q_key)`` whose tokens all occur in
+    ``postings`` and its two rarest tokens (``two`` is empty for a query of one)."""
     frequency = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    tokens = queries.select("q_key", F.size(key_tokens("q_key")).alias("n"), F.explode(key_tokens("q_key")).alias("tok"))
-    rare = tokens.join(frequency, "tok").groupBy("q_key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("rare"))
+    tokens = queries.select("qid", F.size(key_tokens("q_key")).alias("n"), F.explode(key_tokens("q_key")).alias("tok"))
+    rare = tokens.join(frequency, "tok").groupBy("qid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("rare"))
     return (rare.where(F.size("rare") == F.col("n"))
-            .select("q_key", "n", F.col("rare")[0]["tok"].alias("one"), F.coalesce(F.get("rare", F.lit(1))["tok"], F.lit("")).alias("two")))
+            .select("qid", "n", F.col("rare")[0]["tok"].alias("one"), F.coalesce(F.get("rare", F.lit(1))["tok"], F.lit("")).alias("two")))
 
 
 def blocks(asked: DataFrame, postings: DataFrame, block: int) -> DataFrame:
@@ -53,28 +53,32 @@ def holding_sets(queries: DataFrame, sets: DataFrame, enough: int, block: int =
     """
     sets = materialize(sets.select("c_key", "first_entry", F.xxhash64("c_key").alias("gid"), F.size(key_tokens("c_key")).alias("size")), "sets")
     postings = sets.select("gid", "size", "first_entry", F.explode(key_tokens("c_key")).alias("tok"))
-    prefix = materialize(rarest_two(queries, postings), "prefixes")
-    lists = materialize(blocks(prefix.select("one", "two").distinct(), postings, block), "lists")
+    # A title may be long: its tokens and candidates carry its number, not its key.
+    asking = materialize(queries.select("q_key").withColumn("qid", F.monotonically_increasing_id()), "queries")
+    prefix = materialize(rarest_two(asking, postings), "prefixes")
+    lists = blocks(prefix.select("one", "two").distinct(), postings, block)  # written by ``numbered``
     open_ = prefix.join(lists.where("block = 0").select("one", "two", "blocks").distinct(), ["one", "two"]).withColumn("found", F.lit(0).cast("long"))
+    open_ = materialize(open_, "open")
+    longest = open_.agg(F.max("blocks")).first()[0] or 0
     rounds, at, width = [], 0, 1
     while True:
-        asked = open_.select("q_key", "one", "two", F.explode(F.sequence(F.lit(at).cast("long"), F.least(F.lit(at + width), F.col("blocks")) - 1)).alias("block"))
-        candidates = asked.join(lists.drop("blocks"), ["one", "two", "block"]).select("q_key", "gid")
+        asked = open_.select("qid", "one", "two", F.explode(F.sequence(F.lit(at).cast("long"), F.least(F.lit(at + width), F.col("blocks")) - 1)).alias("block"))
+        candidates = asked.join(lists.drop("blocks"), ["one", "two", "block"]).select("qid", "gid")
         if reads is not None:
             reads.append((open_.count(), asked.count(), candidates.count()))
-        held = (candidates.join(sets, "gid").where(F.size(F.array_except(key_tokens("q_key"), key_tokens("c_key"))) == 0)
-                .select("q_key", "c_key", "first_entry", (F.size(key_tokens("q_key")) / F.col("size")).alias("sim")))
+        held = (candidates.join(sets, "gid").join(asking, "qid").where(F.size(F.array_except(key_tokens("q_key"), key_tokens("c_key"))) == 0)
+                .select("qid", "q_key", "c_key", "first_entry", (F.size(key_tokens("q_key")) / F.col("size")).alias("sim")))
         rounds.append(materialize(held, "held"))
         at, width = at + width, width * 2
-        open_ = open_.where(F.col("blocks") > at)
-        if open_.isEmpty():
+        if at >= longest:
             break
-        more = rounds[-1].groupBy("q_key").agg(F.count(F.lit(1)).alias("more"))
-        open_ = open_.join(more, "q_key", "left").withColumn("found", F.col("found") + F.coalesce("more", F.lit(0))).drop("more")
+        open_ = open_.where(F.col("blocks") > at)
+        more = rounds[-1].groupBy("qid").agg(F.count(F.lit(1)).alias("more"))
+        open_ = open_.join(more, "qid", "left").withColumn("found", F.col("found") + F.coalesce("more", F.lit(0))).drop("more")
         open_ = materialize(open_.where(F.col("found") < enough), "open")
         if open_.isEmpty():
             break
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
-    return out
+    return out.drop("qid")
