@@ -11,6 +11,8 @@ prompt_tokens, completion_tokens, total_tokens``):
 
 from __future__ import annotations
 
+import gc
+import sys
 from typing import Callable
 
 import pandas as pd
@@ -63,42 +65,58 @@ def attach_model(requests: DataFrame, models: DataFrame, model_col: str = "model
 
 # ---- U1: caller-supplied scorer ----------------------------------------------------------
 
+#: Bytes of prompts after which a task collects garbage. What a scorer leaves may refer to itself (a
+#: Series whose ``.str`` was used does) and then holds its batch until then; strings alone start no collection.
+GARBAGE_BYTES = 64 << 20
+
+
 def _adapter(scorer_factory: Callable, model_key: str, api_model_id: str, max_tokens: int):
     """Per-partition function for mapInPandas: the scorer is built once per partition and a
-    failing call becomes an error row instead of failing the task."""
+    failing call becomes an error row instead of failing the task. A task holds the batch at
+    hand and at most ``GARBAGE_BYTES`` of earlier ones, however many requests it has."""
+
+    def answers(scorer, pdf):
+        out = {"arxiv_id": pdf["arxiv_id"].tolist(), "question_id": pdf["question_id"].tolist(),
+               "model_key": [model_key] * len(pdf), "response": [], "prompt_tokens": [],
+               "completion_tokens": [], "total_tokens": [], "call_error": []}
+        if hasattr(scorer, "analyze_batch"):
+            res = scorer.analyze_batch(pdf["prompt"], api_model_id, max_tokens)
+            out["response"] = res["response"].tolist()
+            for c in ("prompt_tokens", "completion_tokens", "total_tokens"):
+                out[c] = res[c].tolist() if c in res else [None] * len(pdf)
+            out["call_error"] = res["call_error"].tolist() if "call_error" in res else [None] * len(pdf)
+        else:
+            for prompt in pdf["prompt"]:
+                try:
+                    text, meta = scorer.analyze(prompt, api_model_id, max_tokens)
+                    meta = meta or {}
+                    out["response"].append(text)
+                    out["prompt_tokens"].append(meta.get("prompt_tokens"))
+                    out["completion_tokens"].append(meta.get("completion_tokens"))
+                    out["total_tokens"].append(meta.get("total_tokens"))
+                    out["call_error"].append(None)
+                except Exception as e:  # one failed call is one error row
+                    out["response"].append(None)
+                    out["prompt_tokens"].append(None)
+                    out["completion_tokens"].append(None)
+                    out["total_tokens"].append(None)
+                    out["call_error"].append(str(e))
+        frame = pd.DataFrame(out)
+        for c in ("prompt_tokens", "completion_tokens", "total_tokens"):
+            frame[c] = frame[c].astype("Int64")
+        return frame
 
     def run(batches):
-        scorer = scorer_factory()
+        scorer, passed = scorer_factory(), 0
         for pdf in batches:
-            out = {"arxiv_id": pdf["arxiv_id"].tolist(), "question_id": pdf["question_id"].tolist(),
-                   "model_key": [model_key] * len(pdf), "response": [], "prompt_tokens": [],
-                   "completion_tokens": [], "total_tokens": [], "call_error": []}
-            if hasattr(scorer, "analyze_batch"):
-                res = scorer.analyze_batch(pdf["prompt"], api_model_id, max_tokens)
-                out["response"] = res["response"].tolist()
-                for c in ("prompt_tokens", "completion_tokens", "total_tokens"):
-                    out[c] = res[c].tolist() if c in res else [None] * len(pdf)
-                out["call_error"] = res["call_error"].tolist() if "call_error" in res else [None] * len(pdf)
-            else:
-                for prompt in pdf["prompt"]:
-                    try:
-                        text, meta = scorer.analyze(prompt, api_model_id, max_tokens)
-                        meta = meta or {}
-                        out["response"].append(text)
-                        out["prompt_tokens"].append(meta.get("prompt_tokens"))
-                        out["completion_tokens"].append(meta.get("completion_tokens"))
-                        out["total_tokens"].append(meta.get("total_tokens"))
-                        out["call_error"].append(None)
-                    except Exception as e:  # one failed call is one error row
-                        out["response"].append(None)
-                        out["prompt_tokens"].append(None)
-                        out["completion_tokens"].append(None)
-                        out["total_tokens"].append(None)
-                        out["call_error"].append(str(e))
-            frame = pd.DataFrame(out)
-            for c in ("prompt_tokens", "completion_tokens", "total_tokens"):
-                frame[c] = frame[c].astype("Int64")
+            passed += sum(map(sys.getsizeof, pdf["prompt"]))
+            frame = answers(scorer, pdf)
+            del pdf  # else it stays while the next one is read
             yield frame
+            del frame
+            if passed >= GARBAGE_BYTES:
+                gc.collect()
+                passed = 0
 
     return run
 

@@ -65,6 +65,35 @@ def test_score_with_errors_and_usage(spark):
     assert u.estimated_cost == pytest.approx(400 * 2.5 / 1e6 + 40 * 10.0 / 1e6)
 
 
+def test_scored_batches_are_let_go():
+    """A scorer whose use of a batch leaves a cycle (as ``prompts.str`` does) keeps few batches alive."""
+    import gc
+    import weakref
+
+    import pandas as pd
+    alive, most = [], []
+
+    class Holding:
+        def analyze_batch(self, prompts, model_id, max_tokens):
+            prompts.attrs["own"] = [prompts]
+            alive.append(weakref.ref(prompts))
+            most.append(sum(r() is not None for r in alive))
+            return pd.DataFrame({"response": ["<score>1</score>"] * len(prompts)})
+
+    def batches(n):
+        for i in range(n):
+            yield pd.DataFrame({"arxiv_id": [f"{i}"] * 4, "question_id": range(4), "prompt": ["x" * (8 << 20), "y", None, "z"]})
+
+    run = score._adapter(Holding, "gpt-4o", "gpt-4o", 10)
+    gc.disable()
+    try:
+        out = [f.arxiv_id.tolist() for f in run(batches(40))]
+    finally:
+        gc.enable()
+    assert out == [[f"{i}"] * 4 for i in range(40)]
+    assert max(most) <= 9     # 64 MB of 8 MB each, and the one at hand; all 40 before
+
+
 def test_join_responses_gaps_and_unknown_model(spark):
     req = score.pair_requests(papers(spark).select("arxiv_id"), questions_df(spark, ["q"]))
     resp = spark.createDataFrame([("1", 0, "gpt-4o-mini", "<explanation>x</explanation><score>5</score>", None, None, None)],
