@@ -38,7 +38,7 @@ from litsift.functions.text import (STOP_WORDS, first_author_last_name, last_nam
                                     norm_title, normalize_abstract, split_authors, token_set_key,
                                     tokens)
 from litsift.operators.common import join_hot, materialize, top_k
-from litsift.operators.containment import holding_sets, key_tokens
+from litsift.operators.containment import holding_sets, key_digest, key_tokens
 
 DEFAULT_K = 5          # results per query (max_results of the reference)
 
@@ -133,18 +133,17 @@ def _tier1(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
 
 
 def _tier2(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    p = pp.where(F.col("n_q") > 0).select("paper_key", "p_self", "q_key")
-    c = idx.where(F.col("c_key") != "").select("entry_id", "c_self", "c_key")
+    p = pp.where(F.col("n_q") > 0)
+    c = idx.where(F.col("c_key") != "")
     # The best k + 1 entries of a title lie in its best k + 1 token sets by (sim desc, first
     # entry), so other sets go before the entries are joined.
     sets = c.groupBy("c_key").agg(F.min("entry_id").alias("first_entry"))
-    held = holding_sets(p.select("q_key").distinct(), sets, k + 1)
-    pairs = top_k(held, ["q_key"], [F.col("sim").desc(), F.col("first_entry")], k + 1, "r") \
-        .select("q_key", "c_key", "sim")
-    entries = top_k(c, ["c_key"], [F.col("entry_id")], k + 1, "r").drop("r")
-    per_key = top_k(pairs.join(entries, "c_key"), ["q_key"],
-                    [F.col("sim").desc(), F.col("entry_id")], k + 1, "r").drop("c_key")
-    return _finish(per_key, p, ["q_key"], k, 2, exclude_self)
+    held = holding_sets(p.select("q_key").distinct(), sets, k + 1, keys=False)
+    pairs = top_k(held, ["qid"], [F.col("sim").desc(), F.col("first_entry")], k + 1, "r").select("qid", "gid", "sim")
+    entries = top_k(c.select("entry_id", "c_self", key_digest("c_key").alias("gid")), ["gid"], [F.col("entry_id")], k + 1, "r").drop("r")
+    per_key = top_k(pairs.join(entries, "gid"), ["qid"],
+                    [F.col("sim").desc(), F.col("entry_id")], k + 1, "r").drop("gid")
+    return _finish(per_key, p.select("paper_key", "p_self", key_digest("q_key").alias("qid")), ["qid"], k, 2, exclude_self)
 
 
 def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
