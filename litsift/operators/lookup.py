@@ -37,7 +37,7 @@ from litsift.functions import mail
 from litsift.functions.text import (STOP_WORDS, first_author_last_name, last_name,
                                     norm_title, normalize_abstract, split_authors, token_set_key,
                                     tokens)
-from litsift.operators.common import join_hot, materialize, top_k
+from litsift.operators.common import MAX_BROADCAST_BYTES, join_hot, materialize, measured_bytes, top_k
 from litsift.operators.containment import holding_sets, key_digest, key_tokens
 
 DEFAULT_K = 5          # results per query (max_results of the reference)
@@ -147,26 +147,29 @@ def _tier2(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFra
 
 
 def _tier3(pp: DataFrame, idx: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    keys = ["a_last", "phrase", "q_key"]
-    p = pp.where((F.col("a_last") != "") & (F.col("phrase") != "")).select("paper_key", "p_self", *keys)
-    c = idx.select("entry_id", "c_self", "pw_key", "c_key", F.explode("c_lasts").alias("a_last"))
-    ckey = ["a_last", "pw_key", "c_key"]
-    ranked = top_k(c, ckey, [F.col("entry_id")], k + 1, "r")
-    entries = ranked.drop("r")
-    # One row per phrase of each distinct (author, title words, token set) group, carrying a
-    # 64-bit group id rather than the long keys; matches are re-checked on the full key.
-    groups = ranked.where(F.col("r") == 1).select(*ckey, F.col("entry_id").alias("first_entry"), F.xxhash64(*ckey).alias("gid"))
+    keys, ckey = ["a_last", "phrase", "q_key"], ["a_last", "pw_key", "c_key"]
+    digest = lambda cols: key_digest(F.to_json(F.struct(*cols)))  # noqa: E731  stands for the long keys
+    p = pp.where((F.col("a_last") != "") & (F.col("phrase") != "")).select("paper_key", "p_self", *keys, digest(keys).alias("pid"))
+    c = idx.select("entry_id", "c_self", "pw_key", "c_key", F.explode("c_lasts").alias("a_last")).withColumn("gid", digest(ckey))
+    ranked = top_k(c, ["gid"], [F.col("entry_id")], k + 1, "r")
+    entries = ranked.select("entry_id", "c_self", "gid")
+    # One row per phrase of each distinct (author, title words, token set) group, of those that are
+    # asked for if these are few bytes; it carries a digest rather than the long keys.
+    groups = ranked.where(F.col("r") == 1).select(*ckey, F.col("entry_id").alias("first_entry"), "gid")
+    titles = materialize(p.select(*keys, "pid").distinct(), "titles")
+    asked = titles.select("a_last", "phrase").distinct()
     grams = groups.select("gid", "a_last", F.explode(key_grams("pw_key")).alias("phrase"))
-    hits = join_hot(p.select(*keys).distinct(), grams, ["a_last", "phrase"]).select(*keys, "gid")
+    if measured_bytes(asked) <= MAX_BROADCAST_BYTES:
+        grams = grams.join(F.broadcast(asked), ["a_last", "phrase"], "left_semi")
+    hits = join_hot(titles, grams, ["a_last", "phrase"]).select(*keys, "pid", "gid")
     pairs = hits.join(groups.withColumnRenamed("a_last", "g_last"), "gid") \
         .where((F.col("g_last") == F.col("a_last"))
                & has_phrase("pw_key", "phrase")) \
-        .select(*keys, "pw_key", "c_key", "first_entry", jaccard(key_tokens("q_key"), key_tokens("c_key")).alias("sim"))
-    pairs = top_k(pairs, keys, [F.col("sim").desc(), F.col("first_entry")], k + 1, "r") \
-        .select(*keys, "pw_key", "c_key", "sim")
-    per_key = top_k(pairs.join(entries, ckey), keys, [F.col("sim").desc(), F.col("entry_id")], k + 1, "r") \
-        .select(*keys, "entry_id", "c_self", "sim", "r")
-    return _finish(per_key, p, keys, k, 3, exclude_self)
+        .select("pid", "gid", "first_entry", jaccard(key_tokens("q_key"), key_tokens("c_key")).alias("sim"))
+    pairs = top_k(pairs, ["pid"], [F.col("sim").desc(), F.col("first_entry")], k + 1, "r").select("pid", "gid", "sim")
+    per_key = top_k(pairs.join(entries, "gid"), ["pid"], [F.col("sim").desc(), F.col("entry_id")], k + 1, "r") \
+        .select("pid", "entry_id", "c_self", "sim", "r")
+    return _finish(per_key, p.select("paper_key", "p_self", "pid"), ["pid"], k, 3, exclude_self)
 
 
 def _prep(papers, catalogue, self_cols, index=None):
