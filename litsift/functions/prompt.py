@@ -54,6 +54,8 @@ def _render(pieces, vals) -> Column:
 
 
 QUESTION_AT = TEMPLATE.index("question")
+#: The literals between the head and the question, and after the question.
+QUESTION_FRAME = TEMPLATE[QUESTION_AT - 1], "".join(TEMPLATE[QUESTION_AT + 1:])
 
 
 def build_prompt(title="title", authors="authors", categories="categories",

@@ -4,7 +4,7 @@ Scoring is one request per (paper, question). Three scorers share one output sha
 (``arxiv_id, question_id, model_key, relevance_score, explanation, error, parse_error,
 prompt_tokens, completion_tokens, total_tokens``):
 
-* ``score_with``     a caller-supplied model function, run per partition with mapInPandas;
+* ``score_with``     a caller-supplied model function, run per partition with mapInArrow;
 * ``join_responses`` stored answers (a response table), missing answers become error rows;
 * ``lexical_*``      a pure-SQL word-overlap scorer for when no model is reachable.
 """
@@ -15,11 +15,14 @@ import gc
 import sys
 from typing import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsift.functions.prompt import build_prompt, prompt_from_head, prompt_head
+from litsift.functions.prompt import QUESTION_FRAME, build_prompt, prompt_from_head, prompt_head
 from litsift.functions.response import parse_response
 from litsift.functions.text import tokens
 from litsift.operators.common import MAX_BROADCAST_BYTES, bounded_broadcast, materialize
@@ -44,6 +47,20 @@ def pair_requests(papers: DataFrame, questions: DataFrame, max_bytes: int = MAX_
     return papers.crossJoin(bounded_broadcast(questions, max_bytes))
 
 
+#: Questions of a request row with ``asked``; a power of two.
+ASKED = 8
+
+
+def asked_together(questions: DataFrame) -> DataFrame:
+    """Questions, up to ``ASKED`` of a partition in a row: ``asked``, an array of (question_id,
+    question). Paired with ``request_heads``, a row holds a paper's head once for all of them,
+    and ``score_with`` builds the prompts in its tasks, few at a time."""
+    q = questions.select(F.col("question_id").cast("long").alias("question_id"), F.col("question").cast("string").alias("question"))
+    rows = q.sortWithinPartitions("question_id", "question") \
+        .withColumn("_row", F.shiftright(F.monotonically_increasing_id(), ASKED.bit_length() - 1))
+    return rows.groupBy("_row").agg(F.collect_list(F.struct("question_id", "question")).alias("asked")).select("asked")
+
+
 def request_heads(papers: DataFrame, id_col: str = "arxiv_id") -> DataFrame:
     """Per-paper part of every prompt, built once per paper and materialized before the
     pairing with questions, so each pair only appends its question."""
@@ -65,13 +82,55 @@ def attach_model(requests: DataFrame, models: DataFrame, model_col: str = "model
 
 # ---- U1: caller-supplied scorer ----------------------------------------------------------
 
+#: Bytes of prompts that a scorer gets at once (one prompt, or the prompts of one row with ``asked``, at least).
+PROMPT_BYTES = 4 << 20
 #: Bytes of prompts after which a task collects garbage. What a scorer leaves may refer to itself (a
 #: Series whose ``.str`` was used does) and then holds its batch until then; strings alone start no collection.
-GARBAGE_BYTES = 64 << 20
+GARBAGE_BYTES = 16 << 20
+ANSWER = pa.schema([("arxiv_id", pa.string()), ("question_id", pa.int64()), ("model_key", pa.string()),
+                    ("response", pa.string()), ("prompt_tokens", pa.int64()), ("completion_tokens", pa.int64()),
+                    ("total_tokens", pa.int64()), ("call_error", pa.string())])
+
+
+def _cut(sizes, most: int):
+    """(start, length) of runs of consecutive rows with at most ``most`` bytes, or of one row."""
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end - at
+        at = end
+
+
+def _byte_lengths(strings) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(strings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _prompt_frames(batches, most: int):
+    """Arrow batches of requests as small pandas ones (``arxiv_id, question_id, prompt``): Spark's
+    batches go by rows, and as Python strings a whole one would take several times its bytes."""
+    for batch in batches:
+        if "asked" in batch.schema.names:
+            asked = batch["asked"]
+            n = pc.list_value_length(asked).to_numpy(zero_copy_only=False)
+            sizes = n * (_byte_lengths(batch["prompt_head"]) + sum(map(len, QUESTION_FRAME)))
+            sizes += np.bincount(pc.list_parent_indices(asked).to_numpy(), _byte_lengths(pc.struct_field(pc.list_flatten(asked), "question")), len(n)).astype(np.int64)
+        else:
+            sizes = _byte_lengths(batch["prompt"])
+        for start, length in _cut(sizes, most):
+            rows = batch.slice(start, length)
+            ids = rows["arxiv_id"]
+            if "asked" in rows.schema.names:
+                of = pc.list_parent_indices(rows["asked"])
+                question_id, question = (pc.struct_field(pc.list_flatten(rows["asked"]), c) for c in ("question_id", "question"))
+                ids, prompt = ids.take(of), pc.binary_join_element_wise(rows["prompt_head"].take(of), QUESTION_FRAME[0], question, QUESTION_FRAME[1], "")
+            else:
+                question_id, prompt = rows["question_id"], rows["prompt"]
+            yield pd.DataFrame({"arxiv_id": ids.to_pandas(), "prompt": prompt.to_pandas(),
+                                "question_id": question_id.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)})
 
 
 def _adapter(scorer_factory: Callable, model_key: str, api_model_id: str, max_tokens: int):
-    """Per-partition function for mapInPandas: the scorer is built once per partition and a
+    """Per-partition function on pandas batches: the scorer is built once per partition and a
     failing call becomes an error row instead of failing the task. A task holds the batch at
     hand and at most ``GARBAGE_BYTES`` of earlier ones, however many requests it has."""
 
@@ -107,29 +166,49 @@ def _adapter(scorer_factory: Callable, model_key: str, api_model_id: str, max_to
         return frame
 
     def run(batches):
-        scorer, passed = scorer_factory(), 0
-        for pdf in batches:
-            passed += sum(map(sys.getsizeof, pdf["prompt"]))
-            frame = answers(scorer, pdf)
-            del pdf  # else it stays while the next one is read
-            yield frame
-            del frame
-            if passed >= GARBAGE_BYTES:
-                gc.collect()
-                passed = 0
+        gc.collect()
+        gc.freeze()  # the collections below then skip all that a worker has loaded
+        try:
+            scorer, passed = scorer_factory(), 0
+            for pdf in batches:
+                passed += sum(map(sys.getsizeof, pdf["prompt"]))
+                frame = answers(scorer, pdf)
+                del pdf  # else it stays while the next one is read
+                yield frame
+                del frame
+                if passed >= GARBAGE_BYTES:
+                    gc.collect()
+                    passed = 0
+        finally:
+            gc.unfreeze()
 
     return run
 
 
+def _arrow_adapter(*args):
+    """``_adapter`` for mapInArrow: a task holds Spark's batch as it came and the prompts of
+    ``PROMPT_BYTES`` of it, and answers leave in batches as small."""
+    run = _adapter(*args)
+
+    def run_arrow(batches):
+        for frame in run(_prompt_frames(batches, PROMPT_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(frame[f.name], type=f.type) for f in ANSWER], schema=ANSWER)
+
+    return run_arrow
+
+
 def score_with(requests: DataFrame, scorer_factory: Callable, model_key: str,
                max_tokens: int = CALL_MAX_TOKENS, partitions: int | None = None) -> DataFrame:
     """Call a model for every request.
 
     ``requests`` has ``arxiv_id, question_id, question`` and either the paper fields
     (``title, authors, categories, abstract``) or a precomputed ``prompt_head``. The prompt is built JVM-side; only ``(arxiv_id, question_id, prompt)``
-    crosses to Python. ``scorer_factory()`` returns an object with
+    crosses to Python. Or it has ``arxiv_id, prompt_head, asked`` (``asked_together``): a head then
+    crosses once for several questions, and each one's prompt is built in Python.
+    ``scorer_factory()`` returns an object with
     ``analyze(prompt, model_id, max_tokens) -> (text, metadata)`` or a vectorised
-    ``analyze_batch(prompts, model_id, max_tokens) -> pandas.DataFrame``.
+    ``analyze_batch(prompts, model_id, max_tokens) -> pandas.DataFrame``, which gets prompts of
+    about ``PROMPT_BYTES`` at a time.
     ``partitions`` sets the call parallelism. Persist or write the result before more than
     one consumer reads it, or the calls are paid twice.
     """
@@ -141,14 +220,16 @@ def call_model(requests: DataFrame, scorer_factory: Callable, model_key: str,
     """U1 raw answers (``RESPONSE`` columns + ``answered_at``), before parsing."""
     info = model_info(model_key)
     ship_package(requests.sparkSession)
-    prompt = prompt_from_head() if "prompt_head" in requests.columns else build_prompt()
-    req = requests.select("arxiv_id", F.col("question_id").cast("long").alias("question_id"),
-                          prompt.alias("prompt"))
+    if "asked" in requests.columns:
+        req = requests.select("arxiv_id", "prompt_head", "asked")
+    else:
+        prompt = prompt_from_head() if "prompt_head" in requests.columns else build_prompt()
+        req = requests.select("arxiv_id", F.col("question_id").cast("long").alias("question_id"), prompt.alias("prompt"))
     if partitions:
         req = req.repartition(partitions)
     schema = ("arxiv_id string, question_id long, model_key string, response string, "
               "prompt_tokens long, completion_tokens long, total_tokens long, call_error string")
-    raw = req.mapInPandas(_adapter(scorer_factory, model_key, info["api_model_id"], max_tokens), schema)
+    raw = req.mapInArrow(_arrow_adapter(scorer_factory, model_key, info["api_model_id"], max_tokens), schema)
     return raw.withColumn("answered_at", F.current_timestamp())
 
 

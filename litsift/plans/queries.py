@@ -997,7 +997,7 @@ def q_recent_papers(spark, sf):
 # ---- U1: model function per partition ---------------------------------------------------------------------
 class LengthScorer:
     """Deterministic stand-in for a remote model: the answer's score is the prompt length
-    mod 11, so the mapInPandas path (prompt in, parsed answer out) is checked end to end."""
+    mod 11, so the mapInArrow path (prompt in, parsed answer out) is checked end to end."""
 
     def analyze_batch(self, prompts, model_id, max_tokens):
         import pandas as pd
@@ -1015,7 +1015,7 @@ SELECT p.arxiv_id, round(avg(CAST(length({PROMPT_SQL}) % 11 AS DOUBLE) / 10.0),
 FROM p CROSS JOIN q GROUP BY p.arxiv_id
 """)
 def q_score_udf(spark, sf):
-    req = score.pair_requests(score.request_heads(_papers(spark, sf)), _questions(spark, sf))
+    req = score.pair_requests(score.request_heads(_papers(spark, sf)), score.asked_together(_questions(spark, sf)))
     s = score.score_with(req, LengthScorer, MODEL)
     return score.mean_score(s).select("arxiv_id", _r(F.col("score")).alias("score"))
 

@@ -51,10 +51,10 @@ def analyze(papers: DataFrame, questions: DataFrame, model: str = DEFAULT_MODEL,
     """
     valid, _rejected = filters.split_valid(papers)
     if scorer_factory is not None:  # the paper's part of its prompts is built once
-        req = score.pair_requests(score.request_heads(valid), questions)
+        heads = score.request_heads(valid)
         if answers_path:
-            return score.score_and_store(req, scorer_factory, model, answers_path)
-        return score.score_with(req, scorer_factory, model)
+            return score.score_and_store(score.pair_requests(heads, questions), scorer_factory, model, answers_path)
+        return score.score_with(score.pair_requests(heads, score.asked_together(questions)), scorer_factory, model)
     if responses is not None:
         return score.join_responses(score.pair_requests(valid.select("arxiv_id"), questions.select("question_id")), responses, model)
     shared = score.lexical_pair_scores(valid, questions).select("arxiv_id", F.col("question_id").alias("_qid"), "relevance_score")

@@ -67,7 +67,7 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``litsift`` importable in Python workers (needed by the mapInPandas scorer):
+    """Make ``litsift`` importable in Python workers (needed by the mapInArrow scorer):
     zip the package once per application and register it with ``addPyFile``, which
     distributes it to every executor."""
     import shutil

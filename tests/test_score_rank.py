@@ -94,6 +94,38 @@ def test_scored_batches_are_let_go():
     assert max(most) <= 9     # 64 MB of 8 MB each, and the one at hand; all 40 before
 
 
+class Sized:
+    """Answers with the bytes of prompts it got at once, and with a digest of each."""
+
+    def analyze_batch(self, prompts, model_id, max_tokens):
+        import hashlib
+
+        import pandas as pd
+        at_once = sum(len(p) for p in prompts if p is not None)
+        return pd.DataFrame({"response": [f"<explanation>{hashlib.md5((p or '').encode()).hexdigest()}</explanation><score>5</score>" for p in prompts],
+                             "prompt_tokens": [-1 if p is None else len(p) for p in prompts], "total_tokens": [at_once] * len(prompts)})
+
+
+def test_a_scorer_gets_few_bytes_at_once(spark):
+    heads = spark.range(9000).select(F.col("id").cast("string").alias("arxiv_id"), F.repeat(F.lit("x"), 2000).alias("prompt_head")).coalesce(1)
+    q = questions_df(spark, ["what"])
+    for questions in (q, score.asked_together(q)):
+        s = score.score_with(score.pair_requests(heads, questions), Sized, "gpt-4o")
+        got = s.agg(F.count(F.lit(1)), F.countDistinct("arxiv_id"), F.max("total_tokens")).first()
+        assert got[:2] == (9000, 9000) and got[2] <= score.PROMPT_BYTES      # 18 MB before
+
+
+def test_questions_asked_together_are_asked_one_by_one(spark):
+    q = spark.createDataFrame([(i % 20, f"question {i} é") for i in range(3 * score.ASKED + 1)] + [(None, "no id"), (7, None), (2**60 + 1, "x"), (5, "x"), (5, "x")],
+                              "question_id long, question string").coalesce(1)
+    p = papers(spark).unionByName(papers(spark).limit(1))
+    heads = score.request_heads(p)
+    assert score.asked_together(q).agg(F.sum(F.size("asked")), F.max(F.size("asked"))).first()[:] == (q.count(), score.ASKED)
+    cols = ["arxiv_id", "question_id", "explanation", "prompt_tokens", "relevance_score", "error"]
+    rows = lambda questions: sorted(map(str, score.score_with(score.pair_requests(heads, questions), Sized, "gpt-4o").select(cols).collect()))
+    assert rows(score.asked_together(q)) == rows(q) and len(rows(q)) == 4 * q.count()
+
+
 def test_join_responses_gaps_and_unknown_model(spark):
     req = score.pair_requests(papers(spark).select("arxiv_id"), questions_df(spark, ["q"]))
     resp = spark.createDataFrame([("1", 0, "gpt-4o-mini", "<explanation>x</explanation><score>5</score>", None, None, None)],
